@@ -37,7 +37,7 @@ def test_edges(spark):
 
 def test_lines_and_verdict(spark):
     sentence = lambda a: " ".join(f"word{i}" for i in range(a, a + 40)) + "."
-    clean = "\n".join([sentence(0), "As.", "It went on.", sentence(40)])
+    clean = "\n".join([sentence(0), "As.", "It went on.", sentence(80), sentence(120), sentence(40)])
     junk = clean + "\nHome | News | Sport | Weather | Contact | About\nBUY!! NOW!! TODAY!! ONLY!!\nah*** bo### ce$$$ de&&&\nAll rights reserved 2020\nmenu\n" + sentence(40)
     mostly = "\n".join(["x1 | y2 | z3 | w4 | v5 | u6"] * 1 + [f"a{i}*** b{i}### c{i}$$$ d{i}&&&" for i in range(60)]) + "\n" + clean
     docs = spark.createDataFrame([(1, clean, "en", 9), (2, junk, "en", 9), (3, mostly, "en", 9)], "doc_id long, text string, kept string, n_chars long")
