@@ -4,7 +4,8 @@ Documents are rows, distinct word shingles are columns of a 0/1 incidence
 matrix; the overlaps of all pairs are its product with its own transpose.  The
 product is never formed whole:
 
-* Documents with one shingle set are one class; a class has one row.
+* Documents with one shingle set are one class; a class has one row, numbered by
+  64 bits of its set's 128-bit signature.
 * Columns are ordered, shingles that many documents of a partition share last
   (by their summed local counts), the others by hash.  Two sets with Jaccard of
   75 % or more share a column among the first ``n - ceil(0.75 n) + 1`` of
@@ -13,7 +14,7 @@ product is never formed whole:
 * Columns are dealt into blocks by hash.  Each block's partial product counts
   the pairs of its columns up to ``WIDE`` rows; partial counts are summed over
   the blocks, and pairs below the bound that their sizes give are discarded.
-* A wider column first gives only pairs with its first row.  After these are
+* A wider column first gives only pairs with its most central row.  After these are
   checked and joined into components, it gives, in square sub-blocks, the pairs
   whose rows still lie in different components: all that can change the result.
 * The remaining pairs' sets meet in groups of a few hundred rows, whose exact
@@ -102,26 +103,30 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch], text: str, k: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
+    """Set size, signature, share of rare shingles in thousandths, and column prefix (of a task's equal sets the first)."""
     common, weight = frequent.value
+    seen: set[tuple[int, int]] = set()
     for batch in slices(batches, text):
-        sizes, one, two, prefixes = [], [], [], []
+        sizes, one, two, rare, prefixes = [], [], [], [], []
         for s in shingle_sets(batch.column(text), k):
             n = len(s)
             at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
             late = common[at] == s if len(common) else np.zeros(n, bool)
-            p = _prefix_length(n, percent)
+            a, b = _signature(s)
+            p = 0 if (a, b) in seen else _prefix_length(n, percent)
+            seen.add((a, b))
             first = s[~late][:p]
             if len(first) < p:
                 rest = np.flatnonzero(late)
                 first = np.concatenate([first, s[rest[np.lexsort((s[rest], weight[at[rest]]))]][: p - len(first)]])
-            a, b = _signature(s)
+            rare.append(1000 * int(n - late.sum()) // n if n else 0)
             sizes.append(n)
             one.append(a)
             two.append(b)
             prefixes.append(first.view(np.int64))
         offs = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        cells = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(prefixes)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "_n", "_s1", "_s2", "_prefix"])
+        cells = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(prefixes)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "_n", "_s1", "_s2", "_rare", "_prefix"])
 
 
 def prepare(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
@@ -136,7 +141,7 @@ def prepare(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     text = names[docs.columns.index(text_col)]
-    schema = T.StructType([*numbered.schema, *T._parse_datatype_string("_n long, _s1 long, _s2 long, _prefix array<long>")])
+    schema = T.StructType([*numbered.schema, *T._parse_datatype_string("_n long, _s1 long, _s2 long, _rare int, _prefix array<long>")])
     return stored(numbered.mapInArrow(lambda b: _prefixed(b, text, k, percent, frequent), schema), "prefixes")
 
 
@@ -182,11 +187,17 @@ class _Pairs:
 
 
 def _block_product(batches: Iterator[pa.RecordBatch], percent: int, wide: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, row, n, rank) sorted by h and row: pair counts of short columns, members of wide ones."""
+    """Rows (h, node, n, rank, rare) sorted by h, rare and node: pair counts of short columns, members of wide ones.
+
+    A wide column's first row, the one with the least share of rare shingles,
+    is its pivot: what a group of altered copies has in common is frequent, so
+    that is the row nearest to all of them.
+    """
     pairs = _Pairs()
     held: list[np.ndarray] = []
     n_held = 0
     pivot: np.ndarray | None = None
+    last_seen: np.ndarray | None = None
 
     def members(x: np.ndarray) -> pa.RecordBatch:
         p = np.broadcast_to(pivot, x.shape)
@@ -211,6 +222,12 @@ def _block_product(batches: Iterator[pa.RecordBatch], percent: int, wide: int) -
 
     for batch in batches:
         x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        again = np.concatenate([[False], (x[1:, :2] == x[:-1, :2]).all(axis=1)]) if len(x) else np.zeros(0, bool)
+        if len(x) and last_seen is not None:
+            again[0] = bool((x[0, :2] == last_seen).all())
+        if len(x):
+            last_seen = x[-1, :2].copy()
+        x = x[~again]  # one class from several tasks
         if not len(x):
             continue
         if pivot is not None:  # the wide column that the last batch ended in goes on
@@ -290,9 +307,10 @@ def _verified(rows: pa.Table, pairs: pa.Table, k: int, percent: int) -> pa.Table
     return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold; ``texts`` has node and text."""
-    return meet(pairs.select("u", "v").distinct(), texts, lambda a, b: _verified(a, b, k, percent), "u long, v long", GROUP)
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sets reach the threshold; ``texts`` has _row and text."""
+    heads = classes.select("node", "_row")
+    return meet(pairs.select("u", "v").distinct(), texts, lambda a, b: _verified(a, b, k, percent), "u long, v long", GROUP, heads)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -318,12 +336,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) -> tuple[DataFrame, DataFrame]:
     """Classes (_s1, _s2, _n, node) of equal sets, and (node, label) of linked classes."""
-    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("node"))
-    classes = stored(classes, "classes")
-    nodes = classes.select("node")
-    kept = rows.select("_row", "_n", "_prefix").join(nodes, rows["_row"] == nodes["node"], "left_semi")
-    posts = kept.select("_row", "_n", F.posexplode("_prefix").alias("rank", "h")).select("h", "_row", "_n", F.col("rank").cast("int").alias("rank"))
-    dealt = posts.repartition(F.col("h")).sortWithinPartitions("h", "_row")
+    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("_row"))
+    classes = stored(classes.withColumn("node", F.col("_s1")), "classes")
+    posts = rows.select(F.col("_s1").alias("node"), "_n", "_rare", F.posexplode("_prefix").alias("rank", "h"))
+    dealt = posts.select("h", "node", "_n", "rank", "_rare").repartition(F.col("h")).sortWithinPartitions("h", "_rare", "node")
     product = stored(dealt.mapInArrow(lambda b: _block_product(b, percent, wide), _OUT_SQL), "product")
 
     wide_rows = product.where("h is not null")
@@ -335,8 +351,8 @@ def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) ->
     most = F.col("c") + F.least(F.coalesce("wu", F.lit(0)), F.coalesce("wv", F.lit(0))) + spare
     counted = counted.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv")))
     first = counted.select("u", "v").union(wide_rows.where("fits").select("u", "v"))
-    texts = rows.select(F.col("_row").alias("node"), F.col(text).alias("text"))
-    links = stored(verify(first, texts, k, percent), "links")
+    texts = rows.select("_row", F.col(text).alias("text"))
+    links = verify(first, classes, texts, k, percent)
     labels = components(links)
 
     tagged = wide_rows.select("h", "u", "nu", "r").join(labels, wide_rows["u"] == labels["node"], "left")
@@ -349,7 +365,7 @@ def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) ->
     cells = cells.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
     across = stored(cells.mapInArrow(lambda b: _square_product(b, percent), _OUT_SQL).select("u", "v"), "across")
     if across.limit(1).count():
-        links = stored(links.union(verify(across, texts, k, percent)), "links")
+        links = stored(links.union(verify(across, classes, texts, k, percent)), "links")
         labels = components(links)
     return classes, labels
 

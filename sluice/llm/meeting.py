@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import stored
 
+#: Spark's own runtime filter: a Bloom filter of bounded size, made on the executors from the rows
+#: that a shuffle join needs, drops the other texts where they are read.
+_RUNTIME_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
 
-def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table], pa.Table], schema: str, group: int) -> DataFrame:
-    """``look(texts, pairs)`` over groups of about ``group`` first rows; its rows.
 
-    ``pairs`` has u, v and more columns, ``texts`` has node and text.  Pairs
-    gather by the smallest partner v of their row u; a partner with very many
-    rows is salted into several groups, and a text goes only to the groups
-    that need it.  Pairs of one u always share a group.
+@contextlib.contextmanager
+def runtime_filter(spark: SparkSession) -> Iterator[None]:
+    """Joins that are planned inside may filter their large side early; the settings are put back."""
+    before = {k: spark.conf.get(k, None) for k in _RUNTIME_FILTER}
+    for k, v in _RUNTIME_FILTER.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table], pa.Table], schema: str, group: int, rows: DataFrame | None = None) -> DataFrame:
+    """``look(texts, pairs)`` over groups of about ``group`` first rows; its rows, stored.
+
+    ``pairs`` has u, v and more columns; ``texts`` has _row and text, with row
+    numbers from 0; ``rows`` gives the row of each node (none: nodes are rows).
+    Pairs gather by the smallest partner v of their u; a partner with very many
+    is salted into several groups, and a text goes only to the groups that need
+    it.  Pairs of one u always share a group.
     """
     pairs = stored(pairs, "pairs")
     anchors = pairs.groupBy("u").agg(F.min("v").alias("a"))
@@ -27,6 +50,9 @@ def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table]
     placed = anchors.join(width, "a").select("u", F.pmod(F.xxhash64("a", salt), F.lit(groups)).alias("g"))
     placed = stored(pairs.join(placed, "u"), "placed")
     need = placed.select("g", F.col("u").alias("node")).union(placed.select("g", F.col("v").alias("node"))).distinct()
-    left = need.join(texts, "node").groupBy("g")
+    need = need.join(rows, "node") if rows is not None else need.withColumn("_row", F.col("node"))
+    need = stored(need.select("g", "node", "_row"), "need")
+    left = need.where(F.col("_row") > -1).join(texts, "_row").select("g", "node", "text").groupBy("g")
     right = placed.withColumnRenamed("g", "own_g").groupBy("own_g")
-    return left.cogroup(right).applyInArrow(look, schema)
+    with runtime_filter(pairs.sparkSession):
+        return stored(left.cogroup(right).applyInArrow(look, schema), "met")
