@@ -24,6 +24,7 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +40,10 @@ from sluice.llm.common import stored
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-#: Words whose tokens a worker remembers at once.
+#: Words, and parts of words, whose tokens a worker remembers at once.
 REMEMBERED = 500_000
+#: ASCII punctuation without the apostrophe, with which the tokenizer begins contractions.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Parts that the pieces of one length are counted in.
 SALTS = 64
 
@@ -54,43 +57,51 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """Token ids of whole texts, as little-endian uint32 bytes, word by word.
 
-    Text is cut at ASCII white space; a trailing full stop or comma after a
-    letter or digit is a token of its own in the tokenizer's split pattern and
-    is looked up apart, which keeps the table small.
+    Text is cut at ASCII white space.  A word of letters with punctuation after
+    it is two tokens' worth in the tokenizer's split pattern, so its parts are
+    looked up apart, in lower case: few parts have to be tokenized.  Both tables
+    are emptied when they are full, which only costs time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.split() if t.isascii() else _ascii_split(t) for t in texts]
-        known = self.known
-        new = {w for ws in words for w in set(ws) if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for ws in words for w in ws}
-            self._learn(new)
-        return [b"".join([known[w] for w in ws]) for ws in words]
-
-    def _learn(self, new: set[str]) -> None:
-        heads: dict[str, tuple[str, str]] = {}
+        found = [list(map(self.words.get, ws)) for ws in words]
+        missing = [i for i, f in enumerate(found) if None in f]
+        if missing:
+            new = {w for i in missing for w, f in zip(words[i], found[i], strict=True) if f is None}
+            learned = self._learn(new)
+            for i in missing:
+                found[i] = [learned[w] if f is None else f for w, f in zip(words[i], found[i], strict=True)]
+            if len(self.words) + len(learned) > REMEMBERED:
+                self.words.clear()
+            self.words.update(learned)
+        return [b"".join(f) for f in found]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        cut: dict[str, tuple[str, str]] = {}
         for w in new:
-            lower = w.lower() if w.isascii() else w
-            mark = lower[-1]
-            heads[w] = (lower[:-1], mark) if mark in ".," and len(lower) > 1 and (lower[-2].isalpha() or lower[-2] in "0123456789") else (lower, "")
-        known = self.known
-        plain = sorted({p for pair in heads.values() for p in pair if p and p not in known})
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, (head, mark) in heads.items():
-            if w not in known:
-                known[w] = known[head] + (known[mark] if mark else b"")
+            head = w.rstrip(PUNCTUATION)
+            if head.isalpha():
+                cut[w] = (head.lower() if head.isascii() else head, w[len(head) :])
+            else:
+                cut[w] = (w, "")
+        parts = self.parts
+        fresh = sorted({p for pair in cut.values() for p in pair if p and p not in parts})
+        if len(parts) + len(fresh) > REMEMBERED:
+            parts.clear()
+            fresh = sorted({p for pair in cut.values() for p in pair if p})
+        for at in range(0, len(fresh), 20_000):
+            step = fresh[at : at + 20_000]
+            for p, e in zip(step, self.tokenizer.encode_batch(step, add_special_tokens=False), strict=True):
+                parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return {w: parts[head] + parts[tail] if tail else parts[head] for w, (head, tail) in cut.items()}
 
 
 def _ascii_split(text: str) -> list[str]:
