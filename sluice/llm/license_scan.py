@@ -74,7 +74,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     pos = F.when(F.col("at") <= F.col("n_words"), F.col("at") - 1).otherwise(F.col("at") - 1 - F.col("n_words"))
     every = every.withColumn("pos", pos)
     tpl = F.broadcast(template_grams(docs.sparkSession, phrases, texts))
-    same = (every["hash_d"] == tpl["hash"]) & (F.slice(every["words"], every["pos"] + 1, tpl["k"]) == tpl["gram"])
+    length = (tpl["k"] == SHORT) == (every["at"] <= every["n_words"])  # a cut-off long gram at the end is no short one
+    same = (every["hash_d"] == tpl["hash"]) & length & (F.slice(every["words"], every["pos"] + 1, tpl["k"]) == tpl["gram"])
     met = every.join(tpl, same, "left").where(F.col("tpl").isNotNull() | (F.col("at") == 0))
     votes = met.groupBy("row", "id", "n_words", "tpl", "label", "k", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.count("tpl").alias("votes"), F.min("pos").alias("start"), (F.max("pos") + F.max("k")).alias("end")

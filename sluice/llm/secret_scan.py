@@ -4,7 +4,7 @@ Candidate strings are runs of key characters.  Over each, a window slides; the
 Shannon entropy of its characters is kept up to date from the counts of the
 character that enters and the one that leaves.  A window is hot when its
 entropy reaches the threshold of its character class (hexadecimal, letters and
-digits, or base64) and it mixes letters with digits; hot windows merge into
+digits, or base64) and it mixes digits and letters; hot windows merge into
 spans.  An allow list suppresses well-known harmless strings (UUIDs, runs of
 the alphabet, placeholders, digests of nothing, hosts and paths).  The fixed patterns
 (assignments, access keys, long lower-case hexadecimal) are never suppressed.
@@ -86,13 +86,18 @@ def _class(window: str) -> str:
 
 
 def hot_spans(s: str, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged windows of ``s`` whose entropy reaches their class's threshold and that mix letters and digits."""
-    digits = np.concatenate([[0], np.cumsum([c.isdigit() for c in s])])
-    letters = np.concatenate([[0], np.cumsum([c.isalpha() for c in s])])
+    """Merged windows of ``s`` whose entropy reaches their class's threshold and that mix their characters.
+
+    Mixed: three digits and three letters, or one digit and letters of both cases.
+    """
+    sums = [np.concatenate([[0], np.cumsum([f(c) for c in s])]).tolist() for f in (str.isdigit, str.islower, str.isupper)]
     out: list[tuple[int, int]] = []
     for a, bits in entropy_windows(s, width):
         b = min(a + width, len(s))
-        if bits < LEAST["hex"] or digits[b] - digits[a] < 3 or letters[b] - letters[a] < 3:
+        if bits < LEAST["hex"]:
+            continue
+        digits, lower, upper = (x[b] - x[a] for x in sums)
+        if not (digits >= 3 and lower + upper >= 3 or digits and lower and upper):
             continue
         if bits >= LEAST[_class(s[a:b])]:
             if out and a <= out[-1][1]:
