@@ -1,8 +1,60 @@
-"""Stages from raw documents to packed sequences, each applying one operator."""
+"""From raw documents to packed sequences: five stages, each one operator.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; :func:`run` writes each stage's rows to the shared folder and reads them
+again for the next.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sluice.llm import decontaminate, jaccard_join, packing, pii, quality_rules
+from sluice.llm.common import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail go, and documents that lose too much with them."""
+    return quality_rules.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.redact_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row per piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
+
+#: Tokenizing and the components of near duplicates have no SQL form on whole tables; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, from the whole ``documents`` table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for no, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if no < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{no}")
+    return docs
