@@ -104,7 +104,10 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
     aggregates = [lower(e).alias(name) for e, name in take.hidden.items()]
     key_columns = [c.column for c in keys]
     df = plain.df
-    if group.sets == "rollup":
+    dealt = None
+    if not keys:
+        pass
+    elif group.sets == "rollup":
         dealt = df.rollup(*key_columns)
     elif group.sets == "cube":
         dealt = df.cube(*key_columns)
@@ -112,8 +115,10 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
         dealt = df.groupingSets([[key_columns[i] for i in s] for s in group.sets], *key_columns)
     else:
         dealt = df.groupBy(*key_columns)
-    if aggregates or not keys:
-        out = dealt.agg(*aggregates) if aggregates else df.limit(1).select(F.lit(1).alias("_one"))
+    if dealt is None:  # a select of aggregates stays lazy, also inside a correlated subquery
+        out = df.select(*aggregates) if aggregates else df.limit(1).select(F.lit(1).alias("_one"))
+    elif aggregates:
+        out = dealt.agg(*aggregates)
     else:
         out = dealt.agg(F.first(F.lit(1)).alias("_one")) if group.sets else df.select(*key_columns).distinct()
     columns = tuple(Named(c.internal, c.internal) for c in keys) + tuple(Named(n, n) for n in take.hidden.values())
