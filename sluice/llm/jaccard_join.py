@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.common import NONSPACE, _mixed, slices, stored, text_buffer, window_hashes, word_bounds, word_hashes
-from sluice.llm.meeting import meet
+from sluice.llm.meeting import few_first, meet
 
 SHINGLE = 5
 #: Jaccard threshold as a percentage.
@@ -50,7 +50,7 @@ PERCENT = 75
 #: Rows of a column up to which its pairs are all counted at once.
 WIDE = 32
 #: Frequent shingles that are put last, at most (8 bytes each are broadcast), and their least summed count.
-FREQUENT, FREQUENT_LEAST = 500_000, 16
+FREQUENT, FREQUENT_LEAST = 2_000_000, 16
 #: Rows side of a square sub-block of a wide column; rows of a verification group.
 SQUARE, GROUP = 2000, 300
 _LOCAL = 1 << 21
@@ -98,6 +98,10 @@ def _local_counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
     yield out()
 
 
+#: Turns the order of unsigned hashes into that of signed ones.
+_SIGN = np.uint64(1 << 63)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
@@ -107,26 +111,32 @@ def _prefixed(batches: Iterator[pa.RecordBatch], text: str, k: int, percent: int
     common, weight = frequent.value
     seen: set[tuple[int, int]] = set()
     for batch in slices(batches, text):
-        sizes, one, two, rare, prefixes = [], [], [], [], []
+        sizes, one, two, rare, prefixes, end_weight, end_hash = [], [], [], [], [], [], []
         for s in shingle_sets(batch.column(text), k):
             n = len(s)
             at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
             late = common[at] == s if len(common) else np.zeros(n, bool)
             a, b = _signature(s)
-            p = 0 if (a, b) in seen else _prefix_length(n, percent)
-            seen.add((a, b))
+            p = _prefix_length(n, percent)
             first = s[~late][:p]
             if len(first) < p:
                 rest = np.flatnonzero(late)
                 first = np.concatenate([first, s[rest[np.lexsort((s[rest], weight[at[rest]]))]][: p - len(first)]])
+            last = first[-1:]
+            where = np.searchsorted(common, last) if len(common) else np.zeros(len(last), np.int64)
+            end_weight.append(int(weight[where[0]]) if n and where[0] < len(common) and common[where[0]] == last[0] else 0)
+            end_hash.append(int((last ^ _SIGN).view(np.int64)[0]) if n else 0)
+            if (a, b) in seen:
+                first = first[:0]
+            seen.add((a, b))
             rare.append(1000 * int(n - late.sum()) // n if n else 0)
             sizes.append(n)
             one.append(a)
             two.append(b)
             prefixes.append(first.view(np.int64))
         offs = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        cells = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(prefixes)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "_n", "_s1", "_s2", "_rare", "_prefix"])
+        cells = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.int32()), pa.array(end_weight, pa.int64()), pa.array(end_hash, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(prefixes)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "_n", "_s1", "_s2", "_rare", "_e1", "_e2", "_prefix"])
 
 
 def prepare(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
@@ -141,7 +151,7 @@ def prepare(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     text = names[docs.columns.index(text_col)]
-    schema = T.StructType([*numbered.schema, *T._parse_datatype_string("_n long, _s1 long, _s2 long, _rare int, _prefix array<long>")])
+    schema = T.StructType([*numbered.schema, *T._parse_datatype_string("_n long, _s1 long, _s2 long, _rare int, _e1 long, _e2 long, _prefix array<long>")])
     return stored(numbered.mapInArrow(lambda b: _prefixed(b, text, k, percent, frequent), schema), "prefixes")
 
 
@@ -264,7 +274,13 @@ def _block_product(batches: Iterator[pa.RecordBatch], percent: int, wide: int) -
 
 
 def _square_product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, side, row, n, rank, component) sorted by the first three: pairs across components."""
+    """Rows (h, i, j, side, node, n, rank, component, wide, end, end) sorted by the first three: pairs across components.
+
+    These pairs share no short column, or they were checked before.  Of two
+    sets the one whose prefix ends first has every common prefix column of its
+    own in the other's prefix too; so their overlap is at most their wide
+    columns and what lies behind that prefix.
+    """
     pairs = _Pairs()
     held: list[np.ndarray] = []
 
@@ -274,11 +290,15 @@ def _square_product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         for part in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
             if len(part) and len(right):
                 a, b = np.nonzero((part[:, None, 7] != right[None, :, 7]) & (part[:, None, 4] != right[None, :, 4]))
-                ok = _fits(part[a, 5], right[b, 5], part[a, 6], right[b, 6], percent)
-                pairs.add(part[a[ok], 4], right[b[ok], 4], part[a[ok], 5], right[b[ok], 5])
+                x, y = part[a], right[b]
+                first = (x[:, 9] < y[:, 9]) | ((x[:, 9] == y[:, 9]) & (x[:, 10] <= y[:, 10]))
+                n = np.where(first, x[:, 5], y[:, 5])
+                most = np.minimum(x[:, 8], y[:, 8]) + (percent * n + 99) // 100 - 1
+                ok = _fits(x[:, 5], y[:, 5], x[:, 6], y[:, 6], percent) & ((100 + percent) * most >= percent * (x[:, 5] + y[:, 5]))
+                pairs.add(x[ok, 4], y[ok, 4], x[ok, 5], y[ok, 5])
 
     for batch in batches:
-        x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
+        x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(11)])
         if not len(x):
             continue
         every = np.concatenate([*held, x])
@@ -310,7 +330,7 @@ def _verified(rows: pa.Table, pairs: pa.Table, k: int, percent: int) -> pa.Table
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose sets reach the threshold; ``texts`` has _row and text."""
     heads = classes.select("node", "_row")
-    return meet(pairs.select("u", "v").distinct(), texts, lambda a, b: _verified(a, b, k, percent), "u long, v long", GROUP, heads)
+    return meet(few_first(pairs), texts, lambda a, b: _verified(a, b, k, percent), "u long, v long", GROUP, heads)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,7 +356,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) -> tuple[DataFrame, DataFrame]:
     """Classes (_s1, _s2, _n, node) of equal sets, and (node, label) of linked classes."""
-    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("_row"))
+    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("_row"), F.first("_e1").alias("_e1"), F.first("_e2").alias("_e2"))
     classes = stored(classes.withColumn("node", F.col("_s1")), "classes")
     posts = rows.select(F.col("_s1").alias("node"), "_n", "_rare", F.posexplode("_prefix").alias("rank", "h"))
     dealt = posts.select("h", "node", "_n", "rank", "_rare").repartition(F.col("h")).sortWithinPartitions("h", "_rare", "node")
@@ -344,24 +364,29 @@ def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) ->
 
     wide_rows = product.where("h is not null")
     in_wide = wide_rows.groupBy("u").agg(F.count(F.lit(1)).alias("w"))
-    counted = product.where("h is null").groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("c").alias("c"))
-    left, right = in_wide.select("u", F.col("w").alias("wu")), in_wide.select(F.col("u").alias("v"), F.col("w").alias("wv"))
-    counted = counted.join(left, "u", "left").join(right, "v", "left")
-    spare = F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100) - 1  # a set's columns beyond its prefix
-    most = F.col("c") + F.least(F.coalesce("wu", F.lit(0)), F.coalesce("wv", F.lit(0))) + spare
-    counted = counted.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv")))
-    first = counted.select("u", "v").union(wide_rows.where("fits").select("u", "v"))
+    info = classes.select("node", F.col("_n").alias("n"), "_e1", "_e2").join(in_wide, classes["node"] == in_wide["u"], "left")
+    info = stored(info.select("node", "n", F.coalesce("w", F.lit(0)).alias("w"), "_e1", "_e2"), "info")
+    starred = wide_rows.where("fits").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.lit(0).cast("long").alias("c"))
+    counted = product.where("h is null").select("u", "v", "c").union(starred).groupBy("u", "v").agg(F.sum("c").alias("c"))
+    left = info.select(F.col("node").alias("u"), F.struct("_e1", "_e2").alias("eu"), F.col("n").alias("nu"), F.col("w").alias("wu"))
+    right = info.select(F.col("node").alias("v"), F.struct("_e1", "_e2").alias("ev"), F.col("n").alias("nv"), F.col("w").alias("wv"))
+    counted = counted.join(left, "u").join(right, "v")
+    # a set's columns beyond its prefix, of the set whose prefix ends first
+    spare = F.ceil(F.lit(percent) * F.when(F.col("eu") <= F.col("ev"), F.col("nu")).otherwise(F.col("nv")) / 100) - 1
+    most = F.col("c") + F.least("wu", "wv") + spare
+    first = counted.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
     texts = rows.select("_row", F.col(text).alias("text"))
     links = verify(first, classes, texts, k, percent)
     labels = components(links)
 
     tagged = wide_rows.select("h", "u", "nu", "r").join(labels, wide_rows["u"] == labels["node"], "left")
-    tagged = tagged.select("h", "u", "nu", "r", F.coalesce("label", "u").alias("label"))
+    own = info.select(F.col("node").alias("u"), "w", "_e1", "_e2")
+    tagged = tagged.select("h", "u", "nu", "r", F.coalesce("label", "u").alias("label")).join(own, "u")
     mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     sides = F.greatest(F.lit(1), F.ceil(F.col("size") / SQUARE)).cast("int")
     cells = tagged.join(mixed.select("h", "size"), "h").withColumn("sides", sides).withColumn("own", F.pmod(F.xxhash64("u"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = cells.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "u", "nu", "r", "label")
+    cells = cells.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "u", "nu", "r", "label", "w", "_e1", "_e2")
     cells = cells.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
     across = stored(cells.mapInArrow(lambda b: _square_product(b, percent), _OUT_SQL).select("u", "v"), "across")
     if across.limit(1).count():

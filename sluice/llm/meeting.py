@@ -40,7 +40,7 @@ def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table]
     numbers from 0; ``rows`` gives the row of each node (none: nodes are rows).
     Pairs gather by the smallest partner v of their u; a partner with very many
     is salted into several groups, and a text goes only to the groups that need
-    it.  Pairs of one u always share a group.
+    it.  Pairs of one u always share a group, so u must be the side with few.
     """
     pairs = stored(pairs, "pairs")
     anchors = pairs.groupBy("u").agg(F.min("v").alias("a"))
@@ -56,3 +56,12 @@ def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table]
     right = placed.withColumnRenamed("g", "own_g").groupBy("own_g")
     with runtime_filter(pairs.sparkSession):
         return stored(left.cogroup(right).applyInArrow(look, schema), "met")
+
+
+def few_first(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) turned so that u is in fewer pairs than v, or in as many and greater."""
+    pairs = stored(pairs.select("u", "v").distinct(), "turned")
+    degree = stored(pairs.select("u").union(pairs.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("d")), "degrees")
+    both = pairs.join(degree.withColumnRenamed("d", "du"), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+    turn = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    return both.select(F.when(turn, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turn, F.col("u")).otherwise(F.col("v")).alias("v"))

@@ -67,14 +67,14 @@ def entropy_windows(s: str, width: int = WINDOW) -> Iterator[tuple[int, float]]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(s):
-        k = counts.get(c, 0)
-        counts[c] = k + 1
-        total += term[k + 1] - term[k] if k < n else 0.0
         if i >= n:
             d = s[i - n]
             k = counts[d]
             counts[d] = k - 1
             total += term[k - 1] - term[k]
+        k = counts.get(c, 0)
+        counts[c] = k + 1
+        total += term[k + 1] - term[k]
         if i >= n - 1:
             yield i - n + 1, math.log2(n) - total / n
 
