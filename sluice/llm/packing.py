@@ -24,6 +24,7 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 from collections import Counter
@@ -40,8 +41,8 @@ from sluice.llm.common import stored
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-#: Words, and parts of words, whose tokens a worker remembers at once.
-REMEMBERED = 500_000
+#: Words whose tokens a worker remembers at once.
+REMEMBERED = 800_000
 #: ASCII punctuation without the apostrophe, with which the tokenizer begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Parts that the pieces of one length are counted in.
@@ -57,56 +58,71 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """Token ids of whole texts, as little-endian uint32 bytes, word by word.
 
-    Text is cut at ASCII white space.  A word of letters with punctuation after
-    it is two tokens' worth in the tokenizer's split pattern, so its parts are
-    looked up apart, in lower case: few parts have to be tokenized.  Both tables
-    are emptied when they are full, which only costs time.
+    Text is cut at white space, and before a comma or full stop that ends a
+    word, where the tokenizer's split pattern cuts too; it is lower-cased first
+    where that is what the tokenizer does letter by letter.  Few distinct words
+    remain, and their tokens are remembered in a table that is emptied when it
+    is full, which only costs time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[no for w, no in words.items() if w.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() if t.isascii() else _ascii_split(t) for t in texts]
-        found = [list(map(self.words.get, ws)) for ws in words]
-        missing = [i for i, f in enumerate(found) if None in f]
-        if missing:
-            new = {w for i in missing for w, f in zip(words[i], found[i], strict=True) if f is None}
-            learned = self._learn(new)
-            for i in missing:
-                found[i] = [learned[w] if f is None else f for w, f in zip(words[i], found[i], strict=True)]
-            if len(self.words) + len(learned) > REMEMBERED:
-                self.words.clear()
-            self.words.update(learned)
-        return [b"".join(f) for f in found]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        cut: dict[str, tuple[str, str]] = {}
-        for w in new:
-            head = w.rstrip(PUNCTUATION)
-            if head.isalpha():
-                cut[w] = (head.lower() if head.isascii() else head, w[len(head) :])
+        words = list(map(cut_words, texts))
+        known = self.known
+        new = set(itertools.chain.from_iterable(words)).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(itertools.chain.from_iterable(words))
+        self._learn(new)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+    def _learn(self, new: set[str]) -> None:
+        """Tokenize the words; one of letters with punctuation after it, by its two parts."""
+        known = self.known
+        cut = {w: (head, w[len(head) :]) for w in new if not w.isalpha() and (head := w.rstrip(PUNCTUATION)) != w and head.isalpha()}
+        plain = [w for w in new if w not in cut]
+        plain += {p for pair in cut.values() for p in pair}.difference(known, plain)
+        letters = [w for w in plain if w.isalpha()]
+        for at in range(0, len(letters), 5_000):
+            step = letters[at : at + 5_000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(step), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(step):  # each word ends in one token that ends a word
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                known.update(zip(step, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
-                cut[w] = (w, "")
-        parts = self.parts
-        fresh = sorted({p for pair in cut.values() for p in pair if p and p not in parts})
-        if len(parts) + len(fresh) > REMEMBERED:
-            parts.clear()
-            fresh = sorted({p for pair in cut.values() for p in pair if p})
-        for at in range(0, len(fresh), 20_000):
-            step = fresh[at : at + 20_000]
-            for p, e in zip(step, self.tokenizer.encode_batch(step, add_special_tokens=False), strict=True):
-                parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return {w: parts[head] + parts[tail] if tail else parts[head] for w, (head, tail) in cut.items()}
-
-
-def _ascii_split(text: str) -> list[str]:
-    """Split at ASCII white space only: other white space stays inside a word, as the tokenizer sees it."""
-    return [w.decode() for w in text.encode().split()]
+                self._one_by_one(step)
+        self._one_by_one([w for w in plain if not w.isalpha()])
+        for w, (head, tail) in cut.items():
+            known[w] = known[head] + known[tail]
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+
+#: Characters whose lower case or white space depends on more than the character.
+_UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+#: A comma or full stop that ends a run of several symbols, which is one token to split.
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+
+
+def cut_words(text: str) -> list[str]:
+    """Parts of a text that the tokenizer never joins, in order."""
+    if _UNUSUAL.search(text):
+        return [w.decode() for w in text.encode().split()]  # at ASCII white space only
+    text = text.lower()
+    if not _RUN.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+    return text.split()
 
 
 _encoders: dict[str, WordEncoder] = {}

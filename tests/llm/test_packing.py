@@ -43,7 +43,7 @@ def test_tables(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, "It's 2 o'clock, don't. Now!! x. 9, é. ß, <|endoftext|>a.b ..,, Á \x1c z\x85y İI"), (3, "same"), (3, "same"), (None, "same, Same."), (6, "word " * 9000), (7, "１２, ½. ー. Ⅷ, x́.")]
+    rows = [(1, None), (2, ""), (3, "It's 2 o'clock, don't. Now!! x. 9, é. ß, <|endoftext|>a.b ..,, Á \x1c z\x85y İI"), (3, "same"), (3, "same"), (None, "same, Same."), (6, "word " * 9000), (7, "１２, ½. ー. Ⅷ, x́."), (8, "!!, a_, b\x1cc\x1dd Σας ΣΑΣ. it's, 'tis. ½, ²."), (9, "__, x.. y,, z.\nEnd.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as length", "'q' as piece")
     holds(rows, P.pack(docs).collect(), 2048)
     holds(rows, P.pack(docs, capacity=16).collect(), 16)
