@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ALNUM, pack, slices, stored, text_buffer, unpack, word_bounds, word_hashes
+from sluice.llm.common import ALNUM, drop_stored, pack, slices, stored, text_buffer, unpack, word_bounds, word_hashes
 
 WINDOW = 10
 SLOP = 2
@@ -280,5 +280,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     null ids are told apart.
     """
     numbered = stored(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "numbered")
-    hit = search(build_index(numbered, "_sl_row", text_col), items, slop=0).where(F.size("items") > 0).select("doc_id")
+    index = build_index(numbered, "_sl_row", text_col)
+    hit = stored(search(index, items, slop=0).where(F.size("items") > 0).select("doc_id"), "hit")
+    drop_stored(index)
     return numbered.join(hit, numbered["_sl_row"] == hit["doc_id"], "left_anti").drop("_sl_row")

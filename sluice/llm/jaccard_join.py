@@ -425,4 +425,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = docs.columns
     rows = prepare(docs, text_col, SHINGLE, PERCENT)
     gone = _placed(rows, f"c{names.index(id_col)}", f"c{names.index(text_col)}").where("not _keep").select("_row")
+    gone = stored(gone, "gone").hint("shuffle_hash")  # grows with the corpus: never broadcast
     return rows.join(gone, "_row", "left_anti").select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)

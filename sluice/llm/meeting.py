@@ -52,7 +52,8 @@ def meet(pairs: DataFrame, texts: DataFrame, look: Callable[[pa.Table, pa.Table]
     need = placed.select("g", F.col("u").alias("node")).union(placed.select("g", F.col("v").alias("node"))).distinct()
     need = need.join(rows, "node") if rows is not None else need.withColumn("_row", F.col("node"))
     need = stored(need.select("g", "node", "_row"), "need")
-    left = need.where(F.col("_row") > -1).join(texts, "_row").select("g", "node", "text").groupBy("g")
+    # what is needed grows with the corpus: never broadcast, the same plan at every size
+    left = texts.join(need.where(F.col("_row") > -1).hint("shuffle_hash"), "_row").select("g", "node", "text").groupBy("g")
     right = placed.withColumnRenamed("g", "own_g").groupBy("own_g")
     with runtime_filter(pairs.sparkSession):
         return stored(left.cogroup(right).applyInArrow(look, schema), "met")
