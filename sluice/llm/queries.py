@@ -70,4 +70,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+#: Shingle sets by list functions, overlaps by a join on shingles, components by recursion.
+JACCARD_SQL = r"""
+with recursive
+w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents
+),
+s as (
+  select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as grams
+  from w
+),
+n as (select doc_id, len(grams) as n from s),
+e as (select doc_id, unnest(grams) as gram from s),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+l as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 75 * (x.n + y.n - c)),
+linked as (select u, v from l union all select v, u from l),
+r(node, root) as (select doc_id, doc_id from n union select linked.v, r.root from r join linked on r.node = linked.u)
+select n.doc_id, n.n::bigint as n_shingles, min(r.root) as component_id from n join r on r.node = n.doc_id group by n.doc_id, n.n
+"""
+
+ORACLES: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL}
