@@ -517,6 +517,10 @@ SQLS: dict[str, tuple[str, str]] = {
         "select vec_id, x from embeddings cross join unnest(embedding) as t(x)",
         "select vec_id, unnest(embedding) as x from embeddings",
     ),
+    "sql_unnest_ordinality": (
+        "select vec_id, x, i from embeddings cross join unnest(embedding) with ordinality as t(x, i)",
+        "select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1)::bigint as i from embeddings",
+    ),
     "sql_lateral_view": ("select k, v from (select 1 as k, array(10, 20) as a) t lateral view explode(a) e as v", "select * from (values (1, 10), (1, 20)) t(k, v)"),
     "sql_lateral_join": (
         "select r_name, n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) x",
