@@ -47,6 +47,17 @@ def has_aggregate(e: Any, scope: Scope, plan: Lowering) -> bool:
     return any(has_aggregate(x, scope, plan) for x in A.children(e))
 
 
+def expanded(plan: Lowering, e: Any) -> Any:
+    """User functions replaced by their bodies, so that aggregates inside them are seen."""
+
+    def change(x: A.Expr) -> A.Expr | None:
+        if isinstance(x, A.Call) and (f := plan.env.function(x.name)) is not None and f.body is not None:
+            return expanded(plan, plan.env.expand(f, x.args, None))
+        return None
+
+    return A.rewrite(e, change)
+
+
 @dataclass
 class Extractor:
     """Replaces aggregates and keys by columns of the grouped result."""

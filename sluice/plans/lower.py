@@ -196,7 +196,7 @@ class Lowering:
     def _filter(self, r: A.Filter, outer: Outer) -> Scope:
         scope = self.pending(r.child, outer)
         if scope.group:
-            return replace(scope, group=replace(scope.group, filters=(*scope.group.filters, r.condition)))
+            return replace(scope, group=replace(scope.group, filters=(*scope.group.filters, G.expanded(self, r.condition))))
         scope = isolated(scope, r.condition)
         return replace(scope, df=scope.df.where(self.expressions(scope, outer)(r.condition)))
 
@@ -228,6 +228,7 @@ class Lowering:
 
     def _project(self, r: A.Project, outer: Outer) -> Scope:
         scope = self.pending(r.child, outer)
+        r = replace(r, items=G.expanded(self, r.items))
         if scope.group or any(G.has_aggregate(i.expr, scope, self) for i in r.items):
             out = G.grouped(self, scope, list(r.items), False, outer)
             return replace(out, df=out.df.distinct()) if r.distinct else out
@@ -235,7 +236,7 @@ class Lowering:
         return scope.project(self.items(scope, r.items, outer), r.distinct)
 
     def _agg(self, r: A.Agg, outer: Outer) -> Scope:
-        return G.grouped(self, self.pending(r.child, outer), list(r.items), True, outer)
+        return G.grouped(self, self.pending(r.child, outer), list(G.expanded(self, r.items)), True, outer)
 
     def _count(self, r: A.Count, outer: Outer) -> Scope:
         scope = self.pending(r.child, outer)

@@ -125,6 +125,11 @@ from m(20)
         engine.query("from m(k = 1)")
 
 
+def test_functions_that_aggregate(engine):
+    text = "def total(x: long): long = x.sum\nfrom [[1, 2], [1, 3], [2, 9]] as t(g, v) group by g where total(v) < 9 agg total(v) as s, total(v) * 2 as twice"
+    assert rows(engine.query(text)) == [[1, 5, 10]]
+
+
 def test_types_and_methods(engine):
     text = """
 type person = {
