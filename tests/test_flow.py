@@ -209,3 +209,26 @@ def test_explain_and_pushdown(engine, spark):
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in text
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in text
     assert "CartesianProduct" not in engine.run("explain from customer, orders where c_custkey = o_custkey count")[0].text
+
+
+def test_catalog_and_commands(engine, spark):
+    spark.sql("drop table if exists listed")
+    engine.sql("create table listed as select 1 as id, 'a' as s")
+    assert ["listed"] in rows(engine.query("show tables"))
+    assert ["default"] in [r[1:] for r in rows(engine.query("show schemas"))]
+    assert rows(engine.query("show columns in listed where column_name = 's'")) == [["listed", "s", "string"]]
+    assert "listed" in [r[2] for r in rows(engine.query("from wv_tables()"))]
+    assert ["default"] in [r[1:] for r in rows(engine.query("from wv_schemas()"))]
+    assert rows(engine.run('execute sql"select count(*) as n from listed"')[0].df) == [[1]]
+    assert "LocalTableScan" in engine.run('explain sql"select 1 as x"')[0].text or "OneRow" in engine.run('explain sql"select 1 as x"')[0].text
+    engine.sql("insert overwrite table listed values (7, 'z')")
+    assert rows(engine.query("from listed")) == [[7, "z"]]
+    engine.sql("truncate table listed")
+    assert engine.query("from listed").count() == 0
+    engine.sql("create or replace table listed as select 2 as id")
+    assert rows(engine.query("from listed")) == [[2]]
+    engine.run("use default")
+    spark.sql("drop table listed")
+    assert rows(engine.query('from json\'{"a": [1, 2], "b": null}\' select a[2] as x, b')) == [[2, None]]
+    assert rows(engine.query("from unnest([3, 4]) as t(x) select x.sum as s")) == [[7]]
+    assert rows(engine.query("from range(3) count")) == [[3]]
