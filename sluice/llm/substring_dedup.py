@@ -214,12 +214,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     signed = rows.where(F.col("n") >= LEAST).select("node", "id", "n", F.xxhash64("text").alias("t1"), F.md5("text").alias("t2"))
     classes = stored(signed.groupBy("t1", "t2").agg(F.min("node").alias("head")), "classes")
-    heads = classes.select(F.col("head").alias("node"))
+    heads = classes.select(F.col("head").alias("node")).hint("shuffle_hash")  # grows with the corpus: never broadcast
     seeds = rows.join(heads, "node", "left_semi").select("node", F.explode(F.arrays_zip("h", "at")).alias("s")).select(F.col("s.h").alias("h"), "node", F.col("s.at").alias("at"))
     seeds = stored(seeds, "places")
     pivots = seeds.groupBy("h").agg(F.min(F.struct("node", "at")).alias("p"), F.max("node").alias("most")).where(F.col("p.node") < F.col("most"))
     pivots = pivots.select("h", F.col("p.node").alias("v"), F.col("p.at").alias("pv"))
-    matches = seeds.join(pivots, "h").where(F.col("node") != F.col("v"))
+    matches = seeds.join(pivots.hint("shuffle_hash"), "h").where(F.col("node") != F.col("v"))
     pairs = matches.groupBy(F.col("node").alias("u"), "v").agg(F.collect_list(F.struct(F.col("at").alias("pu"), "pv")).alias("seeds"))
     found = meet(pairs, rows.select(F.col("node").alias("_row"), "text"), _aligned, "u long, v long, start_word long, end_word long, other_start long, other_end long, matches long", GROUP)
 
