@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -18,7 +19,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", "/tmp/sluice-test-warehouse")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sluice-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
