@@ -11,7 +11,9 @@
    less a cost for both gaps comes from a Fenwick tree of prefix maxima.
 5. Chains are aligned to the texts: ends are extended over equal words and
    small edits, gaps between segments are aligned exactly, and passages of
-   at least ``LEAST`` words and ``SIMILAR`` likeness are returned.
+   at least ``LEAST`` words and ``SIMILAR`` likeness are returned.  A chain
+   that is less alike is cut at its widest gap and its parts are judged again,
+   down to single segments.
 
 Every copy of a passage is linked to its first place, so groups cost a row per
 member, and the rows with their first places give the classes.
@@ -162,7 +164,10 @@ def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> li
     """Aligned passages (start, end, other start, other end, matches) of word arrays a and b from seeds."""
     su, sv, size = _segments(pu, pv)
     out: list[tuple[int, int, int, int, int]] = []
-    for own in chain(su, sv, size):
+    gaps: dict[tuple[int, int, int, int], int] = {}
+    waiting = chain(su, sv, size)[::-1]
+    while waiting:
+        own = waiting.pop()
         u, v = int(su[own[0]]), int(sv[own[0]])
         left, other, matches = _extend(a[:u][::-1], b[:v][::-1])
         start, ostart, i, j = u - left, v - other, u, v
@@ -170,7 +175,9 @@ def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> li
             x, y = int(su[s]), int(sv[s])
             if x > i or y > j:
                 x, y = max(x, i), max(y, j)
-                matches += _common(a[i:x], b[j:y])
+                if (i, x, j, y) not in gaps:
+                    gaps[i, x, j, y] = _common(a[i:x], b[j:y])
+                matches += gaps[i, x, j, y]
             i, j = x, y
             end = int(su[s] + size[s])
             if end > i:
@@ -180,6 +187,11 @@ def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> li
         right, oright, more = _extend(a[i:], b[j:])
         passage = (start, i + right, ostart, j + oright, matches + more)
         words = max(passage[1] - passage[0], passage[3] - passage[2])
+        if passage[4] < SIMILAR * words and len(own) > 1:
+            at = np.asarray(own)
+            cut = int(np.argmax(np.diff(su[at]) + np.diff(sv[at]) - 2 * size[at[:-1]])) + 1
+            waiting += [own[cut:], own[:cut]]
+            continue
         inside = any(p[0] <= passage[0] and passage[1] <= p[1] for p in out)
         if passage[1] - passage[0] >= LEAST and passage[4] >= SIMILAR * words and not inside:
             out.append(passage)

@@ -77,3 +77,21 @@ def test_common(a, b):
         for j, y in enumerate(b):
             t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
     assert D._common(np.array(a, int), np.array(b, int)) == t[-1][-1]
+
+
+def aligned(u, v):
+    a, b = (np.array([hash(x) for x in w], np.int64).view(np.uint64) for w in (u, v))
+    places = [dict(zip(h.tolist(), at.tolist(), strict=True)) for h, at, _ in (D._seeds(w, np.array([0, len(w)])) for w in (a, b))]
+    both = [h for h in places[0] if h in places[1]]
+    return D.passages(a, b, *(np.array([p[h] for h in both], np.int64) for p in places))
+
+
+def test_long_passages_around_an_insertion():
+    rng = random.Random(5)
+    head, tail = words(rng, 400), words(rng, 400)
+    between = words(rng, 600)
+    assert aligned(head + tail, head + between + tail) == [(0, 400, 0, 400, 400), (400, 800, 1000, 1400, 400)]
+    assert aligned(head + between + tail, head + tail) == [(0, 400, 0, 400, 400), (1000, 1400, 400, 800, 400)]
+    parts = [words(rng, 100) for _ in range(4)]
+    spread = [w for p in parts for w in p + words(rng, 120)]
+    assert [p[:2] for p in aligned([w for p in parts for w in p], spread)] == [(0, 100), (100, 200), (200, 300), (300, 400)]
