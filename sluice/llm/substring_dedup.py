@@ -15,7 +15,13 @@
    that is less alike is cut at its widest gap and its parts are judged again,
    down to single segments.
 
-Every copy of a passage is linked to its first place, so groups cost a row per
+6. A seed that no passage of some pair covers is open: its first place may hold
+   a part of a passage only.  Around all places of open seeds every window of
+   ``LEAST`` words is joined to the window's own first place and aligned in the
+   same way.  These windows are equal over ``LEAST`` words, so one more join
+   links all verbatim passages, whatever a seed's first place holds.
+
+Every copy of a passage is linked to a first place, so groups cost a row per
 member, and the rows with their first places give the classes.
 
 Defined results: null and empty texts and texts shorter than ``LEAST`` words
@@ -33,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.common import ALNUM, _mixed, slices, stored, text_buffer, window_hashes, window_ok, word_bounds, word_hashes
-from sluice.llm.meeting import meet
+from sluice.llm.meeting import meet, runtime_filter
 
 K, SPREAD = 10, 16
 #: Least words of a passage, least share of its words that match.
@@ -72,6 +78,24 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "n", "h", "at"])
 
 
+def _long_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash, row and place of the windows of ``LEAST`` words that hold one of the row's open seeds."""
+    for batch in slices(batches, "text"):
+        data, offsets = text_buffer(batch.column("text"))
+        starts, ends, ptr = word_bounds(data, offsets, ALNUM)
+        hashes = window_hashes(word_hashes(data, starts, ends), LEAST)
+        seeds = batch.column("seeds")
+        first = np.repeat(ptr[:-1], np.asarray(seeds.value_lengths(), np.int64))
+        at = first + np.asarray(seeds.flatten(), np.int64)
+        edge = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edge, np.maximum(at - (LEAST - K), first), 1)
+        np.add.at(edge, at + 1, -1)
+        at = np.flatnonzero((np.cumsum(edge)[: len(hashes)] > 0) & window_ok(ptr, LEAST))
+        row = np.searchsorted(ptr, at, side="right") - 1
+        node = np.asarray(batch.column("node"), np.int64)[row]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(node, pa.int64()), pa.array(at - ptr[row], pa.int32())], names=["h", "node", "at"])
+
+
 def chain(su: np.ndarray, sv: np.ndarray, size: np.ndarray, cost: float = GAP_COST, overlap: int = K) -> list[list[int]]:
     """Collinear chains of segments (start in u, start in v, words), best first.
 
@@ -129,7 +153,7 @@ def _segments(pu: np.ndarray, pv: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return pu[first], pv[first], pu[last] - pu[first] + K
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def _extend(a: np.ndarray, b: np.ndarray, edits: list[tuple[int, int, int]] = _EDITS) -> tuple[int, int, int]:
     """How far equal starts of a and b go over isolated edits: words of a, of b, and matches."""
     i = j = same = 0
     while True:
@@ -137,7 +161,7 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         diff = np.flatnonzero(a[i : i + n] != b[j : j + n])
         run = int(diff[0]) if len(diff) else n
         i, j, same = i + run, j + run, same + run
-        for x, y, n in _EDITS:
+        for x, y, n in edits:
             if i + x + n <= len(a) and j + y + n <= len(b) and (a[i + x : i + x + n] == b[j + y : j + y + n]).all():
                 i, j = i + x, j + y
                 break
@@ -192,6 +216,10 @@ def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> li
             cut = int(np.argmax(np.diff(su[at]) + np.diff(sv[at]) - 2 * size[at[:-1]])) + 1
             waiting += [own[cut:], own[:cut]]
             continue
+        if passage[4] < SIMILAR * words:  # edits at its ends, so the equal words alone
+            left, right = _extend(a[:u][::-1], b[:v][::-1], [])[0], _extend(a[u:], b[v:], [])[0]
+            words = left + right
+            passage = (u - left, u + right, v - left, v + right, words)
         inside = any(p[0] <= passage[0] and passage[1] <= p[1] for p in out)
         if passage[1] - passage[0] >= LEAST and passage[4] >= SIMILAR * words and not inside:
             out.append(passage)
@@ -213,6 +241,14 @@ def _aligned(rows: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(names)})
 
 
+def _first_places(seeds: DataFrame) -> DataFrame:
+    """Rows (u, v, seeds): the places of u whose hash has its first place in v."""
+    pivots = seeds.groupBy("h").agg(F.min(F.struct("node", "at")).alias("p"), F.max("node").alias("most")).where(F.col("p.node") < F.col("most"))
+    pivots = pivots.select("h", F.col("p.node").alias("v"), F.col("p.at").alias("pv"))
+    matches = seeds.join(pivots.hint("shuffle_hash"), "h").where(F.col("node") != F.col("v"))
+    return matches.groupBy(F.col("node").alias("u"), "v").agg(F.collect_list(F.struct(F.col("at").alias("pu"), "pv", "h")).alias("seeds"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per passage and document that is not its first place.
 
@@ -229,11 +265,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = classes.select(F.col("head").alias("node")).hint("shuffle_hash")  # grows with the corpus: never broadcast
     seeds = rows.join(heads, "node", "left_semi").select("node", F.explode(F.arrays_zip("h", "at")).alias("s")).select(F.col("s.h").alias("h"), "node", F.col("s.at").alias("at"))
     seeds = stored(seeds, "places")
-    pivots = seeds.groupBy("h").agg(F.min(F.struct("node", "at")).alias("p"), F.max("node").alias("most")).where(F.col("p.node") < F.col("most"))
-    pivots = pivots.select("h", F.col("p.node").alias("v"), F.col("p.at").alias("pv"))
-    matches = seeds.join(pivots.hint("shuffle_hash"), "h").where(F.col("node") != F.col("v"))
-    pairs = matches.groupBy(F.col("node").alias("u"), "v").agg(F.collect_list(F.struct(F.col("at").alias("pu"), "pv")).alias("seeds"))
-    found = meet(pairs, rows.select(F.col("node").alias("_row"), "text"), _aligned, "u long, v long, start_word long, end_word long, other_start long, other_end long, matches long", GROUP)
+    texts = rows.select(F.col("node").alias("_row"), "text")
+    met = "u long, v long, start_word long, end_word long, other_start long, other_end long, matches long"
+    pairs = stored(_first_places(seeds), "first")
+    found = meet(pairs, texts, _aligned, met, GROUP)
+
+    spans = found.groupBy("u", "v").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+
+    def inside(start: Column, end: Column) -> Column:
+        held = F.exists("spans", lambda p: (p["start_word"] <= start) & (end <= p["end_word"]))
+        return F.coalesce(held, F.lit(False))
+
+    lone = pairs.join(spans.hint("shuffle_hash"), ["u", "v"], "left").select(F.explode(F.filter("seeds", lambda x: ~inside(x["pu"], x["pu"] + K))).alias("s"))
+    lone = stored(lone.select(F.col("s.h").alias("h")).distinct(), "open")
+    places = seeds.join(lone.hint("shuffle_hash"), "h", "left_semi").groupBy("node").agg(F.collect_list("at").alias("seeds"))
+    places = stored(places, "around")
+    with runtime_filter(docs.sparkSession):
+        windows = rows.select("node", "text").join(places.hint("shuffle_hash"), "node").select("node", "text", "seeds")
+        windows = stored(windows.mapInArrow(_long_windows, "h long, node long, at int"), "windows")
+    more = meet(_first_places(windows), texts, _aligned, met, GROUP)
+    more = more.join(spans.hint("shuffle_hash"), ["u", "v"], "left").where(~inside(F.col("start_word"), F.col("end_word"))).drop("spans")
+    found = found.unionByName(more)
 
     ids = rows.select("node", "id")
     left, right = ids.select(F.col("node").alias("u"), F.col("id").alias("own")), ids.select(F.col("node").alias("v"), F.col("id").alias("other"))

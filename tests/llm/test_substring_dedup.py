@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,3 +96,35 @@ def test_long_passages_around_an_insertion():
     parts = [words(rng, 100) for _ in range(4)]
     spread = [w for p in parts for w in p + words(rng, 120)]
     assert [p[:2] for p in aligned([w for p in parts for w in p], spread)] == [(0, 100), (100, 200), (200, 300), (300, 400)]
+
+
+def prepared(texts):
+    (batch,) = D._prepared(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    return batch.column("h")
+
+
+def test_first_places_with_parts_only(spark):
+    for seed in range(1000):  # the first in which parts hold every seed that two later texts share
+        rng = random.Random(seed)
+        halves, middle = words(rng, 60), words(rng, 60)
+        parts = [halves[:35], halves[25:], middle[8:52]]
+        rows = [(i, words(rng, 50) + p + words(rng, 50)) for i, p in enumerate(parts)]
+        rows += [(10 + i, words(rng, 70) + halves + words(rng, 20)) for i in range(3)]
+        rows += [(20 + i, words(rng, 30) + middle + words(rng, 40)) for i in range(3)]
+        held = [set(x.values.to_pylist()) for x in prepared([" ".join(w) for _, w in rows])]
+        if not any((held[i] & held[j]) - set().union(*held[:3]) for i in range(3, 9) for j in range(3, i)):
+            break
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.other_doc_id, r.start_word, r.end_word, r.matches) for r in D.repeated_passages(docs).collect())
+    assert got == [(10 + i, 10, 70, 130, 60) for i in range(1, 3)] + [(20 + i, 20, 30, 90, 60) for i in range(1, 3)]
+
+
+def test_equal_words_between_edits():
+    rng = random.Random(9)
+    core = words(rng, 50)
+    u, v = list(core), list(core)
+    for _ in range(12):
+        same = words(rng, 4)
+        u, v = u + words(rng, 4) + same, v + words(rng, 1) + same
+    assert any(p[0] == 0 and p[1] >= 50 for p in aligned(u, v))
