@@ -5,7 +5,7 @@ positions of the same grams in the templates (2-grams for short phrases,
 5-grams for longer texts).  A match votes for the diagonal "document position
 minus template position"; votes are counted by diagonal, diagonals of a long
 template that are close and follow one another are merged (words were inserted
-or lost), and a span is accepted when enough of the template's grams lie in
+or lost) whatever other diagonals stand between them, and a span is accepted when enough of the template's grams lie in
 it.  The join compares the gram's words besides their hash, so every vote is
 verified, and a phrase place needs all its grams on one diagonal: the phrase
 word for word.
@@ -82,10 +82,23 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     )
     short = F.col("k") == SHORT
     votes = votes.where(F.col("tpl").isNull() | ~short | (F.col("votes") == F.col("grams")))
-    w = Window.partitionBy("row", "tpl").orderBy("start", "diagonal")
-    cut = short | F.col("tpl").isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > BAND) | (F.col("start") > F.lag("end").over(w) + REACH)
-    chained = votes.withColumn("cut", F.coalesce(cut, F.lit(True)).cast("int")).withColumn("chain", F.sum("cut").over(w))
-    merged = chained.groupBy("row", "id", "n_words", "tpl", "label", "k", "grams", "chain").agg(
+    alone = short | F.col("tpl").isNull()
+
+    def parted(rows: DataFrame, within: list[str], order: list[str], cut, name: str) -> DataFrame:
+        w = Window.partitionBy("row", "tpl", *within).orderBy(*order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        marked = rows.withColumn("cut", F.coalesce(alone | cut(w, before), F.lit(True)).cast("int"))
+        return marked.withColumn(name, F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def far(w, before) -> Column:
+        return F.col("diagonal") - F.lag("diagonal").over(w) > BAND
+
+    # near diagonals first, so that one from elsewhere in the template does not stand between them; rows that
+    # are out of reach may have brought others together, so what is left is parted by diagonal again
+    bands = parted(votes, [], ["diagonal", "start"], far, "band")
+    runs = parted(bands, ["band"], ["start", "diagonal"], lambda w, before: F.col("start") > F.max("end").over(before) + REACH, "run")
+    chained = parted(runs, ["band", "run"], ["diagonal", "start"], far, "chain")
+    merged = chained.groupBy("row", "id", "n_words", "tpl", "label", "k", "grams", "band", "run", "chain").agg(
         F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end")
     )
     score = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))

@@ -41,3 +41,13 @@ def test_long_templates(spark):
     got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "mit" and got[1].base_labels == "" and 0.5 <= got[1].score <= 1 and got[1].spans == f"mit:2:{2 + len(edited) + edited.count('and/or') + edited.count('noninfringement')}"
     assert got[2].labels == "" and got[2].score == 0 and got[3].labels == ""
+
+
+def test_numbered_clauses(spark):
+    first, second, third = dict(TEXTS)["bsd"].split("Redistributions")
+    text = f"{first}1. Redistributions{second}2. Redistributions{third}"
+    apart = f"{first} {'word ' * 100} Redistributions{third}"
+    docs = spark.createDataFrame([(1, "Some code " + text), (2, apart)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(docs).collect()}
+    assert got[1].labels == "bsd" and got[1].score == 56 / 64 and got[1].spans == f"bsd:2:{2 + len(WORD.findall(text))}"
+    assert got[2].labels == ""
