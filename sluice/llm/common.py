@@ -74,6 +74,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             first = last
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Join and cut batches so that each holds about ``max_bytes`` of ``column``, one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, max_bytes):
+        held.append(batch)
+        size += int(text_buffer(batch.column(column))[1][-1])
+        if size >= max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

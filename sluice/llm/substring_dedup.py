@@ -1,102 +1,118 @@
 """Fuzzy repeated passages by collinear chaining.
 
-1. Equal texts are one class, which has one row in what follows.
-2. Seeds: of every ``SPREAD`` consecutive word ``K``-mers the one with the least
-   hash; two texts that share ``K + SPREAD - 1`` words in a row share a seed.
-3. Every seed's first place in the corpus is its pivot (a minimum, combined
-   before the shuffle); a join gives each other place its pivot's.  A seed that
-   very many rows hold costs a row each, and a large key can be divided.
+1. Seeds are pairs of word ``M``-mers: an M-mer and, of the ``REACH`` M-mers
+   after it, the one whose hash is nearest to its own.  They are as specific as
+   ``2 * M`` words in a row but bridge an edit between their halves.  Every
+   third seed is kept, chosen by its hash alone, so that two texts keep the same
+   ones; where ``SPREAD`` seeds in a row would all go, the least stays, so any
+   ``LEAST`` words in a row hold a kept seed.
+2. A task takes its texts in blocks of bounded size.  In a block every other
+   place of a seed is matched with the seed's first place, and a seed leaves the
+   block once: a key that very many rows hold is at most a row per block.
+3. Seeds meet by hash range over all blocks, and each block's place is matched
+   with the first place of all.
 4. By pair of documents, matches on one diagonal become segments, and segments
    are chained: the best predecessor ends before in both texts, and its score
    less a cost for both gaps comes from a Fenwick tree of prefix maxima.
 5. Chains are aligned to the texts: ends are extended over equal words and
-   small edits, gaps between segments are aligned exactly, and passages of
-   at least ``LEAST`` words and ``SIMILAR`` likeness are returned.  A chain
-   that is less alike is cut at its widest gap and its parts are judged again,
-   down to single segments.
-
-6. A seed that no passage of some pair covers is open: its first place may hold
-   a part of a passage only.  Around all places of open seeds every window of
-   ``LEAST`` words is joined to the window's own first place and aligned in the
-   same way.  These windows are equal over ``LEAST`` words, so one more join
-   links all verbatim passages, whatever a seed's first place holds.
-
-Every copy of a passage is linked to a first place, so groups cost a row per
-member, and the rows with their first places give the classes.
+   small edits to the point where the likeness of what was added is best, gaps
+   between segments are aligned exactly, and passages of at least ``LEAST``
+   words and ``SIMILAR`` likeness are returned.  A chain that is less alike is
+   cut at its widest gap and its parts are judged again, down to single
+   segments.
+6. A place that no passage covers is open: the seed's first place may hold a
+   part of a passage only.  Windows of ``LEAST`` words around open places go
+   through 2 to 5 once more with the whole window as the seed.  A window with a
+   seed that no other document holds cannot repeat and is left out.  So
+   verbatim passages are linked whatever a seed's first place holds.
+
+Every copy of a passage is linked to a first place, of its block or of all, so
+groups cost a row per member, and the links give the classes.  Equal texts are
+one passage over the whole, of kind "copy".
 
 Defined results: null and empty texts and texts shorter than ``LEAST`` words
-have no passages; equal texts are linked to the class's first row over the
-whole text; a passage that repeats only inside one document is not returned;
-repeated rows are equal texts; ties of place go to the smaller row number; an
-empty table gives an empty table.
+have no passages; a passage that repeats only inside one document is not
+returned; repeated rows are equal texts; ties of place go to the row read
+first in a block and to the smaller row number between blocks; an empty table
+gives an empty table.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sluice.llm.common import ALNUM, _mixed, slices, stored, text_buffer, window_hashes, window_ok, word_bounds, word_hashes
+from sluice.llm.common import _CHAIN, ALNUM, _mixed, gathered, pack, stored, text_buffer, unpack, window_hashes, window_ok, word_bounds, word_hashes
 from sluice.llm.meeting import meet, runtime_filter
 
-K, SPREAD = 10, 16
+#: Words of each half of a seed, places its second half is chosen from, words a seed lies within.
+M, REACH = 4, 8
+EXTENT = 2 * M + REACH - 1
 #: Least words of a passage, least share of its words that match.
 LEAST, SIMILAR = 45, 0.8
+#: One seed of this many is kept, and one of any SPREAD in a row.
+KEPT, SPREAD = 3, LEAST - EXTENT + 1
+#: Matches of one diagonal at most this many words apart are one segment.
+JOINED = 26
 #: Cost of a word of gap in a chain.
 GAP_COST = 0.5
 #: Edits that an end is extended over: words of both texts, and equal words that must follow, more after larger edits.
-_EDITS = sorted(((x, y, 2 if x + y <= 2 else 4 if x + y <= 5 else 8) for x in range(7) for y in range(7) if x or y), key=lambda e: (e[0] + e[1], abs(e[0] - e[1])))
+_EDITS = sorted(((x, y, 2 if x + y <= 2 else 3 if x + y <= 6 else 5) for x in range(7) for y in range(7) if x or y), key=lambda e: (e[0] + e[1], abs(e[0] - e[1])))
+#: Bytes of text in a block of a task, and in a hash range on average.
+BLOCK_BYTES = 16 << 20
 GROUP = 300
 
+Keys = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def _seeds(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place in its row, and row of the chosen K-mers."""
-    hashes = window_hashes(words, K)
-    if len(hashes) < SPREAD:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, SPREAD).argmin(axis=1) + np.arange(len(hashes) - SPREAD + 1)
-    at = np.unique(least[window_ok(ptr, K + SPREAD - 1)])
-    row = np.searchsorted(ptr, at, side="right") - 1
-    return hashes[at], at - ptr[row], row
 
+def seeds(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the kept seeds, and the word each begins with."""
+    halves = window_hashes(words, M)
+    n = max(len(words) - EXTENT + 1, 0)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for j in range(REACH):
+        np.minimum(least, halves[:n] ^ halves[M + j : M + j + n], out=least)
+    key = _mixed(halves[:n] * _CHAIN + (least ^ halves[:n]))
+    kept = key % np.uint64(KEPT) == 0
+    if n >= SPREAD:
+        total = np.concatenate([[0], np.cumsum(kept)])
+        bare = np.flatnonzero((total[SPREAD:] == total[:-SPREAD]) & window_ok(ptr, LEAST))
+        for at in (bare[i : i + 65536] for i in range(0, len(bare), 65536)):
+            kept[at + np.lib.stride_tricks.sliding_window_view(key, SPREAD)[at].argmin(axis=1)] = True
+    at = np.flatnonzero(kept & window_ok(ptr, EXTENT))
+    return key[at], at
 
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, offsets = text_buffer(batch.column("text"))
-        starts, ends, ptr = word_bounds(data, offsets, ALNUM)
-        words = word_hashes(data, starts, ends)
-        h, at, row = _seeds(words, ptr)
-        offs = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-        cells = [pa.array(np.diff(ptr), pa.int64()), pa.ListArray.from_arrays(offs, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offs, pa.array(at, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, "n", "h", "at"])
 
+def seed_keys(batch: pa.RecordBatch, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return seeds(words, ptr)
 
-def _long_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash, row and place of the windows of ``LEAST`` words that hold one of the row's open seeds."""
-    for batch in slices(batches, "text"):
-        data, offsets = text_buffer(batch.column("text"))
-        starts, ends, ptr = word_bounds(data, offsets, ALNUM)
-        hashes = window_hashes(word_hashes(data, starts, ends), LEAST)
-        seeds = batch.column("seeds")
-        first = np.repeat(ptr[:-1], np.asarray(seeds.value_lengths(), np.int64))
-        at = first + np.asarray(seeds.flatten(), np.int64)
-        edge = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(edge, np.maximum(at - (LEAST - K), first), 1)
-        np.add.at(edge, at + 1, -1)
-        at = np.flatnonzero((np.cumsum(edge)[: len(hashes)] > 0) & window_ok(ptr, LEAST))
-        row = np.searchsorted(ptr, at, side="right") - 1
-        node = np.asarray(batch.column("node"), np.int64)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(node, pa.int64()), pa.array(at - ptr[row], pa.int32())], names=["h", "node", "at"])
-
-
-def chain(su: np.ndarray, sv: np.ndarray, size: np.ndarray, cost: float = GAP_COST, overlap: int = K) -> list[list[int]]:
+
+def window_keys(batch: pa.RecordBatch, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``LEAST`` words that hold an open place and no seed that only their document holds."""
+
+    def places(name: str) -> np.ndarray:
+        col = batch.column(name)
+        return np.repeat(ptr[:-1], np.asarray(col.value_lengths(), np.int64)) + np.asarray(col.flatten(), np.int64)
+
+    def within(at: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words)))])
+        return total[SPREAD : SPREAD + len(hashes)] - total[: len(hashes)]
+
+    hashes = window_hashes(words, LEAST)
+    at = seeds(words, ptr)[1]
+    alone = at[~np.isin(at, places("shared"))]
+    at = np.flatnonzero((within(alone) == 0) & (within(places("open")) > 0) & window_ok(ptr, LEAST))
+    return hashes[at], at
+
+
+def chain(su: np.ndarray, sv: np.ndarray, size: np.ndarray, cost: float = GAP_COST, overlap: int = M) -> list[list[int]]:
     """Collinear chains of segments (start in u, start in v, words), best first.
 
     A segment's score is its size plus the best of 0 and a predecessor's score
@@ -143,30 +159,42 @@ def chain(su: np.ndarray, sv: np.ndarray, size: np.ndarray, cost: float = GAP_CO
     return out
 
 
-def _segments(pu: np.ndarray, pv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds on one diagonal, each within reach of the one before, as segments."""
+def _segments(pu: np.ndarray, pv: np.ndarray, size: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of ``size`` words on one diagonal, each within reach of the one before, as segments."""
     order = np.lexsort((pu, pu - pv))
     pu, pv = pu[order], pv[order]
-    cut = np.concatenate([[True], (np.diff(pu - pv) != 0) | (np.diff(pu) > K + SPREAD)])
+    cut = np.concatenate([[True], (np.diff(pu - pv) != 0) | (np.diff(pu) > JOINED)])
     first = np.flatnonzero(cut)
     last = np.concatenate([first[1:], [len(pu)]]) - 1
-    return pu[first], pv[first], pu[last] - pu[first] + K
+    return pu[first], pv[first], pu[last] - pu[first] + size
 
 
 def _extend(a: np.ndarray, b: np.ndarray, edits: list[tuple[int, int, int]] = _EDITS) -> tuple[int, int, int]:
-    """How far equal starts of a and b go over isolated edits: words of a, of b, and matches."""
+    """How far equal starts of a and b go over isolated edits: words of a, of b, and matches.
+
+    Of the ends of equal runs on the way, the one with the most matches beyond ``SIMILAR`` of the words.
+    """
     i = j = same = 0
+    best, most = (0, 0, 0), 0.0
     while True:
         n = min(len(a) - i, len(b) - j)
-        diff = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        run = int(diff[0]) if len(diff) else n
+        run, step = 0, 32
+        while run < n:  # runs are short, so look a little way ahead first
+            diff = np.flatnonzero(a[i + run : i + min(run + step, n)] != b[j + run : j + min(run + step, n)])
+            if len(diff):
+                run += int(diff[0])
+                break
+            run, step = min(run + step, n), step * 8
         i, j, same = i + run, j + run, same + run
+        if same - SIMILAR * max(i, j) >= most - 1e-9:
+            best, most = (i, j, same), same - SIMILAR * max(i, j)
         for x, y, n in edits:
-            if i + x + n <= len(a) and j + y + n <= len(b) and (a[i + x : i + x + n] == b[j + y : j + y + n]).all():
+            if i + x + n <= len(a) and j + y + n <= len(b) and a[i + x] == b[j + y] and (a[i + x : i + x + n] == b[j + y : j + y + n]).all():
+                same += int((a[i : i + x] == b[j : j + y]).sum()) if x == y else 0
                 i, j = i + x, j + y
                 break
         else:
-            return i, j, same
+            return best
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -184,15 +212,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - unmatched.bit_count()
 
 
-def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Aligned passages (start, end, other start, other end, matches) of word arrays a and b from seeds."""
-    su, sv, size = _segments(pu, pv)
+def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray, size: int = M) -> list[tuple[int, int, int, int, int]]:
+    """Aligned passages (start, end, other start, other end, matches) of word arrays a and b from matches of ``size`` words."""
+    su, sv, size = _segments(pu, pv, size)
     out: list[tuple[int, int, int, int, int]] = []
     gaps: dict[tuple[int, int, int, int], int] = {}
+
+    def inside(x: tuple[int, ...]) -> bool:
+        return any(p[0] <= x[0] and x[1] <= p[1] and p[2] <= x[2] and x[3] <= p[3] for p in out)
+
     waiting = chain(su, sv, size)[::-1]
     while waiting:
         own = waiting.pop()
         u, v = int(su[own[0]]), int(sv[own[0]])
+        if inside((u, int(su[own[-1]] + size[own[-1]]), v, int(sv[own[-1]] + size[own[-1]]))):
+            continue
         left, other, matches = _extend(a[:u][::-1], b[:v][::-1])
         start, ostart, i, j = u - left, v - other, u, v
         for s in own:
@@ -220,12 +254,19 @@ def passages(a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> li
             left, right = _extend(a[:u][::-1], b[:v][::-1], [])[0], _extend(a[u:], b[v:], [])[0]
             words = left + right
             passage = (u - left, u + right, v - left, v + right, words)
-        inside = any(p[0] <= passage[0] and passage[1] <= p[1] for p in out)
-        if passage[1] - passage[0] >= LEAST and passage[4] >= SIMILAR * words and not inside:
+        if passage[1] - passage[0] >= LEAST and passage[4] >= SIMILAR * words and not inside(passage):
             out.append(passage)
     return sorted(out)
 
 
+_PASSAGE = ["start_word", "end_word", "other_start", "other_end", "matches"]
+
+
+def _judged(u: int, v: int, a: np.ndarray, b: np.ndarray, pu: np.ndarray, pv: np.ndarray) -> list[tuple[int, ...]]:
+    """Rows (u, v, passage, whether it is the whole of two equal texts)."""
+    return [(u, v, *p, p == (0, len(a), 0, len(b), len(a)) and len(a) == len(b)) for p in passages(a, b, pu, pv)]
+
+
 def _aligned(rows: pa.Table, pairs: pa.Table) -> pa.Table:
     found: list[tuple[int, ...]] = []
     if rows.num_rows and pairs.num_rows:
@@ -233,20 +274,134 @@ def _aligned(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         starts, ends, ptr = word_bounds(data, offsets, ALNUM)
         every = word_hashes(data, starts, ends)
         words = {node: every[x:y] for node, (x, y) in zip(rows.column("node").to_pylist(), itertools.pairwise(ptr.tolist()), strict=True)}
-        for u, v, seeds in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), pairs.column("seeds"), strict=True):
-            both = seeds.values
-            pu, pv = (np.asarray(both.field(i), np.int64) for i in (0, 1))
-            found += [(u, v, *p) for p in passages(words[u], words[v], pu, pv)]
-    names = ["u", "v", "start_word", "end_word", "other_start", "other_end", "matches"]
-    return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(names)})
+        for u, v, met in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), pairs.column("seeds"), strict=True):
+            pu, pv = (np.asarray(met.values.field(i), np.int64) for i in (0, 1))
+            found += _judged(u, v, words[u], words[v], pu, pv)
+    columns = {c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(["u", "v", *_PASSAGE])}
+    return pa.table({**columns, "whole": pa.array([f[-1] for f in found], pa.bool_())})
+
+
+def _first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending hashes: the index of each one's first, and where they begin."""
+    begins = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(begins)
+    return np.repeat(first, np.diff(np.concatenate([first, [len(h)]]))), begins
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of integers, first bytes first, so that equal ones stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def _blob(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
+    """Ascending hashes with the documents and places they stand at."""
+    docs, local = np.unique(doc, return_inverse=True)
+    parts = (docs.astype(np.int64), _planes(np.diff(h, prepend=np.uint64(0))), _planes(local.astype(np.uint32)), _planes(at.astype(np.uint32)))
+    return struct.pack("<q", len(h)) + pack(np.frombuffer(b"".join(p.tobytes() for p in parts), np.uint8))
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<q", blob)
+    raw = unpack(blob[8:], np.uint8)
+    cut = len(raw) - 16 * n
 
+    def whole(first: int, width: int, kind: type) -> np.ndarray:
+        return np.ascontiguousarray(raw[cut + first * n : cut + (first + width) * n].reshape(width, n).T).view(kind).ravel()
 
-def _first_places(seeds: DataFrame) -> DataFrame:
-    """Rows (u, v, seeds): the places of u whose hash has its first place in v."""
-    pivots = seeds.groupBy("h").agg(F.min(F.struct("node", "at")).alias("p"), F.max("node").alias("most")).where(F.col("p.node") < F.col("most"))
-    pivots = pivots.select("h", F.col("p.node").alias("v"), F.col("p.at").alias("pv"))
-    matches = seeds.join(pivots.hint("shuffle_hash"), "h").where(F.col("node") != F.col("v"))
-    return matches.groupBy(F.col("node").alias("u"), "v").agg(F.collect_list(F.struct(F.col("at").alias("pu"), "pv", "h")).alias("seeds"))
+    return np.cumsum(whole(0, 8, np.uint64), dtype=np.uint64), raw[:cut].view(np.int64)[whole(8, 4, np.uint32)], whole(12, 4, np.uint32).astype(np.int64)
+
+
+_BLOCK = "bucket int, blob binary, u long, v long, start_word long, end_word long, other_start long, other_end long, matches long, whole boolean, shared array<int>, open array<int>"
+_BLOCK_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("blob", pa.binary()), *((c, pa.int64()) for c in ("u", "v", *_PASSAGE)), ("whole", pa.bool_()), ("shared", pa.list_(pa.int32())), ("open", pa.list_(pa.int32()))]
+)
+
+
+def _rows(**columns: list | pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    cells = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _BLOCK_ARROW]
+    return pa.RecordBatch.from_arrays(cells, schema=_BLOCK_ARROW)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: Keys, bits: int) -> Iterator[pa.RecordBatch]:
+    """Of every block: its seeds by hash range, the passages inside it, and its documents' shared and open places."""
+    for batch in gathered(batches, "text", BLOCK_BYTES):
+        data, offsets = text_buffer(batch.column("text"))
+        starts, ends, ptr = word_bounds(data, offsets, ALNUM)
+        words = word_hashes(data, starts, ends)
+        del data, starts, ends
+        node = np.asarray(batch.column("node"), np.int64)
+        h, place = keys(batch, words, ptr)
+        order = np.argsort(h, kind="stable")
+        h, place = h[order], place[order]
+        row = np.searchsorted(ptr, place, side="right") - 1
+        first, begins = _first_of(h)
+        at = place - ptr[row]
+
+        met = np.flatnonzero(row != row[first])
+        met = met[np.lexsort((row[first[met]], row[met]))]
+        u, v = row[met], row[first[met]]
+        cuts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])).tolist() if len(met) else []
+        found: list[tuple[int, ...]] = []
+        covered = np.zeros(len(words) + 1, np.int32)
+        for x, y in itertools.pairwise([*cuts, len(met)]):
+            i, j = int(u[x]), int(v[x])
+            for p in _judged(i, j, words[ptr[i] : ptr[i + 1]], words[ptr[j] : ptr[j + 1]], at[met[x:y]], at[first[met[x:y]]]):
+                found.append((int(node[i]), int(node[j]), *p[2:]))
+                covered[ptr[i] + p[2]] += 1
+                covered[ptr[i] + p[3]] -= 1
+        if found:
+            yield _rows(**{c: [f[i] for f in found] for i, c in enumerate(["u", "v", *_PASSAGE, "whole"])})
+
+        edges = np.concatenate([np.flatnonzero(np.diff((h[begins] >> np.uint64(64 - bits)).astype(np.int64))) + 1, [int(begins.sum())]]) if len(h) else []
+        hb, nb, ab = h[begins], node[row[begins]], at[begins]
+        low = 0
+        for high in edges:
+            yield _rows(bucket=[int(hb[low] >> np.uint64(64 - bits))], blob=[_blob(hb[low:high], nb[low:high], ab[low:high])])
+            low = int(high)
+
+        if len(met):
+            inside = np.cumsum(covered) > 0
+            several = np.zeros(len(h), bool)
+            several[met] = several[first[met]] = True
+            opened = np.zeros(len(h), bool)
+            opened[met] = ~(inside[place[met]] & inside[place[met] + M - 1])
+            shared = np.sort(place[several[first]])
+            opened = np.sort(place[opened])
+            who = np.unique(np.searchsorted(ptr, shared, side="right") - 1)
+
+            def of_rows(places: np.ndarray, who: np.ndarray = who, ptr: np.ndarray = ptr) -> pa.Array:
+                own = np.searchsorted(ptr, places, side="right") - 1
+                ends = np.concatenate([[0], np.searchsorted(own, who, side="right")])
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places - ptr[own], pa.int32()))
+
+            yield _rows(u=node[who], shared=of_rows(shared), open=of_rows(opened))
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Matches (u, v, pu, pv) of one hash range: each block's place of a seed with the first of all."""
+    parts = [_unblob(b) for b in table.column("blob").to_pylist()]
+    h, node, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((node, h))
+    h, node, at = h[order], node[order], at[order]
+    first, _ = _first_of(h)
+    met = np.flatnonzero(node != node[first])
+    first = first[met]
+    return pa.table({"u": node[met], "v": node[first], "pu": pa.array(at[met], pa.int32()), "pv": pa.array(at[first], pa.int32())})
+
+
+_MET = "u long, v long, start_word long, end_word long, other_start long, other_end long, matches long, whole boolean"
+
+
+def _linked(rows: DataFrame, texts: DataFrame, keys: Keys, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages inside and across blocks; pairs that met across; shared and open places of documents inside blocks."""
+    local = stored(rows.mapInArrow(lambda b: _blocks(b, keys, bits), _BLOCK), "blocks")
+    reps = local.where("bucket is not null").select("bucket", "blob")
+    matches = stored(reps.groupBy("bucket").applyInArrow(_across, "u long, v long, pu int, pv int"), "matches")
+    pairs = stored(matches.groupBy("u", "v").agg(F.collect_list(F.struct("pu", "pv")).alias("seeds")), "pairs")
+    found = meet(pairs, texts, _aligned, _MET, GROUP)
+    inner = local.where("v is not null").select("u", "v", *_PASSAGE, "whole")
+    return inner.unionByName(found), pairs, local.where("shared is not null").select(F.col("u").alias("node"), "shared", "open")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,43 +412,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType
     numbered = docs.select(F.monotonically_increasing_id().alias("node"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    schema = T.StructType([*numbered.schema, *T._parse_datatype_string("n long, h array<long>, at array<int>")])
-    rows = stored(numbered.mapInArrow(_prepared, schema), "seeds")
-
-    signed = rows.where(F.col("n") >= LEAST).select("node", "id", "n", F.xxhash64("text").alias("t1"), F.md5("text").alias("t2"))
-    classes = stored(signed.groupBy("t1", "t2").agg(F.min("node").alias("head")), "classes")
-    heads = classes.select(F.col("head").alias("node")).hint("shuffle_hash")  # grows with the corpus: never broadcast
-    seeds = rows.join(heads, "node", "left_semi").select("node", F.explode(F.arrays_zip("h", "at")).alias("s")).select(F.col("s.h").alias("h"), "node", F.col("s.at").alias("at"))
-    seeds = stored(seeds, "places")
+    volume = Observation()
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
+    rows = stored(numbered.observe(volume, size), "rows")
+    # a hash range for each block's worth of text, so that a range fits a task at any size
+    bits = max(5, (int(volume.get["bytes"]) // BLOCK_BYTES).bit_length())
     texts = rows.select(F.col("node").alias("_row"), "text")
-    met = "u long, v long, start_word long, end_word long, other_start long, other_end long, matches long"
-    pairs = stored(_first_places(seeds), "first")
-    found = meet(pairs, texts, _aligned, met, GROUP)
 
+    found, pairs, inner = _linked(rows.select("node", "text"), texts, seed_keys, bits)
     spans = found.groupBy("u", "v").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = stored(spans, "spans").hint("shuffle_hash")  # grows with the corpus: never broadcast
 
     def inside(start: Column, end: Column) -> Column:
         held = F.exists("spans", lambda p: (p["start_word"] <= start) & (end <= p["end_word"]))
         return F.coalesce(held, F.lit(False))
 
-    lone = pairs.join(spans.hint("shuffle_hash"), ["u", "v"], "left").select(F.explode(F.filter("seeds", lambda x: ~inside(x["pu"], x["pu"] + K))).alias("s"))
-    lone = stored(lone.select(F.col("s.h").alias("h")).distinct(), "open")
-    places = seeds.join(lone.hint("shuffle_hash"), "h", "left_semi").groupBy("node").agg(F.collect_list("at").alias("seeds"))
-    places = stored(places, "around")
+    none = F.array().cast("array<int>")
+    first = pairs.join(spans, ["u", "v"], "left").select(
+        F.col("u").alias("node"), F.col("seeds.pu").alias("shared"), F.transform(F.filter("seeds", lambda x: ~inside(x["pu"], x["pu"] + M)), lambda x: x["pu"]).alias("open")
+    )
+    pivots = pairs.select("v", F.explode("seeds.pv").alias("at")).distinct().groupBy(F.col("v").alias("node")).agg(F.collect_list("at").alias("shared"))
+    around = inner.unionByName(first).unionByName(pivots.withColumn("open", none)).groupBy("node")
+    around = around.agg(F.flatten(F.collect_list("shared")).alias("shared"), F.flatten(F.collect_list("open")).alias("open"))
+    around = stored(around.where(F.size("open") > 0), "around")
     with runtime_filter(docs.sparkSession):
-        windows = rows.select("node", "text").join(places.hint("shuffle_hash"), "node").select("node", "text", "seeds")
-        windows = stored(windows.mapInArrow(_long_windows, "h long, node long, at int"), "windows")
-    more = meet(_first_places(windows), texts, _aligned, met, GROUP)
-    more = more.join(spans.hint("shuffle_hash"), ["u", "v"], "left").where(~inside(F.col("start_word"), F.col("end_word"))).drop("spans")
+        wide = rows.select("node", "text").join(around.hint("shuffle_hash"), "node").select("node", "text", "shared", "open")
+        more, _, _ = _linked(wide, texts, window_keys, bits)
+    more = more.join(spans, ["u", "v"], "left").where(~inside(F.col("start_word"), F.col("end_word"))).drop("spans")
     found = found.unionByName(more)
 
     ids = rows.select("node", "id")
     left, right = ids.select(F.col("node").alias("u"), F.col("id").alias("own")), ids.select(F.col("node").alias("v"), F.col("id").alias("other"))
     words = F.greatest(F.col("end_word") - F.col("start_word"), F.col("other_end") - F.col("other_start"))
-    near = found.join(left, "u").join(right, "v").select("own", F.lit("passage").alias("kind"), "start_word", "end_word", "other", "other_start", "other_end", "matches", (F.col("matches") / words).alias("similarity"))
-    zero = F.lit(0).cast("long")
-    copies = signed.join(classes, ["t1", "t2"]).where("node <> head").select(F.col("id").alias("own"), F.col("head").alias("v"), "n").join(right, "v")
-    copies = copies.select("own", F.lit("copy").alias("kind"), zero.alias("start_word"), F.col("n").alias("end_word"), "other", zero.alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("matches"), F.lit(1.0).alias("similarity"))
-    out = near.union(copies)
-    assert out.schema["own"].dataType == kind
-    return out.withColumnsRenamed({"own": id_col, "other": f"other_{id_col}"})
+    out = found.join(left, "u").join(right, "v").select(
+        F.col("own").alias(id_col), F.when(F.col("whole"), "copy").otherwise("passage").alias("kind"), "start_word", "end_word",
+        F.col("other").alias(f"other_{id_col}"), "other_start", "other_end", "matches", (F.col("matches") / words).alias("similarity"),
+    )
+    assert out.schema[id_col].dataType == kind
+    return out

@@ -82,7 +82,7 @@ def test_common(a, b):
 
 def aligned(u, v):
     a, b = (np.array([hash(x) for x in w], np.int64).view(np.uint64) for w in (u, v))
-    places = [dict(zip(h.tolist(), at.tolist(), strict=True)) for h, at, _ in (D._seeds(w, np.array([0, len(w)])) for w in (a, b))]
+    places = [dict(zip(h.tolist(), at.tolist(), strict=True)) for h, at in (D.seeds(w, np.array([0, len(w)])) for w in (a, b))]
     both = [h for h in places[0] if h in places[1]]
     return D.passages(a, b, *(np.array([p[h] for h in both], np.int64) for p in places))
 
@@ -98,28 +98,6 @@ def test_long_passages_around_an_insertion():
     assert [p[:2] for p in aligned([w for p in parts for w in p], spread)] == [(0, 100), (100, 200), (200, 300), (300, 400)]
 
 
-def prepared(texts):
-    (batch,) = D._prepared(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
-    return batch.column("h")
-
-
-def test_first_places_with_parts_only(spark):
-    for seed in range(1000):  # the first in which parts hold every seed that two later texts share
-        rng = random.Random(seed)
-        halves, middle = words(rng, 60), words(rng, 60)
-        parts = [halves[:35], halves[25:], middle[8:52]]
-        rows = [(i, words(rng, 50) + p + words(rng, 50)) for i, p in enumerate(parts)]
-        rows += [(10 + i, words(rng, 70) + halves + words(rng, 20)) for i in range(3)]
-        rows += [(20 + i, words(rng, 30) + middle + words(rng, 40)) for i in range(3)]
-        held = [set(x.values.to_pylist()) for x in prepared([" ".join(w) for _, w in rows])]
-        if not any((held[i] & held[j]) - set().union(*held[:3]) for i in range(3, 9) for j in range(3, i)):
-            break
-    rows = [(i, " ".join(w)) for i, w in rows]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    got = sorted((r.doc_id, r.other_doc_id, r.start_word, r.end_word, r.matches) for r in D.repeated_passages(docs).collect())
-    assert got == [(10 + i, 10, 70, 130, 60) for i in range(1, 3)] + [(20 + i, 20, 30, 90, 60) for i in range(1, 3)]
-
-
 def test_equal_words_between_edits():
     rng = random.Random(9)
     core = words(rng, 50)
@@ -128,3 +106,87 @@ def test_equal_words_between_edits():
         same = words(rng, 4)
         u, v = u + words(rng, 4) + same, v + words(rng, 1) + same
     assert any(p[0] == 0 and p[1] >= 50 for p in aligned(u, v))
+
+
+def table(spark, rows, parts=1):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1).repartition(parts)
+
+
+def test_first_places_with_parts_only(spark):
+    rng = random.Random(4)
+    core = words(rng, 100)
+    rows = [(i, words(rng, 50) + core[a:b] + words(rng, 50)) for i, (a, b) in enumerate([(0, 44), (28, 72), (56, 100)])]
+    rows += [(i, words(rng, 10 * i) + core + words(rng, 30)) for i in (8, 9)]
+    for parts in (1, 5):
+        got = [(r.doc_id, r.other_doc_id, r.end_word - r.start_word) for r in D.repeated_passages(table(spark, rows, parts)).collect()]
+        assert [(max(a, b), min(a, b), n) for a, b, n in got] == [(9, 8, 100)]
+
+
+def test_repeats_against_brute_force(spark):
+    """Texts of pieces that begin and end anywhere: whoever shares LEAST words in a row is linked."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        pool = [words(rng, rng.choice([60, 100, 200])) for _ in range(6)]
+        rows = []
+        for i in range(40):
+            w = words(rng, rng.randrange(40))
+            for _ in range(rng.randrange(4)):
+                p = rng.choice(pool)
+                a = rng.randrange(len(p) - 20)
+                w += p[a : a + rng.randrange(20, 110)] + words(rng, rng.randrange(30))
+            rows.append((i, w))
+        got = D.repeated_passages(table(spark, rows, 1 + 3 * seed)).collect()
+        text = dict(rows)
+        root = {i: i for i, _ in rows}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in got:
+            a, b = text[r.doc_id][r.start_word : r.end_word], text[r.other_doc_id][r.other_start : r.other_end]
+            assert r.matches <= D._common(*(np.array([hash(x) for x in w]) for w in (a, b)))
+            assert r.matches >= D.SIMILAR * max(len(a), len(b)) and len(a) >= D.LEAST
+            assert (r.kind == "copy") == (text[r.doc_id] == text[r.other_doc_id])
+            root[find(r.doc_id)] = find(r.other_doc_id)
+        holders = {}
+        for i, w in rows:
+            for at in range(len(w) - D.LEAST + 1):
+                holders.setdefault(tuple(w[at : at + D.LEAST]), set()).add(i)
+        assert all(len({find(i) for i in held}) == 1 for held in holders.values())
+        assert any(len(held) > 1 for held in holders.values())
+
+
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        core = words(rng, 60)
+        other = [f"x{i}-{j}" if j % (10, 12, 16)[i % 3] == 7 else w for j, w in enumerate(core)]
+        rows += [(2 * i, words(rng, 40) + core + words(rng, 60)), (2 * i + 1, words(rng, 60) + other + words(rng, 30))]
+    rng.shuffle(rows)
+    got = D.repeated_passages(table(spark, rows, 6)).collect()
+    pairs = {(r.doc_id // 2, r.other_doc_id // 2) for r in got}
+    assert all(a == b for a, b in pairs) and len(pairs) >= 108
+
+
+def test_seeds_of_few_different_words():
+    for period in (1, 2, 3, 7):
+        w = np.tile(D._mixed(np.arange(1, period + 1, dtype=np.uint64)), 60)[: D.LEAST]
+        assert len(D.seeds(w, np.array([0, len(w)]))[0])
+
+
+def test_long_texts_one_word(spark):
+    rows = [(1, ["la"] * 3000), (2, ["la"] * 2500 + ["lo"]), (3, words(random.Random(1), 100)), (4, ["la"] * 44)]
+    got = {(r.doc_id, r.other_doc_id) for r in D.repeated_passages(table(spark, rows)).collect()}
+    assert got == {(2, 1)}
+
+
+def test_blobs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        h = np.sort(rng.integers(0, 2**64, n, np.uint64))
+        node, at = rng.integers(0, 2**40, n), rng.integers(0, 2**31, n)
+        for x, y in zip(D._unblob(D._blob(h, node, at)), (h, node, at), strict=True):
+            assert (x == y).all()
