@@ -9,9 +9,12 @@ combination beside it.  The combination is a pattern; it is removed as often
 as its rarest length allows, so there are few patterns, and their number
 follows the lengths, not the documents.
 
-Pieces get a rank within their length by salted prefix counts; pattern use
-tables (bounded by the patterns) turn (length, rank) into a sequence and an
-offset.  No sort or window ever holds all pieces of one length.
+Pieces get a rank within their length by salted prefix counts, a part for each
+``RANKED`` pieces of a length; pattern use tables turn (length, rank) into a
+sequence and an offset.  No sort or window ever holds all pieces of a frequent
+length.  Both tables are broadcast: the parts are at most one per length and
+per ``RANKED`` pieces, and a length ends at most 1 + capacity / length patterns,
+which is about 19,000 patterns at a capacity of 2048 whatever the documents.
 
 Tokenising keeps a bounded table from words to their tokens, which is exact
 because the tokenizer drops white space and never merges across it.
@@ -26,6 +29,7 @@ from __future__ import annotations
 import itertools
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,8 +49,8 @@ END = 0
 REMEMBERED = 800_000
 #: ASCII punctuation without the apostrophe, with which the tokenizer begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Parts that the pieces of one length are counted in.
-SALTS = 64
+#: Pieces of one length that are ranked by one task.
+RANKED = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -87,7 +91,7 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         """Tokenize the words; one of letters with punctuation after it, by its two parts."""
         known = self.known
-        cut = {w: (head, w[len(head) :]) for w in new if not w.isalpha() and (head := w.rstrip(PUNCTUATION)) != w and head.isalpha()}
+        cut = {w: (head, w[len(head) :]) for w in new if not w.isalpha() and (head := w.rstrip(PUNCTUATION)) != w and _splits(head)}
         plain = [w for w in new if w not in cut]
         plain += {p for pair in cut.values() for p in pair}.difference(known, plain)
         letters = [w for w in plain if w.isalpha()]
@@ -125,6 +129,12 @@ def cut_words(text: str) -> list[str]:
     return text.split()
 
 
+def _splits(head: str) -> bool:
+    """Whether punctuation after the letters is split off: not after one that the tokenizer turns into a letter and a
+    mark, by its lower case (U+0130) or its normal form (U+0958)."""
+    return head.isalpha() and unicodedata.normalize("NFC", head.lower()).isalpha()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -200,9 +210,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     cut = stored(source.mapInArrow(lambda b: _pieces(b, path, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
+    # a part for each RANKED pieces of a length, so there are at most capacity + pieces / RANKED parts
+    parts = {r.length: 1 + r.n // RANKED for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, k in parts.items() if k > 1 for x in (n, k)]), F.col("length")), F.lit(1)) if max(parts.values(), default=1) > 1 else F.lit(1)
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), split).cast("int"))
 
-    held = sorted(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())  # at most capacity * SALTS rows
+    held = sorted(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
     before, histogram = [], {}
     for length, group in itertools.groupby(held, key=lambda r: r[0]):
         seen = 0
@@ -211,7 +224,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             seen += r.n
         histogram[length] = seen
     uses, used, first = [], dict.fromkeys(histogram, 0), 0
-    for lengths, times in patterns(histogram, capacity):
+    bins = patterns(histogram, capacity)
+    # a pattern leaves fewer pieces of some length than it holds, so a length ends at most 1 + capacity / length of them
+    assert len(bins) <= sum(1 + capacity // n for n in histogram)
+    for lengths, times in bins:
         at = 0
         for length in lengths:
             uses.append((length, used[length], used[length] + times, first, at))
@@ -219,7 +235,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             at += length
         first += times
 
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")) - 1
     offsets = spark.createDataFrame(before or [(0, 0, 0)], "length long, salt int, seen long")
     ranked = salted.withColumn("no", rank).join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("seen") + F.col("no"))
     # the uses of one length as one sorted array: a row finds its own by its rank

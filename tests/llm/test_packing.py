@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -70,3 +71,28 @@ def test_patterns_use_every_piece_once(histogram):
         for n in lengths:
             used[n] += times
     assert dict(used) == histogram
+
+
+def fuzzed(rng, n):
+    """Words of letters of all Unicode, those with longer lower cases often, with punctuation and marks around."""
+    letters = [c for c in map(chr, [*range(0x41, 0x2000), *range(0xA640, 0xA800), *range(0xFB00, 0xFB10)]) if c.isalpha()]
+    longer = [c for c in map(chr, range(0x110000)) if len(c.lower()) > 1 or len(c.upper()) > 1]
+    near = [*map(chr, range(0x41, 0x180))]
+    mixed = [*",.;:!?'\"-_() \n\ṫ́‍", "İ", "İ", "I", "ı"]
+    for _ in range(n):
+        yield "".join(rng.choice(rng.choice([letters, longer, near, mixed, mixed])) for _ in range(rng.randrange(1, 14)))
+
+
+def test_token_ids_of_any_letters():
+    tokenizer, own = Tokenizer.from_file(P.tokenizer_path()), P.WordEncoder(P.tokenizer_path())
+    texts = ["İ,", "GELDİ, GİTTİ.", "İ.", "aİ!b", "İİ--", "\u0a5b?", "\u0958,", *fuzzed(random.Random(2), 20_000)]
+    for x, e in zip(own.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == e.ids
+
+
+def test_many_pieces_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 50)
+    rows = [(i // 3, "one two three") for i in range(900)] + [(5000 + i, "word " * (i % 7)) for i in range(200)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), capacity=16).collect()
+    holds(rows, got, 16)
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
