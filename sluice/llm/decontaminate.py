@@ -14,12 +14,14 @@
 
 Only the index build reads the texts.  Test items are taken in blocks of a
 stated byte size, so what goes to the executors is bounded whatever the
-benchmark's size; a block is one more pass over the index, not a pairing.
+benchmark's size, and candidate places are taken in steps; a block is one more pass over the index, not a pairing.
 
 Defined results: null or empty texts have no words and are never hit; an item
 without words never matches; an item with fewer words than a window is one
 window; repeated document rows each get their own result row; repeated item
-ids count once per document; an empty benchmark leaves every document clean.
+ids count once per document; an item without an id hits words like any other
+and contaminates, but has no place among the counted ids; an empty benchmark
+leaves every document clean.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ SEGMENT_BYTES = 4 << 20
 #: Bytes of test items whose windows are broadcast at once.
 BLOCK_BYTES = 8 << 20
 
-_INDEX = "segment long, row_ids binary, doc_ids binary, doc_ptr binary, terms binary, counts binary, positions binary"
+#: Candidate places that are held at once.
+CANDIDATES = 1 << 21
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,18 +60,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.concatenate([first, [len(ordered)]])).astype(np.int32)
         steps = np.diff(order, prepend=np.int32(0)).astype(np.int32)
         ids = batch.column("id")
-        known = np.asarray(ids.is_valid())
-        cells = [
-            pack(known), pack(np.asarray(ids.fill_null(0), np.int64)), pack(ptr.astype(np.int64)),
-            pack(ordered[first]), pack(counts), pack(steps),
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + no], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], names=["segment", "row_ids", "doc_ids", "doc_ptr", "terms", "counts", "positions"])
+        cells = [pack(ptr.astype(np.int64)), pack(ordered[first]), pack(counts), pack(steps)]
+        own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + no], pa.int64()), own, *[pa.array([c], pa.binary()) for c in cells]], names=["segment", "doc_ids", "doc_ptr", "terms", "counts", "positions"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored positional index of ``docs``, a row per segment."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(source.mapInArrow(_segments, _INDEX), "postings")
+    """The stored positional index of ``docs``, a row per segment; ids keep their type."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    return stored(source.mapInArrow(_segments, f"segment long, doc_ids array<{kind}>, doc_ptr binary, terms binary, counts binary, positions binary"), "postings")
 
 
 def _words_of(texts: list[str]) -> list[np.ndarray]:
@@ -78,13 +79,11 @@ def _words_of(texts: list[str]) -> list[np.ndarray]:
     return [words[a:b] for a, b in itertools.pairwise(ptr)]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, streamed to the driver partition by partition, in blocks of bounded size."""
     block, size = [], 0
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     for row in rows.toLocalIterator():
-        if row.i is None:
-            continue
         block.append((row.i, row.t))
         size += len(row.t)
         if size >= block_bytes:
@@ -94,9 +93,9 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield block
 
 
-def _windows(block: list[tuple[str, str]], window: int) -> tuple[list[str], np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+def _windows(block: list[tuple[str | None, str]], window: int) -> tuple[list[str | None], np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Item ids, the block's terms, and by length the windows as term numbers with their items."""
-    items = sorted({i for i, _ in block})
+    items = sorted({i for i, _ in block}, key=lambda i: (i is None, i))
     number = {i: k for k, i in enumerate(items)}
     words = _words_of([t for _, t in block])
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -133,37 +132,45 @@ def intersect(windows: np.ndarray, rarity: np.ndarray, local: np.ndarray, first:
     ``local`` gives each test term's number in the segment (-1: absent),
     ``first``/``counts`` its posting list in ``positions``.
     """
-    terms = local[windows]
-    alive = np.flatnonzero((terms >= 0).all(axis=1))
+    alive = np.flatnonzero((local >= 0)[windows].all(axis=1))
     if not len(alive):
         return alive, alive, alive.astype(bool)
     order = np.argsort(rarity[windows[alive]], axis=1, kind="stable")
-    terms = np.take_along_axis(terms[alive], order, axis=1).astype(np.int64)
-    n = counts[terms[:, 0]].astype(np.int64)
-    who = np.repeat(np.arange(len(alive)), n)
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    start = positions[first[terms[who, 0]] + inner].astype(np.int64) - order[who, 0]
-    exact = np.ones(len(who), bool)
+    terms = np.take_along_axis(local[windows[alive]], order, axis=1)
+    candidates = counts[terms[:, 0]].astype(np.int64)
+    total = np.cumsum(candidates)
     width = np.int64(1) << np.int64(32)
     keyed = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * width + positions
-    for j in range(1, windows.shape[1]):
-        wanted = terms[who, j] * width + start + order[who, j]
-        at = np.searchsorted(keyed, wanted)
-        above = keyed[np.minimum(at, len(keyed) - 1)]
-        below = keyed[np.maximum(at - 1, 0)]
-        hit = above == wanted
-        near = hit | (np.abs(above - wanted) <= slop) | (np.abs(wanted - below) <= slop)
-        who, start, exact = who[near], start[near], (exact & hit)[near]
-        if not len(who):
-            break
-    return alive[who], start, exact
+    found = []
+    low = 0
+    while low < len(alive):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CANDIDATES, side="right")))
+        n = candidates[low:high]
+        who = low + np.repeat(np.arange(high - low), n)
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start = positions[first[terms[who, 0]] + inner].astype(np.int64) - order[who, 0]
+        exact = np.ones(len(who), bool)
+        for j in range(1, windows.shape[1]):
+            wanted = terms[who, j] * width + start + order[who, j]
+            at = np.searchsorted(keyed, wanted)
+            above = keyed[np.minimum(at, len(keyed) - 1)]
+            below = keyed[np.maximum(at - 1, 0)]
+            hit = above == wanted
+            near = hit | (np.abs(above - wanted) <= slop) | (np.abs(wanted - below) <= slop)
+            who, start, exact = who[near], start[near], (exact & hit)[near]
+            if not len(who):
+                break
+        found.append((alive[who], start, exact))
+        low = high
+    who, start, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    return who, start, exact
 
 
 def _search(batches: Iterator[pa.RecordBatch], query, slop: int) -> Iterator[pa.RecordBatch]:
     items, vocab, rarity, by = query.value
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, known, ptr = unpack(row["doc_ids"], np.int64), unpack(row["row_ids"], np.bool_), unpack(row["doc_ptr"], np.int64)
+        for ids, row in zip(batch.column("doc_ids"), batch.drop_columns(["doc_ids"]).to_pylist(), strict=True):
+            ids, ptr = ids.values, unpack(row["doc_ptr"], np.int64)
             have, counts = unpack(row["terms"], np.uint64), unpack(row["counts"], np.int32)
             positions = np.cumsum(unpack(row["positions"], np.int32), dtype=np.int32)
             first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
@@ -194,12 +201,12 @@ def _search(batches: Iterator[pa.RecordBatch], query, slop: int) -> Iterator[pa.
                     continue
                 full = exact[part]
                 spans.append(merged(start[part][full], size[part][full]))
-                names.append([items[k] for k in np.unique(item[part][full])])
-                nearby.append([items[k] for k in np.unique(item[part][~full])])
+                names.append([items[k] for k in np.unique(item[part][full]) if items[k] is not None])
+                nearby.append([items[k] for k in np.unique(item[part][~full]) if items[k] is not None])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(docs, row["segment"]), pa.int64()), pa.array(np.arange(docs), pa.int32()),
-                    pa.array(ids, pa.int64(), mask=~known), pa.array(np.diff(ptr), pa.int64()),
+                    ids, pa.array(np.diff(ptr), pa.int64()),
                     pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(nearby, pa.list_(pa.string())),
                 ],
                 names=["segment", "ordinal", "doc_id", "n_words", "spans", "items", "near"],
@@ -217,7 +224,7 @@ def merged(start: np.ndarray, size: np.ndarray) -> list[int]:
     return out
 
 
-_FOUND = "segment long, ordinal int, doc_id long, n_words long, spans array<int>, items array<string>, near array<string>"
+_FOUND = "segment long, ordinal int, doc_id {}, n_words long, spans array<int>, items array<string>, near array<string>"
 
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -227,6 +234,7 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     proximity match.
     """
     spark = index.sparkSession
+    schema = _FOUND.format(index.schema["doc_ids"].dataType.elementType.simpleString())
     parts = []
     for block in _blocks(items, id_col, text_col, block_bytes):
         names, vocab, by = _windows(block, window)
@@ -236,10 +244,10 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
         for r in seen.collect():
             rarity[r.term] = r.n
         query = spark.sparkContext.broadcast((names, vocab, rarity, by))
-        parts.append(index.mapInArrow(lambda b, q=query: _search(b, q, slop), _FOUND))
+        parts.append(index.mapInArrow(lambda b, q=query: _search(b, q, slop), schema))
     if not parts:
         query = spark.sparkContext.broadcast(([], np.zeros(0, np.uint64), np.zeros(0, np.int64), {}))
-        parts = [index.mapInArrow(lambda b, q=query: _search(b, q, slop), _FOUND)]
+        parts = [index.mapInArrow(lambda b, q=query: _search(b, q, slop), schema)]
     if len(parts) == 1:
         return parts[0].drop("segment", "ordinal")
     every = parts[0]
@@ -270,7 +278,8 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(found: DataFrame) -> DataFrame:
     """A row per document with counts and the digest of its items."""
-    return found.mapInArrow(_reported, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(_reported, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +288,11 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     Rows are matched by a row number carried through the index, so repeated or
     null ids are told apart.
     """
-    numbered = stored(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "numbered")
-    index = build_index(numbered, "_sl_row", text_col)
-    hit = stored(search(index, items, slop=0).where(F.size("items") > 0).select("doc_id"), "hit")
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    index = build_index(numbered, row, text_col)
+    hit = stored(search(index, items, slop=0).where(F.size("spans") > 0).select("doc_id"), "hit")
     drop_stored(index)
-    return numbered.join(hit, numbered["_sl_row"] == hit["doc_id"], "left_anti").drop("_sl_row")
+    return numbered.join(hit, numbered[row] == hit["doc_id"], "left_anti").drop(row)
