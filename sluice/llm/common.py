@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -60,6 +61,24 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Share of all rows, one in so many, beyond which a key is joined apart, and the least rows that count as many.
+SPREAD_SHARE, SPREAD_LEAST = 1000, 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """The inner join of ``big`` with ``small``, which has a row per key and in ``size`` at least the key's rows in ``big``.
+
+    The sizes add up to twice the ``total`` at most, so fewer than two thousand
+    keys have more than a thousandth of it; theirs are broadcast and their rows
+    stay where they are, and the other keys meet in a shuffle.  Both frames are
+    read twice: pass stored ones.
+    """
+    many = small.where(F.col(size) > max(SPREAD_LEAST, total // SPREAD_SHARE))
+    hot = big.join(F.broadcast(many), on)
+    rest = big.join(F.broadcast(many.select(*on)), on, "left_anti")
+    return hot.unionByName(rest.join(small.hint("shuffle_hash"), on))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``max_bytes`` of ``column``, one row at least."""
     for batch in batches:

@@ -4,8 +4,9 @@ Documents are rows, distinct word shingles are columns of a 0/1 incidence
 matrix; the overlaps of all pairs are its product with its own transpose.  The
 product is never formed whole:
 
-* Documents with one shingle set are one class; a class has one row, numbered by
-  64 bits of its set's 128-bit signature.
+* Documents with one shingle set, told by a 128-bit signature, are one class; a
+  class has one row, numbered by half of its signature, or by a hash of the whole
+  where classes share that half.
 * Columns are ordered, shingles that many documents of a partition share last
   (by their summed local counts), the others by hash.  Two sets with Jaccard of
   75 % or more share a column among the first ``n - ceil(0.75 n) + 1`` of
@@ -37,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import NONSPACE, _mixed, slices, stored, text_buffer, window_hashes, word_bounds, word_hashes
+from sluice.llm.common import NONSPACE, _mixed, drop_stored, slices, spread_join, stored, text_buffer, window_hashes, word_bounds, word_hashes
 from sluice.llm.meeting import few_first, meet
 
 SHINGLE = 5
@@ -54,6 +55,8 @@ FREQUENT, FREQUENT_LEAST = 2_000_000, 16
 #: Rows side of a square sub-block of a wide column; rows of a verification group.
 SQUARE, GROUP = 2000, 300
 _LOCAL = 1 << 21
+#: Halves of signatures that may stand for several classes.
+MOST_SHARED = 100_000
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -149,8 +152,8 @@ def prepare(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     order = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[order], n[order]))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     text = names[docs.columns.index(text_col)]
+    numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", F.octet_length(text))
     schema = T.StructType([*numbered.schema, *T._parse_datatype_string("_n long, _s1 long, _s2 long, _rare int, _e1 long, _e2 long, _prefix array<long>")])
     return stored(numbered.mapInArrow(lambda b: _prefixed(b, text, k, percent, frequent), schema), "prefixes")
 
@@ -342,23 +345,42 @@ def components(links: DataFrame) -> DataFrame:
     links is no hot spot of the aggregation.
     """
     both = stored(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    total = both.count()
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label"), F.count(F.lit(1)).alias("n")), "labels")
     while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = spread_join(both, labels.withColumnRenamed("node", "v"), ["v"], "n", total).groupBy("u").agg(F.min("label").alias("m"))
+        hooked = labels.join(near, labels["node"] == near["u"]).select("node", "n", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = hooked.select(F.col("node").alias("p"), F.col("label").alias("q"))
-        new = stored(hooked.join(jump, hooked["label"] == jump["p"]).select("node", "old", F.least("label", "q").alias("label")), "labels")
+        new = stored(hooked.join(jump, hooked["label"] == jump["p"]).select("node", "n", "old", F.least("label", "q").alias("label")), "labels")
         moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        labels = new.select("node", "label", "n")
         if not moved:
-            return labels
+            return labels.select("node", "label")
+
+
+def _class_number(classes: DataFrame) -> Column:
+    """A number for each class: half of its signature, or where several classes share that, a hash of the whole.
+
+    Among n classes n * n / 2**65 pairs share a half, about three at 10**10, so the list is short.
+    """
+    several = classes.groupBy("_s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_s1").limit(MOST_SHARED + 1).collect()
+    if not several:
+        return F.col("_s1")
+    if len(several) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} halves of signatures stand for several classes")
+    number = F.when(F.array_contains(F.lit([r._s1 for r in several]), F.col("_s1")), F.xxhash64("_s1", "_s2", "_n")).otherwise(F.col("_s1"))
+    if classes.groupBy(number.alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("two classes share a number")
+    return number
 
 
 def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) -> tuple[DataFrame, DataFrame]:
     """Classes (_s1, _s2, _n, node) of equal sets, and (node, label) of linked classes."""
-    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("_row"), F.first("_e1").alias("_e1"), F.first("_e2").alias("_e2"))
-    classes = stored(classes.withColumn("node", F.col("_s1")), "classes")
-    posts = rows.select(F.col("_s1").alias("node"), "_n", "_rare", F.posexplode("_prefix").alias("rank", "h"))
+    classes = rows.where("_n > 0").groupBy("_s1", "_s2", "_n").agg(F.min("_row").alias("_row"), F.first("_e1").alias("_e1"), F.first("_e2").alias("_e2"), F.count(F.lit(1)).alias("size"))
+    classes = stored(classes, "signed")
+    node = _class_number(classes)
+    classes = classes.withColumn("node", node)
+    posts = rows.select(node.alias("node"), "_n", "_rare", F.posexplode("_prefix").alias("rank", "h"))
     dealt = posts.select("h", "node", "_n", "rank", "_rare").repartition(F.col("h")).sortWithinPartitions("h", "_rare", "node")
     product = stored(dealt.mapInArrow(lambda b: _block_product(b, percent, wide), _OUT_SQL), "product")
 
@@ -375,7 +397,7 @@ def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) ->
     spare = F.ceil(F.lit(percent) * F.when(F.col("eu") <= F.col("ev"), F.col("nu")).otherwise(F.col("nv")) / 100) - 1
     most = F.col("c") + F.least("wu", "wv") + spare
     first = counted.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
-    texts = rows.select("_row", F.col(text).alias("text"))
+    texts = rows.select("_row", F.col(text).alias("text"), F.col("_size").alias("size"))
     links = verify(first, classes, texts, k, percent)
     labels = components(links)
 
@@ -392,23 +414,22 @@ def link_classes(rows: DataFrame, text: str, k: int, percent: int, wide: int) ->
     if across.limit(1).count():
         links = stored(links.union(verify(across, classes, texts, k, percent)), "links")
         labels = components(links)
+    for done in (product, info, across):
+        drop_stored(done)
     return classes, labels
 
 
 def _placed(rows: DataFrame, id_col: str, text: str, k: int = SHINGLE, percent: int = PERCENT, wide: int = WIDE) -> DataFrame:
     classes, labels = link_classes(rows, text, k, percent, wide)
-    grouped = classes.join(labels, "node", "left").select("_s1", "_s2", "_n", F.coalesce("label", "node").alias("group"))
+    grouped = stored(classes.join(labels.hint("shuffle_hash"), "node", "left").select("_s1", "_s2", "_n", "size", F.coalesce("label", "node").alias("group")), "grouped")
     slim = rows.select("_row", F.col(id_col).alias("id"), "_n", "_s1", "_s2")
-    placed = slim.join(grouped, ["_s1", "_s2", "_n"], "left").select("_row", "id", "_n", "group")
+    total = rows.count()
+    # rows without a set are linked with nothing and take no part in the joins
+    placed = stored(spread_join(slim.where("_n > 0"), grouped, ["_s1", "_s2", "_n"], "size", total).select("_row", "id", "_n", "group"), "placed")
     head = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_row"))).alias("head")
-    first = placed.where("group is not null").groupBy("group").agg(F.min("id").alias("least"), head)
-    return placed.join(first, "group", "left").select(
-        "_row",
-        "id",
-        F.col("_n").alias("n_shingles"),
-        F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
-        F.coalesce(F.col("head._row") == F.col("_row"), F.lit(True)).alias("_keep"),
-    )
+    first = stored(placed.groupBy("group").agg(F.min("id").alias("least"), head, F.count(F.lit(1)).alias("size")), "first")
+    some = spread_join(placed, first, ["group"], "size", total).select("_row", "id", F.col("_n").alias("n_shingles"), F.col("least").alias("component_id"), (F.col("head._row") == F.col("_row")).alias("_keep"))
+    return some.union(slim.where("_n = 0").select("_row", "id", F.col("_n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("_keep")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, wide: int = WIDE) -> DataFrame:

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sluice.llm.common import _CHAIN, ALNUM, _mixed, gathered, pack, stored, text_buffer, unpack, window_hashes, window_ok, word_bounds, word_hashes
+from sluice.llm.common import _CHAIN, ALNUM, _mixed, drop_stored, gathered, pack, stored, text_buffer, unpack, window_hashes, window_ok, word_bounds, word_hashes
 from sluice.llm.meeting import meet, runtime_filter
 
 #: Words of each half of a seed, places its second half is chosen from, words a seed lies within.
@@ -395,10 +395,11 @@ _MET = "u long, v long, start_word long, end_word long, other_start long, other_
 
 def _linked(rows: DataFrame, texts: DataFrame, keys: Keys, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Passages inside and across blocks; pairs that met across; shared and open places of documents inside blocks."""
-    local = stored(rows.mapInArrow(lambda b: _blocks(b, keys, bits), _BLOCK), "blocks")
+    local = stored(rows.mapInArrow(lambda b: _blocks(b, keys, bits), _BLOCK), "blocks")  # kept: its passages are read by the caller
     reps = local.where("bucket is not null").select("bucket", "blob")
     matches = stored(reps.groupBy("bucket").applyInArrow(_across, "u long, v long, pu int, pv int"), "matches")
-    pairs = stored(matches.groupBy("u", "v").agg(F.collect_list(F.struct("pu", "pv")).alias("seeds")), "pairs")
+    pairs = stored(matches.groupBy("u", "v").agg(F.collect_list(F.struct("pu", "pv")).alias("seeds")), "seeds")
+    drop_stored(matches)
     found = meet(pairs, texts, _aligned, _MET, GROUP)
     inner = local.where("v is not null").select("u", "v", *_PASSAGE, "whole")
     return inner.unionByName(found), pairs, local.where("shared is not null").select(F.col("u").alias("node"), "shared", "open")
@@ -411,13 +412,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other_start, other_end, matches, similarity.
     """
     kind = docs.schema[id_col].dataType
-    numbered = docs.select(F.monotonically_increasing_id().alias("node"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("node"), docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("size", F.octet_length("text"))
     volume = Observation()
-    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
-    rows = stored(numbered.observe(volume, size), "rows")
+    rows = stored(numbered.observe(volume, F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")), "rows")
     # a hash range for each block's worth of text, so that a range fits a task at any size
     bits = max(5, (int(volume.get["bytes"]) // BLOCK_BYTES).bit_length())
-    texts = rows.select(F.col("node").alias("_row"), "text")
+    texts = rows.select(F.col("node").alias("_row"), "text", "size")
 
     found, pairs, inner = _linked(rows.select("node", "text"), texts, seed_keys, bits)
     spans = found.groupBy("u", "v").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))

@@ -77,3 +77,30 @@ def test_one_of_each(spark):
     left = J.one_of_each(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 7]
+
+
+def test_large_groups_are_joined_apart(spark, monkeypatch):
+    from sluice.llm import common
+
+    monkeypatch.setattr(common, "SPREAD_LEAST", 3)
+    monkeypatch.setattr(common, "SPREAD_SHARE", 20)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base)) for i in range(60)] + [(100 + i, None) for i in range(30)]
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(80)] = f"x{i}"
+        rows.append((200 + i, " ".join(w)))
+    rows += [(400 + i, " ".join(f"d{i}-{j}" for j in range(20))) for i in range(30)]
+    rng.shuffle(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+
+
+def test_classes_that_share_half_a_signature(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(5, 9)))) for i in range(80)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows_ = J.prepare(docs, "text", 5, 75)
+    half = rows_.withColumn("_s1", J.F.when(J.F.col("_n") > 0, J.F.col("_s1") % 3).otherwise(J.F.lit(0)))
+    left = sorted((tuple(r) for r in J._placed(half, "c0", "c1").select("id", "n_shingles", "component_id").collect()), key=str)
+    assert left == brute(rows)
