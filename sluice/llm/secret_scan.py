@@ -5,9 +5,11 @@ Shannon entropy of its characters is kept up to date from the counts of the
 character that enters and the one that leaves.  A window is hot when its
 entropy reaches the threshold of its character class (hexadecimal, letters and
 digits, or base64) and it mixes digits and letters; hot windows merge into
-spans.  An allow list suppresses well-known harmless strings (UUIDs, runs of
-the alphabet, placeholders, digests of nothing, hosts and paths).  The fixed patterns
-(assignments, access keys, long lower-case hexadecimal) are never suppressed.
+spans.  An allow list cuts well-known harmless parts (UUIDs, placeholder words,
+digests of nothing, slugs and paths) out of a candidate, and the windows slide
+over what is left, so a harmless part never hides the secret beside it; nor does
+a fixed span.  The fixed patterns (assignments, access keys, long lower-case
+hexadecimal) are never suppressed.
 
 One pass, no shuffle.  Runs are found with numpy over whole batches; only
 texts with a run, an access-key prefix, or a colon or equals sign are looked at
@@ -46,15 +48,18 @@ _HEX_BYTES = byte_class((0x30, 0x39), (0x61, 0x66))
 _KEY_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2D, 0x2D), (0x2F, 0x2F), (0x3D, 0x3D), (0x5F, 0x5F))
 _HEX_SET = frozenset("0123456789abcdefABCDEF")
 
-#: Harmless strings: whole candidates that match are suppressed.
+#: Harmless parts of a candidate, which are cut out of it: UUIDs, digests of nothing, placeholder words that stand
+#: alone, and chains of words and numbers (slugs, paths, snake case).
+_PART = r"(?:[a-z]+|[A-Z][a-z]*|[A-Z]{2,}|[0-9]{1,12}|[A-Za-z][a-z]*[0-9]{1,4})"
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|(?i:.*(example|placeholder|changeme|your[-_]|xxxx|dummy|sample).*)"
-    r"|[0-9+/=_-]+|[A-Za-z+/=_-]+"  # digits alone, letters alone
-    r"|([A-Za-z0-9]{1,12}[-_/])+[A-Za-z0-9]{0,12}"  # slugs, paths, snake case
-    r"|d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709"  # digests of nothing
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
+    r"|d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709"
     r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    r"|(?<![A-Za-z])(?i:example|placeholder|changeme|your|dummy|sample|x{4,})(?![A-Za-z])"
+    rf"|(?<![A-Za-z0-9])(?:{_PART}[-_/=+])+{_PART}(?![A-Za-z0-9])"
 )
+#: Least length of a chain that is cut out; a shorter one may stand in a key by chance.
+CHAIN = 8
 _ROWS = "abcdefghijklmnopqrstuvwxyz0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,9 +112,15 @@ def hot_spans(s: str, width: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def allowed(s: str) -> bool:
+def allowed(s: str) -> list[tuple[int, int]]:
+    """Harmless parts (start, end) of a candidate, in order."""
+    return [m.span() for m in ALLOWED.finditer(s) if m.end() - m.start() >= CHAIN or m[0].isalpha()]
+
+
+def harmless(s: str) -> bool:
+    """Whether a span is a stretch of the alphabet."""
     low = s.lower()
-    return bool(ALLOWED.fullmatch(s)) or low in _ROWS or low in _ROWS[::-1]
+    return low in _ROWS or low in _ROWS[::-1]
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -127,13 +138,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
         else:
             covered.append((a, b))
     for m in CANDIDATE.finditer(text):
-        if allowed(m[0]):
-            continue
-        for a, b in hot_spans(m[0]):
-            a, b = a + m.start(), b + m.start()
-            at = bisect.bisect_left(covered, (b, 0))
-            if at == 0 or covered[at - 1][1] <= a:
-                out.append((a, b, "entropy"))
+        # what is left of the candidate between fixed spans and harmless parts
+        first = max(bisect.bisect_left(covered, (m.start(), 0)) - 1, 0)
+        last = bisect.bisect_left(covered, (m.end(), 0))
+        at = m.start()
+        for a, b in [*sorted([*((x + m.start(), y + m.start()) for x, y in allowed(m[0])), *covered[first:last]]), (m.end(), m.end())]:
+            if min(a, m.end()) - at >= WINDOW:
+                spans = [(x + at, y + at) for x, y in hot_spans(text[at : min(a, m.end())])]
+                out += [(x, y, "entropy") for x, y in spans if not harmless(text[x:y])]
+            at = max(at, b)
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -56,3 +56,35 @@ def test_incremental_entropy():
         c = Counter(s[a : a + 20])
         assert abs(bits + sum(n / 20 * math.log2(n / 20) for n in c.values())) < 1e-9
     assert len(list(S.entropy_windows(s, 20))) == 71
+
+
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+SHAPES = {
+    "40 letters and digits": lambda r: "".join(r.choices(ALNUM, k=40)),
+    "24 letters and digits": lambda r: "".join(r.choices(ALNUM, k=24)),
+    "40 of base64": lambda r: "".join(r.choices(ALNUM + "+/", k=40)),
+    "base64 in parts": lambda r: "/".join("".join(r.choices(ALNUM, k=r.randrange(8, 13))) for _ in range(5)),
+    "prefixed": lambda r: "sk_live_" + "".join(r.choices(ALNUM, k=24)),
+    "after a name": lambda r: "your-app/" + "".join(r.choices(ALNUM, k=40)),
+    "ending in sample": lambda r: "sk_live_" + "".join(r.choices(ALNUM, k=24)) + "dcsample",
+    "after an access key": lambda r: "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=16)) + "/" + "".join(r.choices(ALNUM, k=40)),
+}
+HARMLESS = [
+    "id 123e4567-e89b-12d3-a456-426614174000 ok", "/usr/local/lib/python3/site-packages/numpy/core/include/numpy", "some-long-slug-with-2024-and-7-words", "AbstractSingletonProxyFactoryBean",
+    "MAX_BUFFER_SIZE_IN_BYTES_PER_CHANNEL_2", "d41d8cd98f00b204e9800998ecf8427E", "your-example-placeholder-changeme-xxxxxxxx", "2024-05-17/2024-06-18/2024-07-19/11", "=" * 80, "abcdefghijklmnopqrstuvwxyz0123456789",
+]
+
+
+def test_recall_by_shape():
+    rng = random.Random(9)
+    for name, make in SHAPES.items():
+        keys = [make(rng) for _ in range(200)]
+        found = 0
+        for k in keys:
+            text = f"see {k} here"
+            found += any(b - a >= 20 and kind == "entropy" for a, b, kind in S.find(text))
+        assert found >= 190, (name, found)
+
+
+def test_harmless_strings():
+    assert [s for s in HARMLESS if any(k == "entropy" for *_, k in S.find(f"see {s} here"))] == []
