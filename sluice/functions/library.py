@@ -24,6 +24,11 @@ def _double(x: Column, kind: T.DataType | None) -> Column:
     return x.cast("double") if isinstance(kind, T.DecimalType) else x
 
 
+def _histogram(values: Column) -> Column:
+    """Each value with its number, by value; nulls do not count."""
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)).cast("bigint"))))
+
+
 #: name -> (columns, type of the first) -> aggregate
 AGGREGATES: dict[str, Callable[[list[Column], T.DataType | None], Column]] = {
     "sum": lambda a, k: F.sum(a[0]),
@@ -72,7 +77,7 @@ AGGREGATES: dict[str, Callable[[list[Column], T.DataType | None], Column]] = {
     "string_agg": lambda a, k: F.listagg(a[0], a[1] if len(a) > 1 else F.lit(",")),
     "listagg": lambda a, k: F.listagg(a[0], a[1] if len(a) > 1 else F.lit(",")),
     "grouping": lambda a, k: F.grouping(a[0]),
-    "histogram": lambda a, k: F.map_from_entries(F.array_agg(F.struct(a[0], F.lit(1)))),
+    "histogram": lambda a, k: _histogram(F.collect_list(a[0])),
 }
 AGGREGATES["kurtosis"] = lambda a, k: F.kurtosis(a[0])
 
@@ -113,6 +118,9 @@ SCALARS: dict[str, Callable[[list[Column]], Column]] = {
     "starts_with": lambda a: F.startswith(a[0], a[1]),
     "ends_with": lambda a: F.endswith(a[0], a[1]),
     "regexp_like": lambda a: F.regexp_like(a[0], a[1]),
+    "regexp_extract": lambda a: F.call_function("regexp_extract", a[0], a[1], a[2] if len(a) > 2 else F.lit(0)),
+    "epoch": lambda a: F.unix_micros(a[0].cast("timestamp")) / F.lit(1e6),
+    "json_extract": lambda a: F.call_function("get_json_object", a[0], a[1]),
     "regexp_matches": lambda a: F.regexp_like(a[0], a[1]),
     "strpos": lambda a: F.instr(a[0], a[1]) if isinstance(a[1], str) else F.call_function("instr", a[0], a[1]),
     "list_contains": lambda a: F.array_contains(a[0], a[1]),

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.errors import FlowError
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -205,3 +207,41 @@ def extract(field: str, x: Column) -> Column:
 
 def json_object(pairs: list[tuple[str, Column]], absent_on_null: bool = False) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in pairs]), {} if absent_on_null else {"ignoreNullFields": "false"})
+
+
+def folded(name: str, x: Column, kind: T.DataType | None) -> Column:
+    """Sum, mean, least or greatest of a list's elements that are not null; null if there are none."""
+    if name in ("list_min", "list_max"):
+        return (F.array_min if name == "list_min" else F.array_max)(x)
+    known = F.filter(x, lambda v: v.isNotNull())
+    element = kind.elementType if isinstance(kind, T.ArrayType) else None
+    whole = isinstance(element, T.IntegralType) and name == "list_sum"
+    total = F.aggregate(known, F.lit(0).cast("bigint" if whole else "double"), lambda acc, v: acc + v.cast("bigint" if whole else "double"))
+    return F.when(F.size(known) > 0, total / F.size(known) if name == "list_avg" else total)
+
+
+def boundaries(unit: str, start: Column, end: Column) -> Column:
+    """How many borders of a unit lie between two dates or times."""
+    unit = unit.lower().removesuffix("s")
+    if unit not in ("year", "quarter", "month", "week", "day", "hour", "minute", "second"):
+        raise FlowError(f"date_diff knows no unit {unit}")
+    return F.timestamp_diff(unit.upper(), F.date_trunc(unit, start), F.date_trunc(unit, end))
+
+
+#: Directives of strftime and Spark's letters for them: fixed values.
+_DIRECTIVES = {
+    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "I": "hh", "p": "a", "f": "SSSSSS", "-d": "d", "-m": "M", "%": "%",
+}
+
+
+def java_format(pattern: str) -> str:
+    """A strftime format as Spark's date format."""
+    out = []
+    for directive, plain in re.findall(r"%(-?[A-Za-z%])|([^%]+)", pattern):
+        if plain:
+            out.append(re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", plain.replace("'", "''")))
+        elif directive in _DIRECTIVES:
+            out.append(_DIRECTIVES[directive])
+        else:
+            raise FlowError(f"no format for %{directive}")
+    return "".join(out)

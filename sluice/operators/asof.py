@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Time ranges; 1 keeps a key's rows in one window.
@@ -43,15 +44,17 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column
         r.select(*names, "_t", F.lit(right_side).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType), "_r")
     )
     order = [F.col("_t").asc() if back else F.col("_t").desc(), F.col("_side").asc()]
-    if buckets > 1:
-        cuts = matchable.agg(F.expr(f"approx_percentile(cast(_t as double), array({','.join(str(i / buckets) for i in range(1, buckets))}), 1000)")) if _numeric(left, left_time) else None
-        edges = [] if cuts is None else [c for c in (cuts.first()[0] or [])]
-    else:
-        edges = []
+    edges: list[Column] = []
+    kind = matchable.schema["_t"].dataType
+    if buckets > 1 and _ordered(kind):
+        # quantiles in the time's own type, as texts, so that no zone or rounding moves them
+        shares = ",".join(str(i / buckets) for i in range(1, buckets))
+        cuts = matchable.agg(F.expr(f"transform(approx_percentile(_t, array({shares}), 1000), x -> cast(x as string))")).first()[0] or []
+        edges = [F.lit(c).cast(kind) for c in sorted(set(cuts))]
     if edges:
         bucket = F.lit(0)
-        for e in sorted(set(edges)):
-            bucket = bucket + (F.col("_t").cast("double") > F.lit(float(e))).cast("int")
+        for e in edges:
+            bucket = bucket + (F.col("_t") > e).cast("int")
         both = both.withColumn("_b", bucket if back else -bucket)
         rights = both.where("_r is not null")
         latest = F.max_by("_r", F.col("_t")) if back else F.min_by("_r", F.col("_t"))
@@ -72,6 +75,5 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column
     return seen.select(*[F.col(f"_l.`{c}`").alias(c) for c in own], *[F.col(f"_m.`{c}`").alias(c) for c in other])
 
 
-def _numeric(df: DataFrame, c: Column) -> bool:
-    kind = df.select(c).schema[0].dataType.simpleString()
-    return kind in ("bigint", "int", "smallint", "double", "float", "timestamp") or kind.startswith("decimal")
+def _ordered(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))

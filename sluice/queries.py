@@ -210,6 +210,38 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "from lineitem select l_orderkey, l_linenumber, l_discount, l_tax unpivot rate for kind in (l_discount, l_tax)",
         "select l_orderkey, l_linenumber, 'l_discount' as kind, l_discount as rate from lineitem union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem",
     ),
+    "histogram": (
+        "from orders group by o_orderpriority agg histogram(o_orderstatus) as h select o_orderpriority, h['F'] as f, h['O'] as o",
+        "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o from orders group by o_orderpriority",
+    ),
+    "array_concat_op": (
+        "from nation where n_nationkey < 5 add concat([n_nationkey, 1], [n_regionkey]) as c, len([n_regionkey, 2, 3]) as n, list_sum([n_nationkey, 10]) as s, concat(n_name, '-', n_nationkey) as t select n_nationkey, c[1] as c1, c[3] as c3, n, s, t",
+        "select n_nationkey, n_nationkey as c1, n_regionkey as c3, 3::int as n, n_nationkey + 10 as s, n_name || '-' || n_nationkey as t from nation where n_nationkey < 5",
+    ),
+    "regexp_extract": (
+        "from part select p_partkey, regexp_extract(p_type, '[A-Z]+') as first, regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2) as second",
+        "select p_partkey, regexp_extract(p_type, '[A-Z]+') as first, regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2) as second from part",
+    ),
+    "date_diff": (
+        "from orders select o_orderkey, date_diff('day', o_orderdate, '1999-01-15'::date) as d, date_diff('month', o_orderdate, '1999-01-15'::date) as m, date_diff('year', o_orderdate, '1999-01-15'::date) as y",
+        "select o_orderkey, date_diff('day', o_orderdate::date, date '1999-01-15') as d, date_diff('month', o_orderdate::date, date '1999-01-15') as m, date_diff('year', o_orderdate::date, date '1999-01-15') as y from orders",
+    ),
+    "strftime": (
+        "from orders select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') as day, try_cast(o_orderpriority as int) as none",
+        "select o_orderkey, strftime(o_orderdate::timestamp, '%Y/%m/%d') as day, try_cast(o_orderpriority as int) as none from orders",
+    ),
+    "like_regex_contains": (
+        "from part where p_name like '%a%' where contains(p_type, 'A') where regexp_like(p_type, 'N|E') select p_partkey",
+        "select p_partkey from part where p_name like '%a%' and contains(p_type, 'A') and regexp_matches(p_type, 'N|E')",
+    ),
+    "group_ordinal": (
+        "from orders select o_orderstatus, o_orderkey group by 1 agg _.count as n",
+        "select o_orderstatus, count(*) as n from orders group by 1",
+    ),
+    "array_get": (
+        "from nation select n_nationkey, [n_nationkey, n_regionkey].get(2) as r, current_date.extract('year') > 2000 as now",
+        "select n_nationkey, n_regionkey as r, true as now from nation",
+    ),
     # ------------------------------------------------------------------ windows
     "win_rank_family": (
         "from nation add rank() over (partition by n_regionkey order by n_name) as r, dense_rank() over (order by n_regionkey) as d, row_number() over (partition by n_regionkey order by n_name desc) as i, ntile(4) over (order by n_nationkey) as q select n_nationkey, r, d, i, q",
@@ -219,6 +251,14 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "from orders add lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before, lead(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as after select o_orderkey, before, after",
         "select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before, lead(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as after from orders",
     ),
+    "win_lag_default": (
+        "from [[1, 10, 7], [2, null, 8], [3, 30, 9]] as t(i, v, y) add lag(v, 1, y) over (order by i) as p, lead(v, 1, i + y) over (order by i) as n, lag(v, 1, 9) ignore nulls over (order by i) as g",
+        "select *, lag(v, 1, y) over (order by i) as p, lead(v, 1, i + y) over (order by i) as n, lag(v, 1, 9 ignore nulls) over (order by i) as g from (values (1::bigint, 10::bigint, 7::bigint), (2, null, 8), (3, 30, 9)) t(i, v, y)",
+    ),
+    "win_lag_offset": (
+        "from orders add lag(o_orderkey, 1 + 1) over (partition by o_custkey order by o_orderkey) as p, lead(o_orderkey, 2 * 2 - 1, -o_custkey) over (partition by o_custkey order by o_orderkey) as n select o_orderkey, p, n",
+        "select o_orderkey, lag(o_orderkey, 2) over (partition by o_custkey order by o_orderkey) as p, lead(o_orderkey, 3, -o_custkey) over (partition by o_custkey order by o_orderkey) as n from orders",
+    ),
     "win_ignore_nulls": (
         "from [[1, 10], [2, null], [3, 30], [4, null]] as t(i, v) add lag(v) ignore nulls over (order by i) as p, last_value(v) ignore nulls over (order by i) as l, first_value(v) over (order by i desc) as f",
         "select *, lag(v ignore nulls) over (order by i) as p, last_value(v ignore nulls) over (order by i) as l, first_value(v) over (order by i desc) as f from (values (1::bigint, 10::bigint), (2, null), (3, 30), (4, null)) t(i, v)",
@@ -501,6 +541,29 @@ and not exists (select 1 from orders where o_custkey = c_custkey) group by c_nat
 
 #: SQL text through the front door, and the same for DuckDB
 SQLS: dict[str, tuple[str, str]] = {
+    "sql_array_agg_order": (
+        "select n_regionkey, array_join(array_agg(n_name order by n_name desc), ',') as names, array_join(array_agg(n_nationkey order by length(n_name), n_name), ',') as keys from nation group by n_regionkey",
+        "select n_regionkey, array_to_string(array_agg(n_name order by n_name desc), ',') as names, array_to_string(array_agg(n_nationkey order by length(n_name), n_name), ',') as keys from nation group by n_regionkey",
+    ),
+    "sql_int_div": ("select o_orderkey, o_orderkey // 7 as q, 'a // b' as t from orders", "select o_orderkey, o_orderkey // 7 as q, 'a // b' as t from orders"),
+    "sql_array_literal": (
+        "select n_nationkey, [n_nationkey, n_regionkey][1] as a, ARRAY[ARRAY[1, n_regionkey], [3]][0][1] as b, size([[1, 2], [3]]) as c from nation",
+        "select n_nationkey, n_regionkey as a, n_regionkey as b, 2::int as c from nation",
+    ),
+    "sql_from_unnest": ("select x, x * 2 as y from unnest(ARRAY[1, 2, 3]) as t(x)", "select x, x * 2 as y from unnest([1, 2, 3]) as t(x)"),
+    "sql_literal_untouched": (
+        "select n_nationkey, 'a varchar array[1] arbitrary(x) -- from region' as t, cast(n_nationkey as varchar) as k from nation -- no table here",
+        "select n_nationkey, 'a varchar array[1] arbitrary(x) -- from region' as t, cast(n_nationkey as varchar) as k from nation",
+    ),
+    "sql_rows_between": (
+        "select o_orderkey, sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as s from orders",
+        "select o_orderkey, sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row)::bigint as s from orders",
+    ),
+    "sql_rlike_distinct_from": ("select p_partkey from part where p_type rlike 'STEEL$' and p_size is distinct from 10", "select p_partkey from part where regexp_matches(p_type, 'STEEL$') and p_size is distinct from 10"),
+    "sql_typed_literals": (
+        "select o_orderkey from orders where o_orderdate >= date '1995-01-01' and o_orderdate < date '1995-01-01' + interval '3' month",
+        "select o_orderkey from orders where o_orderdate >= date '1995-01-01' and o_orderdate < date '1995-01-01' + interval 3 month",
+    ),
     "sql_grouping_sets": (
         "select l_returnflag, l_linestatus, count(*) as n, cast(grouping(l_returnflag) as bigint) as g from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())",
         "select l_returnflag, l_linestatus, count(*) as n, grouping(l_returnflag)::bigint as g from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())",
@@ -583,11 +646,62 @@ def delete_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query(f"from '{path}'")
 
 
+def csv_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_scratch(spark)}/saved.csv"
+    engine = Engine(spark, sf_dir)
+    engine.run(f"from supplier select s_suppkey, s_name, s_nationkey save to '{path}'")
+    return engine.query(f"from '{path}' where s_nationkey < 10")
+
+
+def json_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_scratch(spark)}/saved.json.gz"
+    engine = Engine(spark, sf_dir)
+    engine.run(f"from customer select c_custkey, c_name, c_mktsegment save to '{path}'")
+    return engine.query(f"from '{path}' where c_mktsegment = 'BUILDING'")
+
+
+def _named(name: str) -> str:
+    import uuid
+
+    return f"{name}_{uuid.uuid4().hex[:8]}"
+
+
+def table_save_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, engine = _named("grown"), Engine(spark, sf_dir)
+    engine.run(f"from nation where n_regionkey = 0 save to {t}\nfrom nation where n_regionkey = 1 append to {t}")
+    return engine.query(f"from {t} select n_nationkey, n_name")
+
+
+def sql_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, engine = _named("changed"), Engine(spark, sf_dir)
+    engine.sql(f"create or replace table {t} as select n_nationkey as k, n_name as name, n_regionkey as r from nation")
+    engine.sql(f"update {t} set name = concat(name, ', set'), r = r + 10 where r = 2")
+    engine.sql(f"insert into {t} values (100, 'new', 7)")
+    engine.sql(f"delete from {t} where k < 3")
+    return engine.sql(f"select * from {t}")
+
+
+def sql_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, engine = _named("merged"), Engine(spark, sf_dir)
+    engine.sql(f"create or replace table {t} as select n_nationkey as k, n_regionkey as r from nation where n_nationkey < 20")
+    engine.sql(
+        f"merge into {t} as t using (select n_nationkey as k, n_regionkey as r from nation where n_nationkey > 10) as s on t.k = s.k "
+        "when matched and s.r = 3 then delete when matched then update set r = s.r + 100 when not matched then insert (k, r) values (s.k, s.r)"
+    )
+    return engine.sql(f"select * from {t}")
+
+
+def sql_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    engine.sql("prepare by_region from select n_nationkey, 'why?' as t from nation where n_regionkey = ? and n_name > ?")
+    return engine.sql("execute by_region using 1, 'B, ?'")
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.streaming import subscribe as s
 
     events = s.as_stream(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    out = s.run_complete(s.windowed(events, "ts", "1d", [F.count(F.lit(1)).alias("n")], ["event_type"]))
+    out = s.run_complete(s.windowed(events, "ts", "1d", [F.count(F.lit(1)).alias("n")], ["event_type"]), f"{_scratch(spark)}/daily")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
@@ -595,7 +709,7 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.streaming import subscribe as s
 
     events = s.as_stream(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    out = s.run_complete(s.sessions(events, "ts", "12h", [F.count(F.lit(1)).alias("n")], ["user_id"]))
+    out = s.run_complete(s.sessions(events, "ts", "12h", [F.count(F.lit(1)).alias("n")], ["user_id"]), f"{_scratch(spark)}/sessions")
     return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("started"), "n")
 
 
@@ -611,6 +725,20 @@ def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "save_then_read": (save_then_read, "select * from nation where n_regionkey < 3"),
     "append_then_read": (append_then_read, "select * from nation where n_regionkey < 2"),
+    "csv_then_read": (csv_then_read, "select s_suppkey::bigint as s_suppkey, s_name, s_nationkey::bigint as s_nationkey from supplier where s_nationkey < 10"),
+    "json_then_read": (json_then_read, "select c_custkey::bigint as c_custkey, c_name, c_mktsegment from customer where c_mktsegment = 'BUILDING'"),
+    "table_save_append": (table_save_append, "select n_nationkey, n_name from nation where n_regionkey < 2"),
+    "sql_update": (
+        sql_update,
+        """select n_nationkey as k, case when n_regionkey = 2 then n_name || ', set' else n_name end as name, case when n_regionkey = 2 then n_regionkey + 10 else n_regionkey end as r
+from nation where n_nationkey >= 3 union all select 100, 'new', 7""",
+    ),
+    "sql_merge": (
+        sql_merge,
+        """select n_nationkey as k, case when n_nationkey > 10 and n_nationkey < 20 then n_regionkey + 100 else n_regionkey end as r
+from nation where not (n_nationkey > 10 and n_nationkey < 20 and n_regionkey = 3)""",
+    ),
+    "sql_prepared": (sql_prepared, "select n_nationkey, 'why?' as t from nation where n_regionkey = 1 and n_name > 'B, ?'"),
     "delete_rewrite": (delete_rewrite, "select * from customer where not (c_acctbal < 0 and c_nationkey > 5)"),
     "stream_tumbling": (stream_tumbling, "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n from events group by all"),
     "stream_session": (

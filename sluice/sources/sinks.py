@@ -10,6 +10,7 @@ import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.errors import FlowError
 from sluice.sources import files
@@ -25,8 +26,12 @@ def save_table(df: DataFrame, name: str, options: dict[str, Any] | None = None)
     if by := (options or {}).get("partition_by"):
         writer = writer.partitionBy(*by.split(","))
     writer.saveAsTable(beside)
-    spark.sql(f"drop table if exists {name}")
+    # the old table is moved aside first and dropped last, so a crash in between loses neither
+    aside = f"{name}_{uuid.uuid4().hex[:8]}"
+    if spark.catalog.tableExists(name):
+        spark.sql(f"alter table {name} rename to {aside}")
     spark.sql(f"alter table {beside} rename to {name}")
+    spark.sql(f"drop table if exists {aside}")
 
 
 def append_table(df: DataFrame, name: str, columns: tuple[str, ...] = ()) -> None:
@@ -46,8 +51,6 @@ def append_table(df: DataFrame, name: str, columns: tuple[str, ...] = ()) -> Non
 
 
 def _null(table: DataFrame, name: str):
-    from pyspark.sql import functions as F
-
     return F.lit(None).cast(table.schema[name].dataType).alias(name)
 
 
@@ -83,14 +86,21 @@ def save_file(df: DataFrame, path: str, options: dict[str, Any] | None = None) -
 
 
 def append_file(df: DataFrame, path: str) -> None:
-    """Add rows to a file, which is created if missing."""
+    """Add rows to a file, which is created if missing; a folder of part files only gains parts."""
     spark = df.sparkSession
-    if exists(spark, path):
-        old = files.read(spark, path)
-        if len(old.columns) != len(df.columns):
-            raise FlowError(f"append: {len(df.columns)} columns into {len(old.columns)}")
-        df = old.union(df)
-    save_file(df, path)
+    if not exists(spark, path):
+        save_file(df, path)
+        return
+    old = files.read(spark, path)
+    if len(old.columns) != len(df.columns):
+        raise FlowError(f"append: {len(df.columns)} columns into {len(old.columns)}")
+    fs, target = _fs(spark, path)
+    if files.kind_of(path) == "parquet" and fs.getFileStatus(target).isDirectory():
+        added = df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, old.schema, strict=True)])
+        if added.columns == old.columns and len({c.lower() for c in df.columns}) == len(df.columns):
+            added.write.mode("append").parquet(path)
+            return
+    save_file(old.union(df), path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -104,9 +114,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put a written folder in the place of another."""
+    """Put a written folder in the place of another, which is moved aside first and deleted last."""
     fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside = _fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.old")[1]
+    held = fs.exists(target)
+    if held and not fs.rename(target, aside):
+        raise FlowError(f"cannot move {path} aside")
     if not fs.rename(_fs(spark, new)[1], target):
+        if held:
+            fs.rename(aside, target)
         raise FlowError(f"cannot move {new} to {path}")
+    if held:
+        fs.delete(aside, True)

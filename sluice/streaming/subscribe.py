@@ -8,7 +8,6 @@ since the last run, appended to a target, with a watermark on the time column.
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +55,23 @@ def run_available(stream: DataFrame, checkpoint: str, target: str, mode: str = "
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def run_complete(stream: DataFrame) -> DataFrame:
-    """Run a stream of aggregates to the end of its input; its last complete table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+def run_complete(stream: DataFrame, target: str) -> DataFrame:
+    """Run a stream of aggregates to the end of its input; its last complete table, as Parquet under ``target``.
+
+    Every batch's whole table is written by the executors to a folder of its
+    own, so nothing gathers on the driver and a batch that runs again writes
+    the same folder.
+    """
+    spark = stream.sparkSession
+    last = [-1]
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={no}")
+        last[0] = no
+
+    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{target}/batch={last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
 
 
 def subscribe(df: DataFrame, watermark_column: str | None = None, window_size: str | None = None, checkpoint: str | None = None, target: str | None = None) -> DataFrame:

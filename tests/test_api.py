@@ -54,5 +54,5 @@ def test_dedup_and_sliding(spark, tmp_path):
     assert S.run_available(S.deduplicated(events, "ts", ["k"], "1h"), f"{tmp_path}/c", f"{tmp_path}/o").count() == 2
     from pyspark.sql import functions as F
 
-    got = S.run_complete(S.windowed(events, "ts", "1h", [F.count(F.lit(1)).alias("n")], slide="30m")).collect()
+    got = S.run_complete(S.windowed(events, "ts", "1h", [F.count(F.lit(1)).alias("n")], slide="30m"), f"{tmp_path}/w").collect()
     assert sorted(r.n for r in got) == [1, 1, 2, 2]
