@@ -12,12 +12,13 @@ import json
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.errors import FlowError, FlowNameError
 from sluice.functions import semantics as S
-from sluice.operators import shape
+from sluice.operators import band, shape
 from sluice.operators.asof import asof_join
 from sluice.plans import ast as A
 from sluice.plans import grouping as G
@@ -351,7 +352,42 @@ class Lowering:
                 raise FlowError(f"{r.kind} join needs a condition")
             return Scope(left.df.crossJoin(right.df), both)
         condition = self.expressions(Scope(left.df.crossJoin(right.df), both), outer)(r.on)
-        return Scope(left.df.join(right.df, condition, r.kind), both)
+        banded = self.banded(r.on, condition, left, right, outer) if r.kind == "inner" else None
+        return Scope(left.df.join(right.df, condition, r.kind) if banded is None else banded, both)
+
+    def banded(self, on: A.Expr, condition: Column, left: Scope, right: Scope, outer: Outer) -> DataFrame | None:
+        """The join by bucket, if the condition has no equality between the sides but a value between two bounds."""
+
+        def side(e: A.Expr) -> Scope | None:
+            found = set()
+            for x in A.walk(e):
+                if isinstance(x, (A.Sub, A.Exists)):
+                    return None
+                if isinstance(x, A.Dot) and isinstance(x.base, A.Col) and (left.has_qualifier(x.base.name) or right.has_qualifier(x.base.name)):
+                    found.add(left.has_qualifier(x.base.name))
+                elif isinstance(x, A.Col) and not left.has_qualifier(x.name) and not right.has_qualifier(x.name):
+                    found.add(bool(left.find(x.name)))
+            return None if len(found) != 1 else left if found.pop() else right
+
+        least: list[tuple[A.Expr, A.Expr]] = []  # (lower, upper)
+        for part in split_and(on):
+            if isinstance(part, A.Between) and not part.negated:
+                least += [(part.low, part.expr), (part.expr, part.high)]
+            elif isinstance(part, A.Bin) and part.op in ("<", "<=", ">", ">="):
+                least.append((part.left, part.right) if part.op[0] == "<" else (part.right, part.left))
+            elif isinstance(part, A.Bin) and part.op in ("=", "<=>") and None not in (sides := {side(part.left), side(part.right)}) and len(sides) == 2:
+                return None
+        for low, value in least:
+            points, intervals = side(value), side(low)
+            high = next((b for a, b in least if a == value and side(b) is intervals), None)
+            if points is None or intervals is None or points is intervals or high is None:
+                continue
+            own, other = self.expressions(points, outer), self.expressions(intervals, outer)
+            measures = [band.measured(x, at.type_of(x)) for x, at in ((own(value), own), (other(low), other), (other(high), other))]
+            if all(m is not None for m in measures) and len({type(at.type_of(x)) for x, at in ((own(value), own), (other(low), other), (other(high), other)) if not isinstance(at.type_of(x), T.NumericType)}) <= 1:
+                out = band.band_join(points.df, intervals.df, *measures, condition)
+                return out
+        return None
 
     def asof(self, r: A.Join, left: Scope, right: Scope, outer: Outer) -> Scope:
         """Equal keys and one inequality between the sides, either side written first."""

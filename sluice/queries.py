@@ -210,6 +210,14 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "from lineitem select l_orderkey, l_linenumber, l_discount, l_tax unpivot rate for kind in (l_discount, l_tax)",
         "select l_orderkey, l_linenumber, 'l_discount' as kind, l_discount as rate from lineitem union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem",
     ),
+    "join_band": (
+        "from supplier join { from customer where c_custkey < 100 select c_custkey, c_acctbal - 50 as lo, c_acctbal + 50 as hi } as c on s_acctbal between c.lo and c.hi select s_suppkey, c_custkey",
+        "select s_suppkey, c_custkey from supplier join customer on s_acctbal between c_acctbal - 50 and c_acctbal + 50 where c_custkey < 100",
+    ),
+    "join_band_dates": (
+        "from { from orders where o_orderkey < 300 select o_orderkey, o_orderdate } as o join { from events where event_id < 300 select event_id, ts } as e on o.o_orderdate <= e.ts and o.o_orderdate >= e.ts - '400 days':interval select o_orderkey, event_id",
+        "select o_orderkey, event_id from orders join events on o_orderdate <= ts and o_orderdate >= ts - interval 400 days where o_orderkey < 300 and event_id < 300",
+    ),
     "histogram": (
         "from orders group by o_orderpriority agg histogram(o_orderstatus) as h select o_orderpriority, h['F'] as f, h['O'] as o",
         "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o from orders group by o_orderpriority",
@@ -483,6 +491,66 @@ limit 20""",
         """select c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, c_acctbal, n_name from customer, orders, lineitem, nation
 where c_custkey = o_custkey and l_orderkey = o_orderkey and l_returnflag = 'R' and c_nationkey = n_nationkey
 group by all order by revenue desc, c_custkey limit 20""",
+    ),
+    "flow_q4": (
+        """from orders
+where o_orderdate >= '1994-01-01'::date and o_orderdate < '1996-01-01'::date
+where exists { from lineitem where l_orderkey = o_orderkey and l_shipdate > o_orderdate and l_returnflag = 'R' }
+group by o_orderpriority agg _.count as n order by o_orderpriority""",
+        """select o_orderpriority, count(*) as n from orders where o_orderdate >= date '1994-01-01' and o_orderdate < date '1996-01-01'
+and exists (select * from lineitem where l_orderkey = o_orderkey and l_shipdate > o_orderdate and l_returnflag = 'R') group by o_orderpriority""",
+    ),
+    "flow_q8": (
+        """from {
+  from part, supplier, lineitem, orders, customer, nation as n1, nation as n2, region
+  where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey
+    and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and s_nationkey = n2.n_nationkey and r_regionkey = 1
+  select o_orderdate.extract('year') as o_year, l_extendedprice * (1 - l_discount) as volume, n2.n_nationkey as nation
+}
+group by o_year
+agg ((if nation = 3 then volume else 0.0).sum / volume.sum).round(6) as share
+order by o_year""",
+        """select extract(year from o_orderdate) as o_year, round(sum(case when n2.n_nationkey = 3 then l_extendedprice * (1 - l_discount) else 0.0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as share
+from part, supplier, lineitem, orders, customer, nation n1, nation n2, region
+where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey
+and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and s_nationkey = n2.n_nationkey and r_regionkey = 1 group by 1""",
+    ),
+    "flow_q13": (
+        """from {
+  from customer left join { from orders where o_orderpriority != '1-URGENT' } as o on c_custkey = o.o_custkey
+  group by c_custkey agg count(o.o_orderkey) as c_count
+}
+group by c_count agg _.count as custdist order by custdist desc, c_count desc""",
+        """select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count from customer
+left join orders on c_custkey = o_custkey and o_orderpriority <> '1-URGENT' group by c_custkey) group by c_count""",
+    ),
+    "flow_q15": (
+        """with revenue as {
+  from lineitem where l_shipdate >= '1996-01-01'::date and l_shipdate < '1997-01-01'::date
+  group by l_suppkey agg (l_extendedprice * (1 - l_discount)).sum.round(4) as total
+}
+from supplier join revenue on s_suppkey = revenue.l_suppkey
+where total = { from revenue select total.max as m }
+select s_suppkey, s_name, total""",
+        """with revenue as (select l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) as total from lineitem
+where l_shipdate >= date '1996-01-01' and l_shipdate < date '1997-01-01' group by l_suppkey)
+select s_suppkey, s_name, total from supplier join revenue on s_suppkey = l_suppkey where total = (select max(total) from revenue)""",
+    ),
+    "flow_q17": (
+        """from lineitem, part
+where p_partkey = l_partkey and p_size < 20
+where l_quantity < { from lineitem as other where other.l_partkey = p_partkey select 0.5 * other.l_quantity.avg }
+select (l_extendedprice.sum / 7.0).round(4) as avg_yearly""",
+        """select round(sum(l_extendedprice) / 7.0, 4) as avg_yearly from lineitem, part where p_partkey = l_partkey and p_size < 20
+and l_quantity < (select 0.5 * avg(o.l_quantity) from lineitem o where o.l_partkey = p_partkey)""",
+    ),
+    "flow_q19": (
+        """from lineitem, part
+where p_partkey = l_partkey
+where (p_size between 1 and 5 and l_quantity between 1 and 11) or (p_size between 10 and 15 and l_quantity between 10 and 20) or (p_size between 30 and 40 and l_linenumber in (1, 2))
+select (l_extendedprice * (1 - l_discount)).sum.round(2) as revenue""",
+        """select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem, part where p_partkey = l_partkey
+and ((p_size between 1 and 5 and l_quantity between 1 and 11) or (p_size between 10 and 15 and l_quantity between 10 and 20) or (p_size between 30 and 40 and l_linenumber in (1, 2)))""",
     ),
     "flow_q12": (
         """from orders, lineitem

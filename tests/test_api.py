@@ -56,3 +56,14 @@ def test_dedup_and_sliding(spark, tmp_path):
 
     got = S.run_complete(S.windowed(events, "ts", "1h", [F.count(F.lit(1)).alias("n")], slide="30m"), f"{tmp_path}/w").collect()
     assert sorted(r.n for r in got) == [1, 1, 2, 2]
+
+
+def test_plans_of_band_and_asof_joins(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    from sluice import queries as Q
+
+    for name in ("join_band", "join_band_dates"):
+        plan = engine.query(Q.FLOWS[name][0])._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    plan = engine.query(Q.FLOWS["asof_inner"][0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_b" in plan  # time ranges for timestamps without a zone too
