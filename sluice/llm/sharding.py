@@ -2,8 +2,8 @@
 
 1. Keys: the text's 64-bit hash, then the id's hash, so equal texts are
    neighbours and a text that very many rows share can still be divided.
-2. A size-weighted sample of about ``SAMPLE`` keys: a row is drawn when its own
-   hash, as a fraction, is below size * SAMPLE / total size.
+2. A size-weighted sample of about ``SAMPLED`` keys a range: a row is drawn when its own
+   hash, as a fraction, is below size * sample / total size.
 3. Its quantiles are the splitters of ``ranges`` ranges.  A key that holds
    several quantiles is an overfull range and is subdivided by id hash.
 4. Rows are dealt to their range; running sums inside a range and over the
@@ -32,8 +32,9 @@ from pyspark.sql.window import Window
 from sluice.llm.common import stored
 
 SHARDS = 16
-#: Expected number of sampled keys (16 bytes each go to the driver) and of ranges, per shard.
-SAMPLE, RANGES_PER_SHARD = 16_384, 32
+#: Expected number of sampled keys (16 bytes each go to the driver) of a range, ranges of a shard at least, and rows
+#: of a range on average, up to MOST_RANGES of them.
+SAMPLED, RANGES_PER_SHARD, RANGE_ROWS, MOST_RANGES = 32, 32, 1_000_000, 4096
 #: A group of equal texts of more than this part of a shard is divided.
 GROUP_PART = 64
 
@@ -67,20 +68,21 @@ def _long(x: int) -> str:
     return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, sample: int | None = None) -> DataFrame:
     """A row per document: id, size, text_crc32, law, shard, slot, grown_shard, range.
 
     The law is ``bytes``: shard sizes are near equal.  ``slot`` counts a
     shard's rows from 0 in key order, without gaps.
     """
-    ranges = ranges or shards * RANGES_PER_SHARD
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(
         docs[id_col].alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).cast("long").alias("crc"),
         F.xxhash64(text).alias("key"), F.xxhash64(F.lit(7), docs[id_col]).alias("sub"),
     )
     slim = stored(slim, "keys")
-    total = slim.agg(F.sum("size")).first()[0] or 0
+    total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = ranges or max(shards * RANGES_PER_SHARD, min(MOST_RANGES, rows // RANGE_ROWS))
+    sample = sample or SAMPLED * ranges
     fraction = F.shiftrightunsigned(F.xxhash64(F.lit(11), "key", "sub"), 11).cast("double") / float(1 << 53)
     drawn = slim.where(fraction * F.lit(float(max(total, 1))) < F.col("size") * F.lit(float(sample))).select("key", "sub")
     cuts = _splitters(sorted((r.key, r.sub) for r in drawn.collect()), ranges)

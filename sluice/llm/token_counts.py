@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import lists
+from sluice.llm.common import lists, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 RULE = "most"
@@ -109,7 +109,7 @@ def count_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = ranks or ranks_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):  # by bytes, then by rows
             for at in range(0, batch.num_rows, _STEP):
                 part = batch.slice(at, _STEP)
                 texts = ((t or "").split("\n") for t in part.column("text").to_pylist())
