@@ -10,10 +10,10 @@ as its rarest length allows, so there are few patterns, and their number
 follows the lengths, not the documents.
 
 Pieces get a rank within their length by salted prefix counts, a part for each
-``RANKED`` pieces of a length; pattern use tables turn (length, rank) into a
+``RANKED`` pieces of a length or ``1/PARTS`` of all; pattern use tables turn (length, rank) into a
 sequence and an offset.  No sort or window ever holds all pieces of a frequent
 length.  Both tables are broadcast: the parts are at most one per length and
-per ``RANKED`` pieces, and a length ends at most 1 + capacity / length patterns,
+``PARTS`` more, and a length ends at most 1 + capacity / length patterns,
 which is about 19,000 patterns at a capacity of 2048 whatever the documents.
 
 Tokenising keeps a bounded table from words to their tokens, which is exact
@@ -49,8 +49,8 @@ END = 0
 REMEMBERED = 800_000
 #: ASCII punctuation without the apostrophe, with which the tokenizer begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Pieces of one length that are ranked by one task.
-RANKED = 1_000_000
+#: Pieces of one length that are ranked by one task, at least, and parts of all pieces, about.
+RANKED, PARTS = 500, 10_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -210,8 +210,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     cut = stored(source.mapInArrow(lambda b: _pieces(b, path, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
-    # a part for each RANKED pieces of a length, so there are at most capacity + pieces / RANKED parts
-    parts = {r.length: 1 + r.n // RANKED for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held_by_one = max(RANKED, sum(pieces.values()) // PARTS)  # so there are at most capacity + PARTS parts
+    parts = {length: 1 + n // held_by_one for length, n in pieces.items()}
     split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, k in parts.items() if k > 1 for x in (n, k)]), F.col("length")), F.lit(1)) if max(parts.values(), default=1) > 1 else F.lit(1)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), split).cast("int"))
 
