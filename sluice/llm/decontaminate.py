@@ -45,7 +45,7 @@ SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 
 #: Candidate places that are held at once.
-CANDIDATES = 1 << 21
+CANDIDATES = 1 << 18
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +169,9 @@ def intersect(windows: np.ndarray, rarity: np.ndarray, local: np.ndarray, first:
 def _search(batches: Iterator[pa.RecordBatch], query, slop: int) -> Iterator[pa.RecordBatch]:
     items, vocab, rarity, by = query.value
     for batch in batches:
-        for ids, row in zip(batch.column("doc_ids"), batch.drop_columns(["doc_ids"]).to_pylist(), strict=True):
-            ids, ptr = ids.values, unpack(row["doc_ptr"], np.int64)
+        for no in range(batch.num_rows):  # one segment's lists at a time
+            row = {c: batch.column(c)[no].as_py() for c in ("segment", "doc_ptr", "terms", "counts", "positions")}
+            ids, ptr = batch.column("doc_ids")[no].values, unpack(row["doc_ptr"], np.int64)
             have, counts = unpack(row["terms"], np.uint64), unpack(row["counts"], np.int32)
             positions = np.cumsum(unpack(row["positions"], np.int32), dtype=np.int32)
             first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
