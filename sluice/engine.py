@@ -65,6 +65,7 @@ class Engine:
     _tables: dict[str, DataFrame] = field(default_factory=dict)
     _prepared: dict[str, str] = field(default_factory=dict)
     _modules: set[str] = field(default_factory=set)
+    _attached: dict[str, dict[str, str]] = field(default_factory=dict)
 
     # ------------------------------------------------------------------ sources
 
@@ -72,6 +73,16 @@ class Engine:
         self._tables[name] = df
         return self
 
+    def attach(self, name: str, url: str, **options: Any) -> Engine:
+        """Make another database's tables readable as ``name.table`` or ``name.schema.table``.
+
+        Options go to Spark's JDBC source (user, driver, fetchsize, ...); filters,
+        columns and limits are pushed down to the database.  For a parallel read
+        give partitionColumn, lowerBound, upperBound and numPartitions.
+        """
+        self._attached[name] = {"url": url, **{k: str(v) for k, v in options.items()}}
+        return self
+
     def known_sources(self) -> list[str]:
         return list(self._tables)
 
@@ -79,6 +90,9 @@ class Engine:
         """A registered table, a table of the catalog, or a Parquet file of the folder."""
         if name in self._tables:
             return self._tables[name]
+        database, _, table = name.partition(".")
+        if table and database in self._attached:
+            return self.spark.read.format("jdbc").options(**self._attached[database], dbtable=table).load()
         if self.spark.catalog.tableExists(name):
             return self.spark.table(name)
         if self.folder is not None and name.isidentifier():
@@ -97,7 +111,7 @@ class Engine:
 
     def on_streams(self) -> Engine:
         """An engine with the same names whose files are streams."""
-        return Engine(self.spark, self.folder, self.base_dir, False, self.env.child(), streaming=True)
+        return Engine(self.spark, self.folder, self.base_dir, False, self.env.child(), streaming=True, _attached=self._attached)
 
     def file_text(self, path: str) -> str:
         """A query file's text, read with Spark so that any store works."""
@@ -106,7 +120,7 @@ class Engine:
 
     def included(self, path: str, env: Env) -> DataFrame:
         """The last query of a flow file."""
-        inner = Engine(self.spark, self.folder, os.path.dirname(path) or self.base_dir, False, env.child(), _tables=self._tables)
+        inner = Engine(self.spark, self.folder, os.path.dirname(path) or self.base_dir, False, env.child(), _tables=self._tables, _attached=self._attached)
         return inner.query(self.file_text(path))
 
     # ---------------------------------------------------------------------- run
@@ -236,7 +250,10 @@ class Engine:
         if isinstance(source, A.File):
             sinks.save_file(rest, files.located(source.path, self.base_dir))
         else:
-            sinks.save_table(rest, source.name)
+            if self.spark.catalog.tableExists(source.name):
+                sinks.replace_table(self.spark, source.name, rest)
+            else:
+                sinks.save_table(rest, source.name)
             self._forget(source.name)
         return Result(s, text="deleted")
 

@@ -7,6 +7,8 @@ written beside the old and then takes its place.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from sluice.errors import FlowError
 from sluice.sources import files
 
 _WRITER_OPTIONS = {"compression", "sep", "header", "partition_by", "single_file"}
+#: The table property that names the key columns of UPSERT, comma-joined.
+KEY_PROPERTY = "primary_key"
 
 
 def save_table(df: DataFrame, name: str, options: dict[str, Any] | None = None) -> None:
@@ -25,15 +29,70 @@ def save_table(df: DataFrame, name: str, options: dict[str, Any] | None = None)
     writer = df.write.mode("errorifexists")
     if by := (options or {}).get("partition_by"):
         writer = writer.partitionBy(*by.split(","))
-    writer.saveAsTable(beside)
+    with _partitions_that_move(spark):
+        writer.saveAsTable(beside)
     # the old table is moved aside first and dropped last, so a crash in between loses neither
     aside = f"{name}_{uuid.uuid4().hex[:8]}"
     if spark.catalog.tableExists(name):
-        spark.sql(f"alter table {name} rename to {aside}")
+        if _in_memory(spark) and any(c.isPartition for c in spark.catalog.listColumns(name)):
+            # that catalog would later drop the partitions at their old places, where the new ones are then
+            spark.sql(f"drop table {name}")
+        else:
+            spark.sql(f"alter table {name} rename to {aside}")
     spark.sql(f"alter table {beside} rename to {name}")
     spark.sql(f"drop table if exists {aside}")
 
 
+def _in_memory(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.catalogImplementation") == "in-memory"
+
+
+@contextmanager
+def _partitions_that_move(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside find their partitions by listing, where the catalog is in memory.
+
+    That catalog keeps the old places of a renamed table's partitions, which
+    would then be empty; a metastore moves them along.
+    """
+    option = "spark.sql.hive.manageFilesourcePartitions"
+    if not _in_memory(spark):
+        yield
+        return
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
+def properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r.key: r.value for r in spark.sql(f"show tblproperties {table}").collect() if not r.key.startswith(("transient", "spark.sql."))}
+
+
+def replace_table(spark: SparkSession, table: str, df: DataFrame, renamed: dict[str, str] | None = None) -> None:
+    """Put ``df`` in the table's place; its partition columns and properties stay."""
+    renamed = renamed or {}
+    parts = [renamed.get(c.name, c.name) for c in spark.catalog.listColumns(table) if c.isPartition]
+    parts = [c for c in parts if c in df.columns]
+    kept = properties(spark, table)
+    if KEY_PROPERTY in kept:
+        kept[KEY_PROPERTY] = ",".join(renamed.get(c, c) for c in kept[KEY_PROPERTY].split(","))
+    save_table(df, table, {"partition_by": ",".join(parts)} if parts else None)
+    set_properties(spark, table, kept)
+
+
+def set_properties(spark: SparkSession, table: str, values: dict[str, str]) -> None:
+    if values:
+        pairs = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in values.items())
+        spark.sql(f"alter table {table} set tblproperties ({pairs})")
+
+
+def _quoted(text: str) -> str:
+    escaped = str(text).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def append_table(df: DataFrame, name: str, columns: tuple[str, ...] = ()) -> None:
     """Insert by position, or into the named columns; a missing table is created."""
     spark = df.sparkSession
