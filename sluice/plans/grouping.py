@@ -112,6 +112,12 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
             aliases[item.name] = item.expr
     lower = plan.expressions(plain, outer)
     keys = [column for _, _, column in group.keys]
+    if outer and take.hidden and not keys and not filters and not any(isinstance(x, (A.Over, A.Sub, A.Exists, A.Lambda)) for _, e in wanted for x in A.walk(e)):
+        # One aggregation and nothing above it: only so does Catalyst turn an equality with the relation around into
+        # a grouping.  Otherwise it joins with all values of that relation, without its filters (a product of tables).
+        bound = {name: lower(e) for e, name in take.hidden.items()}
+        value = plan.expressions(Scope(plain.df, ()), outer, bound)
+        return replace(plain.project([(item.name or show_expr(item.expr), value(e), frozenset()) for item, e in wanted]), exact=True)
     aggregates = [lower(e).alias(name) for e, name in take.hidden.items()]
     key_columns = [c.column for c in keys]
     df = plain.df

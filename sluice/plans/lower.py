@@ -46,8 +46,8 @@ class Lowering:
         self.env = env
         self.current = current
 
-    def expressions(self, scope: Scope, outer: Outer = ()) -> Expressions:
-        return Expressions(self, scope, outer)
+    def expressions(self, scope: Scope, outer: Outer = (), bound: dict[str, Column] | None = None) -> Expressions:
+        return Expressions(self, scope, outer, bound)
 
     def row_types(self, scope: Scope) -> list[str]:
         names = {q for c in scope.columns for q in c.qualifiers}

@@ -43,11 +43,12 @@ class Named:
 
 @dataclass(frozen=True)
 class Scope:
-    """A DataFrame and its named columns; ``group`` holds a pending group by."""
+    """A DataFrame and its named columns; ``group`` holds a pending group by, ``exact`` says that there are no others."""
 
     df: DataFrame
     columns: tuple[Named, ...]
     group: Group | None = None
+    exact: bool = False
 
     @staticmethod
     def of(df: DataFrame, qualifier: str | None = None) -> Scope:

@@ -211,6 +211,21 @@ def test_explain_and_pushdown(engine, spark):
     assert "CartesianProduct" not in engine.run("explain from customer, orders where c_custkey = o_custkey count")[0].text
 
 
+def test_correlated_aggregates_make_no_product(engine):
+    tables = """with part as { from [[1, 5], [2, 30], [3, 7], [null, 1]] as p(pk, size) }
+with line as { from [[1, 10, 1], [1, 2, 2], [1, 3, 3], [2, 9, 4], [null, 1, 5]] as l(lk, q, no) }
+"""
+    few = engine.query(tables + "from line, part where pk = lk and size < 20 where q < { from line as o where o.lk = pk select 0.5 * o.q.avg + 1 } select no order by no")
+    assert rows(few) == [[2], [3]]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "<=>" not in plan
+    # no row of the other side: a count is 0, other aggregates are null; what is made of both, too
+    each = engine.query(tables + "from part select pk, n = { from line as o where o.lk = pk select _.count }, m = { from line as o where o.lk = pk select o.q.sum + _.count }, c = { from line as o where o.lk = pk select _.count + 1 } order by pk")
+    assert rows(each) == [[1, 3, 18, 4], [2, 1, 10, 2], [3, 0, None, 1], [None, 0, None, 1]]
+    named = engine.query(tables + "from part where size > { from line as o where o.lk = pk select top = o.q.max select top + 0 } select pk order by pk")
+    assert rows(named) == [[2]]
+
+
 def test_catalog_and_commands(engine, spark):
     spark.sql("drop table if exists listed")
     engine.sql("create table listed as select 1 as id, 'a' as s")
