@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from sluice.llm import decontaminate, infilling, jaccard_join, license_scan, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), ["doc_id"], wanted)
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.transform(_table(spark, sf_dir, "documents"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_infilling": op11_infilling,
 }
 #: Shingle sets by list functions, overlaps by a join on shingles, components by recursion.
 JACCARD_SQL = r"""
@@ -91,4 +99,24 @@ r(node, root) as (select doc_id, doc_id from n union select linked.v, r.root fro
 select n.doc_id, n.n::bigint as n_shingles, min(r.root) as component_id from n join r on r.node = n.doc_id group by n.doc_id, n.n
 """
 
-ORACLES: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL}
+#: Cuts by ranks of code points, from the digest of the id.
+INFILLING_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+u as (
+  select doc_id, t, n, ('0x' || h[1:8])::bigint % (n + 1) as x, ('0x' || h[9:16])::bigint % (n + 1) as y,
+    ('0x' || h[17:24])::bigint % 100 as p, ('0x' || h[25:32])::bigint % 100 as q from d
+),
+c as (
+  select doc_id, t, n, least(x, y) as a, greatest(x, y) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or p >= 90 then 'plain' when q < 20 then 'spm' else 'psm' end as form from u
+),
+o as (
+  select *, case form when 'plain' then t
+    when 'psm' then '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    else '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) end as output from c
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(output) as output_sha256, sha256(t) as restored_sha256 from o
+"""
+
+ORACLES: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL, "op11_infilling": INFILLING_SQL}
