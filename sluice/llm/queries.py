@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, infilling, jaccard_join, license_scan, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from sluice.llm import collocations, decontaminate, infilling, jaccard_join, license_scan, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_infilling": op11_infilling,
+    "op13_collocations": op13_collocations,
 }
 #: Shingle sets by list functions, overlaps by a join on shingles, components by recursion.
 JACCARD_SQL = r"""
@@ -118,5 +123,39 @@ o as (
 select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
   sha256(output) as output_sha256, sha256(t) as restored_sha256 from o
 """
+#: All n-grams of the pieces by lead, cuts by joins, extensions by an anti-join.
+COLLOCATIONS_SQL = r"""
+with pieces as materialized (
+  select lang, row_number() over () as id, piece from (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents)
+),
+split as (select lang, id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+w as (select lang, id, unnest(ws) as w1, generate_subscripts(ws, 1) as i from split),
+l as (select lang, w1, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4, lead(w1, 4) over p as w5 from w window p as (partition by id order by i)),
+f as materialized (
+  select lang, 1 as words, w1 as phrase, count(*) as f from l group by all
+  union all select lang, 2, w1 || ' ' || w2, count(*) from l where w2 is not null group by all having count(*) >= 100
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from l where w3 is not null group by all having count(*) >= 100
+  union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from l where w4 is not null group by all having count(*) >= 100
+  union all select lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, count(*) from l where w5 is not null group by all having count(*) >= 100
+),
+totals as (select lang, sum(f)::hugeint as n from f where words = 1 group by lang),
+c as (select lang, words, phrase, f as a, string_split(phrase, ' ') as ws from f where words > 1),
+cuts as (select c.*, k from c join (select unnest([1, 2, 3, 4]) as k) on k < words),
+h as (select lang, words, phrase, a, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:], ' ') as tail from cuts),
+s as (
+  select h.lang, h.words, h.phrase, a, k, x.f as l, y.f as r, n, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+  from h join f x on x.lang = h.lang and x.phrase = h.head join f y on y.lang = h.lang and y.phrase = h.tail join totals on totals.lang = h.lang
+),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as cut from s) where cut = 1),
+e as (
+  select lang, array_to_string(ws[2:], ' ') as held, a as longer from c where words > 2
+  union all select lang, array_to_string(ws[1:words - 1], ' '), a from c where words > 2
+),
+kept as (select * from b where not exists (select 1 from e where e.lang = b.lang and e.held = b.phrase and e.longer = b.a))
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
+"""
 
-ORACLES: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL, "op11_infilling": INFILLING_SQL}
+ORACLES: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL, "op11_infilling": INFILLING_SQL, "op13_collocations": COLLOCATIONS_SQL}
