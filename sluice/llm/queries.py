@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import collocations, decontaminate, infilling, jaccard_join, license_scan, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from sluice.llm import collocations, decontaminate, infilling, jaccard_join, license_scan, nearest, packing, pii, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = nearest.search(nearest.build_index(vectors), vectors.where("vec_id % 20 = 0"))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_infilling": op11_infilling,
+    "op12_nearest": op12_nearest,
     "op13_collocations": op13_collocations,
 }
 #: Shingle sets by list functions, overlaps by a join on shingles, components by recursion.
