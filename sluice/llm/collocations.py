@@ -47,7 +47,7 @@ ENDS = byte_class((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F,
 BLANKS = byte_class((0x20, 0x20), (0x09, 0x09))
 MAX_N, LEAST, TOP = 5, 100, 2000
 #: Text bytes of a batch, slices of a language for ranking, and bits of the filter at most.
-BATCH_BYTES, SLICES, MOST_BITS = 2 << 20, 64, 1 << 28
+BATCH_BYTES, SLICES, MOST_BITS = 1 << 20, 64, 1 << 28
 #: Languages whose totals are broadcast.
 FEW_LANGS = 10_000
 NO_LANG = "und"
@@ -60,7 +60,7 @@ class _Words:
         raw, offsets = text_buffer(batch.column("text"))
         self.bytes = FOLD[raw]
         self.starts, self.ends, ptr = word_bounds(self.bytes, offsets, ~(ENDS | BLANKS))
-        self.hash = word_hashes(self.bytes, self.starts, self.ends, fold=False)
+        self.hash = word_hashes(self.bytes, self.starts, self.ends, fold=False, step=1 << 18)
         row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
         self.piece = np.cumsum(ENDS[self.bytes], dtype=np.int64)[self.starts] + row
         langs = pc.dictionary_encode(pc.fill_null(batch.column("lang"), NO_LANG))
