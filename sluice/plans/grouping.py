@@ -142,7 +142,8 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
     after = Scope(out, columns)
     for f in filters:
         after = replace(after, df=after.df.where(plan.expressions(after, outer)(f)))
-    lower = plan.expressions(after, outer)
+    after, windows = plan.spread_windows(after, [e for _, e in wanted], outer)
+    lower = plan.expressions(after, outer, windows=windows)
     shown = [(name, column.column, column.qualifiers) for name, _, column in group.keys] if keys_first else []
     for item, e in wanted:
         name = item.name or next((n for i, (n, _, c) in enumerate(group.keys) if isinstance(item.expr, A.Col) and item.expr.name in (n, f"_{i + 1}")), None) or show_expr(item.expr)

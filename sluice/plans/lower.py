@@ -2,8 +2,9 @@
 
 Every operator applies to its child's output.  Only plan building happens
 here; nothing runs until the caller acts on the DataFrame, except where an
-operator's columns depend on data (pivot without values) or its size is a share
-of a count (reservoir sample).
+operator's columns depend on data (pivot without values), its size is a share
+of a count (reservoir sample) or ranges are cut by a bounded sample (windows
+over one order).
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import types as T
 
 from sluice.errors import FlowError, FlowNameError
 from sluice.functions import semantics as S
-from sluice.operators import band, shape
+from sluice.operators import band, global_window, shape
 from sluice.operators.asof import asof_join
 from sluice.plans import ast as A
 from sluice.plans import grouping as G
 from sluice.plans.env import Env, bind
 from sluice.plans.lower_expr import Expressions, as_kind, constant, literal_kind, split_and, substitute
-from sluice.plans.scope import Group, Scope
+from sluice.plans.scope import Group, Scope, fresh_name
 from sluice.plans.show import show_expr
 from sluice.sources import catalog, files
 
@@ -46,8 +47,8 @@ class Lowering:
         self.env = env
         self.current = current
 
-    def expressions(self, scope: Scope, outer: Outer = (), bound: dict[str, Column] | None = None) -> Expressions:
-        return Expressions(self, scope, outer, bound)
+    def expressions(self, scope: Scope, outer: Outer = (), bound: dict[str, Column] | None = None, windows: dict[A.Expr, str] | None = None) -> Expressions:
+        return Expressions(self, scope, outer, bound, windows)
 
     def row_types(self, scope: Scope) -> list[str]:
         names = {q for c in scope.columns for q in c.qualifiers}
@@ -199,21 +200,58 @@ class Lowering:
         if scope.group:
             return replace(scope, group=replace(scope.group, filters=(*scope.group.filters, G.expanded(self, r.condition))))
         scope = isolated(scope, r.condition)
-        return replace(scope, df=scope.df.where(self.expressions(scope, outer)(r.condition)))
+        spread, windows = self.spread_windows(scope, [r.condition], outer)
+        df = spread.df.where(self.expressions(spread, outer, windows=windows)(r.condition))
+        return replace(scope, df=df.select(*scope.df.columns) if windows else df)
+
+    def spread_windows(self, scope: Scope, exprs: list[A.Expr], outer: Outer) -> tuple[Scope, dict[A.Expr, str]]:
+        """The scope with hidden columns for windows that have no partition, and their names."""
+        found = dict.fromkeys(x for e in exprs for x in A.walk(e) if isinstance(x, A.Over) and not x.partition)
+        found = [x for x in found if not any(isinstance(y, (A.Sub, A.Exists)) or (isinstance(y, A.Over) and y is not x) for y in A.walk(x))]
+        if not found or outer or scope.df.isStreaming or global_window.small(scope.df):
+            return scope, {}
+        lower = self.expressions(scope, outer)
+        names: dict[A.Expr, str] = {}
+        orders: dict[tuple[A.Sort, ...], dict[str, object]] = {}
+        totals: dict[str, Column] = {}
+        for x in found:
+            name = fresh_name("win")
+            if not x.order or (x.frame is not None and x.frame.start is None and x.frame.end is None):
+                if (value := lower.plain_aggregate(x.expr)) is not None:
+                    totals[name], names[x] = value, name
+            elif (f := lower.over_ranges(x)) is not None:
+                orders.setdefault(x.order, {})[name] = f
+                names[x] = name
+        df = scope.df
+        for order, functions in orders.items():
+            keys = [global_window.Key(lower(s.expr), s.desc, s.nulls_first) for s in order]
+            if global_window.supported(df, keys):
+                df = global_window.spread(df, keys, functions)
+            else:
+                names = {x: n for x, n in names.items() if n not in functions}
+        if totals:
+            df = global_window.whole(df, totals)
+        return replace(scope, df=df), names
 
-    def items(self, scope: Scope, items: tuple[A.Item, ...], outer: Outer) -> list[tuple[str, object, frozenset[str]]]:
+    def items(self, scope: Scope, items: tuple[A.Item, ...], outer: Outer) -> tuple[Scope, list[tuple[str, object, frozenset[str]]]]:
+        """The scope to project from, and (shown name, column, qualifiers) of each output column."""
         out: list[tuple[str, object, frozenset[str]]] = []
         aliases: dict[str, A.Expr] = {}
-        lower = self.expressions(scope, outer)
+        written: list[A.Expr] = []
         for item in items:
-            e = item.expr
+            e = item.expr if isinstance(item.expr, A.Star) else substitute(item.expr, aliases, scope)
+            written.append(e)
+            if item.name:
+                aliases[item.name] = e
+        scope, windows = self.spread_windows(scope, written, outer)
+        lower = self.expressions(scope, outer, windows=windows)
+        for item, e in zip(items, written, strict=True):
             if isinstance(e, A.Star):
                 own = [c for c in scope.columns if e.qualifier is None or e.qualifier in c.qualifiers]
                 if e.qualifier and not own:
                     raise FlowNameError(f"no relation {e.qualifier}")
                 out += [(c.name, c.column, c.qualifiers) for c in own]
                 continue
-            e = substitute(e, aliases, scope)
             qualifiers: frozenset[str] = frozenset()
             name = item.name
             if isinstance(e, A.Col) and (c := scope.find(e.name)):
@@ -223,9 +261,7 @@ class Lowering:
                 if (q is None or scope.has_qualifier(q)) and (c := scope.find(e.name, q)):
                     qualifiers, name = c.qualifiers, c.name
             out.append((name or show_expr(item.expr), lower(e), qualifiers))
-            if item.name:
-                aliases[item.name] = e
-        return out
+        return scope, out
 
     def _project(self, r: A.Project, outer: Outer) -> Scope:
         scope = self.pending(r.child, outer)
@@ -234,7 +270,8 @@ class Lowering:
             out = G.grouped(self, scope, list(r.items), False, outer)
             return replace(out, df=out.df.distinct()) if r.distinct else out
         scope = isolated(scope, r.items)
-        return scope.project(self.items(scope, r.items, outer), r.distinct)
+        scope, items = self.items(scope, r.items, outer)
+        return scope.project(items, r.distinct)
 
     def _agg(self, r: A.Agg, outer: Outer) -> Scope:
         return G.grouped(self, self.pending(r.child, outer), list(G.expanded(self, r.items)), True, outer)
@@ -256,12 +293,13 @@ class Lowering:
     def _add(self, r: A.Add, outer: Outer) -> Scope:
         scope = isolated(self.relation(r.child, outer), r.items)
         own = [(c.name, c.column, c.qualifiers) for c in scope.columns]
-        new = self.items(scope, r.items, outer)
+        scope, new = self.items(scope, r.items, outer)
         return scope.project([*new, *own] if r.front else [*own, *new])
 
     def _transform(self, r: A.Transform, outer: Outer) -> Scope:
         scope = self.relation(r.child, outer)
-        new = {name.lower(): (name, c, q) for name, c, q in self.items(scope, r.items, outer)}
+        scope, items = self.items(scope, r.items, outer)
+        new = {name.lower(): (name, c, q) for name, c, q in items}
         out = [new.pop(c.name.lower(), (c.name, c.column, c.qualifiers)) for c in scope.columns]
         return scope.project([*out, *new.values()])
 

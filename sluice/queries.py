@@ -295,6 +295,31 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "from nation add percent_rank() over (order by n_regionkey) as p, cume_dist() over (order by n_regionkey) as c, nth_value(n_name, 2) over (partition by n_regionkey order by n_nationkey rows [,]) as second select n_nationkey, p, c, second",
         "select n_nationkey, percent_rank() over (order by n_regionkey) as p, cume_dist() over (order by n_regionkey) as c, nth_value(n_name, 2) over (partition by n_regionkey order by n_nationkey rows between unbounded preceding and unbounded following) as second from nation",
     ),
+    "win_global_rank": (
+        """from lineitem add part = if l_linenumber = 7 then null else l_partkey
+add rank() over (order by part desc) as r, dense_rank() over (order by part desc) as d, row_number() over (order by part desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as i,
+  percent_rank() over (order by part desc) as p, cume_dist() over (order by part desc) as c, ntile(7) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as q
+select l_orderkey, l_linenumber, r, d, i, p, c, q""",
+        """select l_orderkey, l_linenumber, rank() over (order by part desc nulls last)::int as r, dense_rank() over (order by part desc nulls last)::int as d,
+row_number() over (order by part desc nulls last, l_orderkey, l_linenumber, l_partkey, l_suppkey)::int as i, percent_rank() over (order by part desc nulls last) as p, cume_dist() over (order by part desc nulls last) as c,
+ntile(7) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey)::int as q from (select *, if(l_linenumber = 7, null, l_partkey) as part from lineitem)""",
+    ),
+    "win_global_running": (
+        """from lineitem add n = if l_linenumber = 3 then null else l_partkey
+select l_orderkey, l_linenumber, sum(n) over (order by l_shipdate) as s, count(n) over (order by l_shipdate) as k, avg(n) over (order by l_shipdate desc) as a,
+  min(l_extendedprice) over (order by l_shipdate) as least, max(l_extendedprice) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows [,0]) as most, l_partkey.sum() over () as total""",
+        """select l_orderkey, l_linenumber, sum(n) over (order by l_shipdate)::bigint as s, count(n) over (order by l_shipdate) as k, avg(n) over (order by l_shipdate desc) as a,
+min(l_extendedprice) over (order by l_shipdate) as least, max(l_extendedprice) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as most, (sum(l_partkey) over ())::bigint as total
+from (select *, if(l_linenumber = 3, null, l_partkey) as n from lineitem)""",
+    ),
+    "win_global_lag": (
+        """from lineitem add n = if l_linenumber = 2 then null else l_partkey
+select l_orderkey, l_linenumber, lag(n) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as before, lead(n, 3, -l_orderkey) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as after,
+  lag(l_partkey, 40) over (order by l_orderkey desc, l_linenumber, l_partkey, l_suppkey) as far, sum(n) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows [-2, 1]) as near""",
+        """select l_orderkey, l_linenumber, lag(n) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as before, lead(n, 3, -l_orderkey) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as after,
+lag(l_partkey, 40) over (order by l_orderkey desc, l_linenumber, l_partkey, l_suppkey) as far, (sum(n) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows between 2 preceding and 1 following))::bigint as near
+from (select *, if(l_linenumber = 2, null, l_partkey) as n from lineitem)""",
+    ),
     # ---------------------------------------------------------- sort, limit, sets
     "order_nulls_last": (
         "from [[1, 5], [2, null], [3, 7]] as t(i, v) order by v desc, i limit 2",
