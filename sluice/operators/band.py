@@ -1,21 +1,36 @@
-"""Band join: a value of one side between two bounds of the other, by bucket.
+"""Joins on inequalities in opposite directions, by buckets of several widths.
 
-A join on inequalities alone would compare every pair of rows.  Here values are
-put into buckets as wide as the bounds lie apart on average, an interval goes
-into every bucket it touches (two on average, whatever the data), and rows meet
-by bucket; the whole condition is then tested.  A value has one bucket, so no
-pair comes twice.
+Two inequalities ``a1 <= b1`` and ``b2 <= a2`` between the sides say that the
+intervals [a1, a2] and [b2, b1] overlap; a value between two bounds is the case
+of an interval without length.  A join on inequalities alone would compare every
+pair of rows, so rows meet by bucket instead:
+
+* an interval belongs to the scale of its own length (a power of two) and
+  touches at most two buckets there, however long it is;
+* a pair meets at the longer one's scale, where the shorter one touches at most
+  two buckets as well.  So the left rows at their own scale meet right rows of
+  the same or smaller ones, and the right rows at theirs meet smaller left rows;
+* a pair counts in the first bucket that both touch, so none comes twice, and
+  the whole condition is then tested.
+
+Scales are few (at most ``SCALES``), so a row is copied a few times, whatever
+the lengths of others.  Outer joins add the rows whose content stands in no pair.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Lengths below the greatest value by 2 to this power share a scale.
+SCALES = 40
+
 
 def measured(x: Column, kind: T.DataType | None) -> Column | None:
-    """A number that grows with the value, or None for types without one."""
+    """A number that never falls as the value grows, or None for types without one."""
     if isinstance(kind, T.NumericType):
         return x.cast("double")
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):  # whole days: no time zone moves them
@@ -25,11 +40,60 @@ def measured(x: Column, kind: T.DataType | None) -> Column | None:
     return None
 
 
-def band_join(points: DataFrame, intervals: DataFrame, value: Column, low: Column, high: Column, condition: Column) -> DataFrame:
-    """Inner join of all columns; ``value``, ``low`` and ``high`` are measures as of :func:`measured`."""
-    known = intervals.withColumn("_low", low).withColumn("_high", high).where("_low <= _high and not isnan(_low) and not isnan(_high)")
-    width = known.agg(F.avg(F.col("_high") - F.col("_low"))).first()[0]
-    width = max(float(width or 0.0), 1e-9)
-    spread = known.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width)))).drop("_low", "_high")
-    placed = points.withColumn("_point", F.floor(value / width))
-    return placed.join(spread, (F.col("_point") == F.col("_band")) & condition).drop("_point", "_band")
+def comparable(df: DataFrame) -> bool:
+    """Whether whole rows can be looked up by their content."""
+    return not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, own: tuple[Column, Column], other: tuple[Column, Column], condition: Column, kind: str = "inner") -> DataFrame:
+    """All columns of both sides where ``condition`` holds, which implies that the intervals ``own`` and ``other`` overlap.
+
+    The bounds are measures as of :func:`measured`; bounds the wrong way round
+    are turned, which only adds pairs to test.
+    """
+    peak = max([0.0, *(p for side, bounds in ((left, own), (right, other)) for p in side.agg(*[F.max(F.when(F.abs(c) < float("inf"), F.abs(c))) for c in bounds]).first() if p is not None)])
+    edge = F.lit(2 * peak + 1)
+
+    def bounded(c: Column) -> Column:  # NaN is the greatest value
+        return F.when(F.isnan(c), edge).otherwise(F.least(F.greatest(c, -edge), edge))
+
+    def scaled(df: DataFrame, bounds: tuple[Column, Column], side: str) -> DataFrame:
+        low, high = bounded(bounds[0]), bounded(bounds[1])
+        whole = bounds[0].isNotNull() & bounds[1].isNotNull()
+        out = df.where(whole).withColumn(f"_{side}lo", F.least(low, high)).withColumn(f"_{side}hi", F.greatest(low, high))
+        length = F.greatest(F.col(f"_{side}hi") - F.col(f"_{side}lo"), edge * 2.0**-SCALES)
+        return out.withColumn(f"_{side}own", F.ceil(F.log2(length)).cast("int"))
+
+    a, b = scaled(left, own, "a"), scaled(right, other, "b")
+    scales = [sorted(r[0] for r in x.select(f"_{side}own").distinct().collect()) for x, side in ((a, "a"), (b, "b"))]  # SCALES + 2 each at most
+
+    def placed(df: DataFrame, side: str, at: Column) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col(f"_{side}s"))
+        out = df.withColumn(f"_{side}s", F.explode(at))
+        out = out.withColumn(f"_{side}first", F.floor(F.col(f"_{side}lo") / width))
+        return out.withColumn(f"_{side}at", F.explode(F.sequence(F.col(f"_{side}first"), F.floor(F.col(f"_{side}hi") / width))))
+
+    def of(known: list[int]) -> Column:
+        return F.array(*[F.lit(s) for s in known]).cast("array<int>")
+
+    meeting = (F.col("_as") == F.col("_bs")) & (F.col("_aat") == F.col("_bat")) & (F.col("_aat") == F.greatest("_afirst", "_bfirst")) & condition
+    long_left = placed(a, "a", F.array("_aown")).join(placed(b, "b", F.filter(of(scales[0]), lambda s: s >= F.col("_bown"))), meeting)
+    long_right = placed(a, "a", F.filter(of(scales[1]), lambda s: s > F.col("_aown"))).join(placed(b, "b", F.array("_bown")), meeting)
+    columns = [*left.columns, *right.columns]
+    pairs = long_left.select(*map(_column, columns)).unionByName(long_right.select(*map(_column, columns)))
+    alone = [_alone(side, pairs, columns) for side, kinds in ((left, ("left", "full")), (right, ("right", "full"))) if kind in kinds]
+    return reduce(DataFrame.unionByName, [pairs, *alone])
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _alone(side: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a side that stand in no pair, with nulls for the other side; equal rows are in pairs together or not at all."""
+    names = {c: f"_in_{i}" for i, c in enumerate(side.columns)}
+    met = pairs.select(*[_column(c).alias(n) for c, n in names.items()]).distinct()
+    on = reduce(Column.__and__, [_column(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    kind = {f.name: f.dataType for f in pairs.schema}
+    left = side.join(met, on, "left_anti")
+    return left.select(*[_column(c) if c in names else F.lit(None).cast(kind[c]).alias(c) for c in columns])

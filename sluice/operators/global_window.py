@@ -254,3 +254,52 @@ def _with_edges(rows: DataFrame, per_range: DataFrame, order: list[Key], before:
         return reach.select("_to", F.explode("near.row").alias("row")).select(*[moved.get(c, F.col(f"row.`{c}`")).alias(c) for c in rows.columns])
 
     return reduce(DataFrame.unionByName, [rows, edge(before, True), edge(behind, False)])
+
+
+def running_by(rows: DataFrame, by: list[str], order: list[Key], parts: list[Column], merges: list[Callable[[Column, Column], Column]], names: list[str], ranges: int | None = None) -> DataFrame:
+    """``rows`` with aggregates ``names`` from a key's first row to this one and its peers.
+
+    Ranges are cut over (key, order), so that a key of very many rows is many
+    ranges and small keys share one; a key that spans ranges carries its
+    aggregates over them in a table of one row per key and range.
+    """
+    ranges = ranges or max(8, min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    keys = [*(Key(F.col(k), False, True) for k in by), *order]
+    dealt = rows.withColumn("_range", range_of(keys, splitters(rows, keys, ranges)) if supported(rows, keys) else F.lit(0))
+    held = [f"_sum_{n}" for n in names]
+    sums = dealt.groupBy(*by, "_range").agg(*[p.alias(h) for p, h in zip(parts, held, strict=True)], F.max(F.lit(0)).alias("_all"))
+    earlier = Window.partitionBy(*by, "_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    over = {added: F.sum, F.least: F.min, F.greatest: F.max}
+    kind = {f.name: f.dataType for f in sums.schema}
+    renamed = [F.col(k).alias(f"_of_{k}") for k in by]
+    carried = sums.select(*renamed, F.col("_range").alias("_of_range"), *[over[m](h).over(earlier).cast(kind[h]).alias(f"_carry_{n}") for m, h, n in zip(merges, held, names, strict=True)])
+    upto = Window.partitionBy(*by, "_range").orderBy(*[k.sorted() for k in order]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.select("*", *[p.over(upto).alias(f"_local_{n}") for p, n in zip(parts, names, strict=True)])
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by], F.col("_range") == F.col("_of_range"))
+    both = [m(F.col(f"_carry_{n}"), F.col(f"_local_{n}")).cast(kind[h]).alias(n) for m, h, n in zip(merges, held, names, strict=True)]
+    return seen.join(carried, on).select(*[f"`{c}`" for c in rows.columns], *both)
+
+
+def aggregates_before(
+    outer: DataFrame, inner: DataFrame, pairs: list[tuple[Column, Column]], value: Column, op: str, bound: Column, functions: dict[str, Callable[[list[Column]], Running | None]], args: dict[str, list[Column]]
+) -> DataFrame:
+    """``outer`` with aggregates of the ``inner`` rows of equal keys for which ``value op bound`` holds.
+
+    ``pairs`` are equal keys (inner, outer); ``bound`` is the outer row's.  Both
+    sides are one relation in the order of value and bound, in which aggregates
+    run from the first inner row, so no pair of rows is made.
+    """
+    by = [f"_by{i}" for i in range(len(pairs))]
+    first = 0 if op in ("<=", ">=") else 1  # an inner row of an equal value comes before exactly if it counts
+    given = {n: [f"_arg_{n}_{i}" for i in range(len(a))] for n, a in args.items()}
+    i = inner.select(*[p.alias(n) for (p, _), n in zip(pairs, by, strict=True)], value.alias("_at"), F.lit(first).alias("_side"), F.lit(1).alias("_in"), *[c.alias(g) for n, a in args.items() for c, g in zip(a, given[n], strict=True)])
+    i = i.where(reduce(Column.__and__, [F.col(n).isNotNull() for n in by], F.col("_at").isNotNull()))
+    o = outer.select(*[p.alias(n) for (_, p), n in zip(pairs, by, strict=True)], bound.alias("_at"), F.lit(1 - first).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in outer.columns]).alias("_row"))
+    both = i.unionByName(o, allowMissingColumns=True)
+    desc = op in (">", ">=")
+    order = [Key(F.col("_at"), desc, True), Key(F.col("_side"), False, False)]
+    made = {n: functions[n]([F.col(g) for g in given[n]] or [F.col("_in")]) for n in args}
+    parts = [(p, m, f"_{n}_{k}") for n, f in made.items() for k, (p, m) in enumerate(zip(f.parts, f.merge, strict=True))]
+    ran = running_by(both, by, order, [p for p, _, _ in parts], [m for _, m, _ in parts], [n for _, _, n in parts]).where(F.col("_row").isNotNull())
+    values = [f.value(*[F.col(f"_{n}_{k}") for k in range(len(f.parts))]).alias(n) for n, f in made.items()]
+    return ran.select(*[F.col(f"_row.`{c}`").alias(c) for c in outer.columns], *values)

@@ -200,7 +200,7 @@ class Lowering:
         if scope.group:
             return replace(scope, group=replace(scope.group, filters=(*scope.group.filters, G.expanded(self, r.condition))))
         scope = isolated(scope, r.condition)
-        spread, windows = self.spread_windows(scope, [r.condition], outer)
+        spread, windows = self.hidden_columns(scope, [r.condition], outer)
         df = spread.df.where(self.expressions(spread, outer, windows=windows)(r.condition))
         return replace(scope, df=df.select(*scope.df.columns) if windows else df)
 
@@ -233,6 +233,45 @@ class Lowering:
             df = global_window.whole(df, totals)
         return replace(scope, df=df), names
 
+    def running_subqueries(self, scope: Scope, exprs: list[A.Expr], outer: Outer) -> tuple[Scope, dict[A.Expr, str]]:
+        """The scope with hidden columns for subqueries that aggregate all rows below or above the outer row's value."""
+        names: dict[A.Expr, str] = {}
+        if outer or scope.df.isStreaming:
+            return scope, names
+        lower = self.expressions(scope, outer)
+        for e in dict.fromkeys(x for e in exprs for x in A.walk(e) if isinstance(x, A.Sub)):
+            r = e.relation
+            if not isinstance(r, (A.Project, A.Agg)) or len(r.items) != 1 or (isinstance(r, A.Project) and r.distinct):
+                continue
+            found = lower.correlated(r.child)
+            item = G.expanded(self, r.items)[0].expr
+            if found is None or found.base.df.isStreaming or any(isinstance(x, (A.Sub, A.Exists, A.Over)) for x in A.walk(item)):
+                continue
+            take = G.Extractor(self, found.base, Group(()))
+            value = take(item)
+            inside = self.expressions(found.base)
+            calls = {name: inside.mergeable(x) for x, name in take.hidden.items()}
+            if not calls or None in calls.values():
+                continue
+            df = found.base.df
+            for c in found.own:
+                df = df.where(inside(c))
+            hidden = {name: fresh_name("sub") for name in calls}
+            pairs = [(inside(a), lower(b)) for a, b in found.pairs]
+            functions = {hidden[n]: f for n, (f, _) in calls.items()}
+            args = {hidden[n]: a for n, (_, a) in calls.items()}
+            out = global_window.aggregates_before(scope.df, df, pairs, inside(found.inner), found.op, lower(found.outer), functions, args)
+            names[e] = fresh_name("sub")
+            bound = {n: F.col(h) for n, h in hidden.items()}
+            column = self.expressions(Scope(out, ()), (), bound)(value)
+            scope = replace(scope, df=out.select(*scope.df.columns, column.alias(names[e])))
+        return scope, names
+
+    def hidden_columns(self, scope: Scope, exprs: list[A.Expr], outer: Outer) -> tuple[Scope, dict[A.Expr, str]]:
+        scope, subs = self.running_subqueries(scope, exprs, outer)
+        scope, windows = self.spread_windows(scope, exprs, outer)
+        return scope, subs | windows
+
     def items(self, scope: Scope, items: tuple[A.Item, ...], outer: Outer) -> tuple[Scope, list[tuple[str, object, frozenset[str]]]]:
         """The scope to project from, and (shown name, column, qualifiers) of each output column."""
         out: list[tuple[str, object, frozenset[str]]] = []
@@ -243,7 +282,7 @@ class Lowering:
             written.append(e)
             if item.name:
                 aliases[item.name] = e
-        scope, windows = self.spread_windows(scope, written, outer)
+        scope, windows = self.hidden_columns(scope, written, outer)
         lower = self.expressions(scope, outer, windows=windows)
         for item, e in zip(items, written, strict=True):
             if isinstance(e, A.Star):
@@ -390,11 +429,13 @@ class Lowering:
                 raise FlowError(f"{r.kind} join needs a condition")
             return Scope(left.df.crossJoin(right.df), both)
         condition = self.expressions(Scope(left.df.crossJoin(right.df), both), outer)(r.on)
-        banded = self.banded(r.on, condition, left, right, outer) if r.kind == "inner" else None
-        return Scope(left.df.join(right.df, condition, r.kind) if banded is None else banded, both)
+        overlapping = self.overlapping(r, condition, left, right, outer)
+        return Scope(left.df.join(right.df, condition, r.kind) if overlapping is None else overlapping, both)
 
-    def banded(self, on: A.Expr, condition: Column, left: Scope, right: Scope, outer: Outer) -> DataFrame | None:
-        """The join by bucket, if the condition has no equality between the sides but a value between two bounds."""
+    def overlapping(self, r: A.Join, condition: Column, left: Scope, right: Scope, outer: Outer) -> DataFrame | None:
+        """The join by buckets, if the sides share no equality but two inequalities in opposite directions."""
+        if r.kind not in ("inner", "left", "right", "full") or left.df.isStreaming or right.df.isStreaming:
+            return None
 
         def side(e: A.Expr) -> Scope | None:
             found = set()
@@ -408,23 +449,23 @@ class Lowering:
             return None if len(found) != 1 else left if found.pop() else right
 
         least: list[tuple[A.Expr, A.Expr]] = []  # (lower, upper)
-        for part in split_and(on):
+        for part in split_and(r.on):
             if isinstance(part, A.Between) and not part.negated:
                 least += [(part.low, part.expr), (part.expr, part.high)]
             elif isinstance(part, A.Bin) and part.op in ("<", "<=", ">", ">="):
                 least.append((part.left, part.right) if part.op[0] == "<" else (part.right, part.left))
-            elif isinstance(part, A.Bin) and part.op in ("=", "<=>") and None not in (sides := {side(part.left), side(part.right)}) and len(sides) == 2:
+            elif isinstance(part, A.Bin) and part.op in ("=", "<=>") and {side(part.left), side(part.right)} == {left, right}:
                 return None
-        for low, value in least:
-            points, intervals = side(value), side(low)
-            high = next((b for a, b in least if a == value and side(b) is intervals), None)
-            if points is None or intervals is None or points is intervals or high is None:
-                continue
-            own, other = self.expressions(points, outer), self.expressions(intervals, outer)
-            measures = [band.measured(x, at.type_of(x)) for x, at in ((own(value), own), (other(low), other), (other(high), other))]
-            if all(m is not None for m in measures) and len({type(at.type_of(x)) for x, at in ((own(value), own), (other(low), other), (other(high), other)) if not isinstance(at.type_of(x), T.NumericType)}) <= 1:
-                out = band.band_join(points.df, intervals.df, *measures, condition)
-                return out
+        upward = [(a, b) for a, b in least if side(a) is left and side(b) is right]
+        downward = [(a, b) for a, b in least if side(a) is right and side(b) is left]
+        own, other = self.expressions(left, outer), self.expressions(right, outer)
+        for (a1, b1), (b2, a2) in ((u, d) for u in upward for d in downward):
+            ends = [(own, a1), (own, a2), (other, b2), (other, b1)]
+            kinds = [at.type_of(at(e)) for at, e in ends]
+            bounds = [band.measured(at(e), kind) for (at, e), kind in zip(ends, kinds, strict=True)]
+            alike = len({type(k) for k in kinds if not isinstance(k, T.NumericType)}) <= 1
+            if all(x is not None for x in bounds) and alike and (r.kind == "inner" or (band.comparable(left.df) and band.comparable(right.df))):
+                return band.overlap_join(left.df, right.df, (bounds[0], bounds[1]), (bounds[2], bounds[3]), condition, r.kind)
         return None
 
     def asof(self, r: A.Join, left: Scope, right: Scope, outer: Outer) -> Scope:

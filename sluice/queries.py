@@ -114,6 +114,26 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "from supplier as s where s_acctbal >= { from supplier as b where b.s_nationkey = s.s_nationkey select b.s_acctbal.max } select s_suppkey, s_nationkey",
         "select s_suppkey, s_nationkey from supplier s where s_acctbal >= (select max(b.s_acctbal) from supplier b where b.s_nationkey = s.s_nationkey)",
     ),
+    "scalar_running_avg": (
+        """from orders as o where o.o_totalprice > 1.1 * { from orders as b where b.o_custkey = o.o_custkey and b.o_orderdate < o.o_orderdate select b.o_totalprice.avg }
+select o_orderkey, o_custkey, so_far = { from orders as c where c.o_custkey = o.o_custkey and c.o_orderdate <= o.o_orderdate select _.count }""",
+        """select o_orderkey, o_custkey, (select count(*) from orders c where c.o_custkey = o.o_custkey and c.o_orderdate <= o.o_orderdate) as so_far from orders o
+where o_totalprice > 1.1 * (select avg(b.o_totalprice) from orders b where b.o_custkey = o.o_custkey and b.o_orderdate < o.o_orderdate)""",
+    ),
+    "scalar_running_global": (
+        "from part add dearer = { from lineitem where l_quantity > 40 and l_extendedprice / l_quantity > p_retailprice select _.count }, least = { from supplier where s_acctbal >= p_retailprice select s_acctbal.min } select p_partkey, dearer, least",
+        """select p_partkey, (select count(*) from lineitem where l_quantity > 40 and l_extendedprice / l_quantity > p_retailprice) as dearer,
+(select min(s_acctbal) from supplier where s_acctbal >= p_retailprice) as least from part""",
+    ),
+    "semi_exists_less": (
+        "from customer as c where exists { from supplier where s_nationkey = c.c_nationkey and s_acctbal < c.c_acctbal and s_suppkey > 3 } select c_custkey",
+        "select c_custkey from customer c where exists (select 1 from supplier where s_nationkey = c.c_nationkey and s_acctbal < c.c_acctbal and s_suppkey > 3)",
+    ),
+    "anti_exists_less": (
+        "from orders as o where not exists { from orders as b where b.o_custkey = o.o_custkey and b.o_orderdate < o.o_orderdate } where exists { from customer where c_acctbal * 40 >= o_totalprice } select o_orderkey",
+        """select o_orderkey from orders o where not exists (select 1 from orders b where b.o_custkey = o.o_custkey and b.o_orderdate < o.o_orderdate)
+and exists (select 1 from customer where c_acctbal * 40 >= o_totalprice)""",
+    ),
     "asof_inner": (
         "from events as e where e.event_type = 'purchase' asof join { from events where event_type = 'view' select user_id as v_user, ts as v_ts, event_id as v_id } as v on e.user_id = v.v_user and e.ts >= v.v_ts select event_id, user_id, v_ts",
         "select e.event_id, e.user_id, v.ts as v_ts from (select * from events where event_type = 'purchase') e asof join (select * from events where event_type = 'view') v on e.user_id = v.user_id and e.ts >= v.ts",
@@ -211,12 +231,31 @@ FLOWS: dict[str, tuple[str, str | None]] = {
         "select l_orderkey, l_linenumber, 'l_discount' as kind, l_discount as rate from lineitem union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem",
     ),
     "join_band": (
-        "from supplier join { from customer where c_custkey < 100 select c_custkey, c_acctbal - 50 as lo, c_acctbal + 50 as hi } as c on s_acctbal between c.lo and c.hi select s_suppkey, c_custkey",
-        "select s_suppkey, c_custkey from supplier join customer on s_acctbal between c_acctbal - 50 and c_acctbal + 50 where c_custkey < 100",
+        "from supplier join { from customer select c_custkey, c_acctbal - 5 as lo, c_acctbal + 5 as hi } as c on s_acctbal between c.lo and c.hi select s_suppkey, c_custkey",
+        "select s_suppkey, c_custkey from supplier join customer on s_acctbal between c_acctbal - 5 and c_acctbal + 5",
     ),
     "join_band_dates": (
-        "from { from orders where o_orderkey < 300 select o_orderkey, o_orderdate } as o join { from events where event_id < 300 select event_id, ts } as e on o.o_orderdate <= e.ts and o.o_orderdate >= e.ts - '400 days':interval select o_orderkey, event_id",
-        "select o_orderkey, event_id from orders join events on o_orderdate <= ts and o_orderdate >= ts - interval 400 days where o_orderkey < 300 and event_id < 300",
+        """from { from orders select o_orderkey, o_orderdate } as o
+join { from lineitem group by l_shipdate agg _.count as n } as l on o.o_orderdate <= l.l_shipdate and o.o_orderdate >= l.l_shipdate - '3 days':interval
+group by o_orderkey agg n.sum as near""",
+        """select o_orderkey, sum(n)::bigint as near from orders join (select l_shipdate, count(*) as n from lineitem group by l_shipdate) l
+on o_orderdate <= l_shipdate and o_orderdate >= l_shipdate - interval 3 days group by o_orderkey""",
+    ),
+    "join_band_left": (
+        "from { from customer select c_custkey, c_acctbal } as c left join { from supplier select s_suppkey, s_acctbal } as s on s.s_acctbal between c.c_acctbal - 20 and c.c_acctbal + 3 select c_custkey, s_suppkey",
+        "select c_custkey, s_suppkey from customer left join supplier on s_acctbal between c_acctbal - 20 and c_acctbal + 3",
+    ),
+    "join_overlap": (
+        """from { from part select p_partkey, p_retailprice as lo, p_retailprice + if p_partkey = 7 then 1000000.0 else p_size / 10.0 as hi } as a
+join { from part select p_partkey as other, p_retailprice - p_size / 20.0 as from_price, p_retailprice as to_price } as b on a.lo < b.to_price and b.from_price <= a.hi and other != p_partkey
+group by p_partkey agg _.count as n, other.min as first""",
+        """select p_partkey, count(*) as n, min(other) as first from (select p_partkey, p_retailprice as lo, p_retailprice + if(p_partkey = 7, 1000000.0, p_size / 10.0) as hi from part) a
+join (select p_partkey as other, p_retailprice - p_size / 20.0 as from_price, p_retailprice as to_price from part) b on a.lo < b.to_price and b.from_price <= a.hi and other <> p_partkey group by p_partkey""",
+    ),
+    "join_two_inequalities": (
+        """from { from customer select c_custkey, c_acctbal } as c full join { from supplier select s_suppkey, s_acctbal } as s
+on c.c_acctbal < s.s_acctbal + 8 and s.s_acctbal < c.c_acctbal + 8 and c_custkey % 3 != s_suppkey % 3 select c_custkey, s_suppkey""",
+        """select c_custkey, s_suppkey from customer full join supplier on c_acctbal < s_acctbal + 8 and s_acctbal < c_acctbal + 8 and c_custkey % 3 <> s_suppkey % 3""",
     ),
     "histogram": (
         "from orders group by o_orderpriority agg histogram(o_orderstatus) as h select o_orderpriority, h['F'] as f, h['O'] as o",
