@@ -7,7 +7,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from sluice.plans.lower_expr import constant
 from sluice.plans.parser import parse
 from sluice.plans.scope import Scope
 from sluice.plans.show import show_expr, show_plan
-from sluice.sources import files, sinks
+from sluice.sources import files, sinks, touched
 
 #: Rows that a test or a printed result shows at most.
 ROW_LIMIT = 40
@@ -242,18 +242,24 @@ class Engine:
         if not isinstance(source, (A.Table, A.File)):
             raise FlowError("delete takes filters over a table or file")
         plan = self.lowering()
-        scope = plan.relation(r)
+        table = isinstance(source, A.Table) and self.spark.catalog.tableExists(source.name) and source.name not in self._tables
+        if table:  # files without such a row stay as they are
+            rows = touched.numbered(self.spark, source.name)
+            scope = replace(Scope.of(self.spark.table(source.name), r.name if isinstance(r, A.Alias) else source.name.rsplit(".", 1)[-1]), df=rows)
+        else:
+            scope = plan.relation(r)
         gone = F.lit(True)
         for c in conditions:
             gone = gone & plan.expressions(scope)(c)
+        if table:
+            touched.apply(self.spark, source.name, scope.df.where(gone).select(touched.FILE, touched.ROW, F.lit(True).alias("_gone")))
+            self._forget(source.name)
+            return Result(s, text="deleted")
         rest = Scope(scope.df.where(~F.coalesce(gone, F.lit(False))), scope.columns).shown()
         if isinstance(source, A.File):
             sinks.save_file(rest, files.located(source.path, self.base_dir))
         else:
-            if self.spark.catalog.tableExists(source.name):
-                sinks.replace_table(self.spark, source.name, rest)
-            else:
-                sinks.save_table(rest, source.name)
+            sinks.save_table(rest, source.name)
             self._forget(source.name)
         return Result(s, text="deleted")
 

@@ -823,6 +823,49 @@ def sql_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql(f"select * from {t}")
 
 
+def sql_merge_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first clause that holds wins, of updates and deletes as of inserts."""
+    t, engine = _named("merged"), Engine(spark, sf_dir)
+    engine.sql(f"create or replace table {t} as select o_orderkey as k, o_orderstatus as s, o_totalprice as p from orders where o_orderkey % 3 > 0")
+    engine.sql(
+        f"""merge into {t} as t using (select o_orderkey as k, o_orderstatus as s, o_totalprice as p, 'when matched then where' as note from orders where o_orderkey % 2 = 0) as n on t.k = n.k
+when matched and t.s = 'F' and t.p > 200000 then update set s = concat(n.note, case when t.p > 300000 then '!' else '' end), p = greatest(n.p, 1)
+when matched and t.s = 'F' then delete
+when matched and t.s = 'O' then update set p = -n.p
+when matched then delete
+when not matched and n.s = 'O' then insert (k, s) values (n.k, 'values (1, 2)')
+when not matched and n.p > 100000 then insert values (n.k, n.s, n.p * (1 + 1))"""
+    )
+    return engine.sql(f"select * from {t}")
+
+
+def sql_update_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, engine = _named("changed"), Engine(spark, sf_dir)
+    engine.sql(f"create or replace table {t} as select c_custkey as k, c_name as s, c_acctbal as b from customer")
+    engine.sql(f"update {t} set s = 'up where down, set x = 1' where k in (select o_custkey from orders where o_totalprice > 300000) and s != 'a where b'")
+    engine.sql(f"update {t} as u set b = round(u.b * 2, 2), s = concat(u.s, ' -- no comment') where u.b < (select avg(c_acctbal) from customer)")
+    engine.sql(f"delete from {t} as d where d.k % 7 = 0 or d.s = 'from x where y'")
+    return engine.sql(f"select * from {t}")
+
+
+def merge_touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each priority in files of their own; a merge of one priority leaves the files of the others."""
+    from sluice.sources import touched
+
+    t, engine = _named("filed"), Engine(spark, sf_dir)
+    for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")):
+        head = f"create or replace table {t} as" if i == 0 else f"insert into {t}"
+        engine.sql(f"{head} select o_orderkey as k, o_orderpriority as p, o_totalprice as v from orders where o_orderpriority = '{p}'")
+    before = touched.numbered(spark, t).select(touched.FILE).distinct().withColumn("kept", F.lit(True)).collect()
+    engine.sql(
+        f"""merge into {t} as t using (select * from orders where o_orderpriority = '2-HIGH' and o_orderkey % 2 = 0) as o on t.k = o.o_orderkey
+when matched and o.o_orderkey % 4 = 0 then delete when matched then update set v = 0"""
+    )
+    old = spark.createDataFrame(before, "_file string, kept boolean")
+    rows = touched.numbered(spark, t).join(F.broadcast(old), touched.FILE, "left")
+    return rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == 0).alias("changed"), F.bool_and(F.coalesce("kept", F.lit(False))).alias("kept"))
+
+
 def sql_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, sf_dir)
     engine.sql("prepare by_region from select n_nationkey, 'why?' as t from nation where n_regionkey = ? and n_name > ?")
@@ -869,6 +912,26 @@ from nation where n_nationkey >= 3 union all select 100, 'new', 7""",
         sql_merge,
         """select n_nationkey as k, case when n_nationkey > 10 and n_nationkey < 20 then n_regionkey + 100 else n_regionkey end as r
 from nation where not (n_nationkey > 10 and n_nationkey < 20 and n_regionkey = 3)""",
+    ),
+    "sql_merge_clauses": (
+        sql_merge_clauses,
+        """select t.k, case when m and s = 'F' then 'when matched then where' || case when p > 300000 then '!' else '' end else s end as s,
+case when m and s = 'F' then greatest(p, 1) when m then -p else p end as p
+from (select o_orderkey as k, o_orderstatus as s, o_totalprice as p, o_orderkey % 2 = 0 as m from orders where o_orderkey % 3 > 0) t
+where not (m and ((s = 'F' and p <= 200000) or s not in ('F', 'O')))
+union all select o_orderkey, case when o_orderstatus = 'O' then 'values (1, 2)' else o_orderstatus end, case when o_orderstatus <> 'O' then o_totalprice * 2 end
+from orders where o_orderkey % 2 = 0 and o_orderkey % 3 = 0 and (o_orderstatus = 'O' or o_totalprice > 100000)""",
+    ),
+    "sql_update_literal": (
+        sql_update_literal,
+        """with u as (select c_custkey as k, case when c_custkey in (select o_custkey from orders where o_totalprice > 300000) then 'up where down, set x = 1' else c_name end as s, c_acctbal as b from customer)
+select k, case when b < (select avg(c_acctbal) from customer) then s || ' -- no comment' else s end as s, case when b < (select avg(c_acctbal) from customer) then round(b * 2, 2) else b end as b
+from u where k % 7 <> 0""",
+    ),
+    "merge_touched_files": (
+        merge_touched_files,
+        """select o_orderpriority as p, count(*) as n, count(*) filter (where o_orderpriority = '2-HIGH' and o_orderkey % 2 = 0) as changed, o_orderpriority <> '2-HIGH' as kept
+from orders where not (o_orderpriority = '2-HIGH' and o_orderkey % 4 = 0) group by o_orderpriority""",
     ),
     "sql_prepared": (sql_prepared, "select n_nationkey, 'why?' as t from nation where n_regionkey = 1 and n_name > 'B, ?'"),
     "delete_rewrite": (delete_rewrite, "select * from customer where not (c_acctbal < 0 and c_nationkey > 5)"),

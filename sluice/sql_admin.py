@@ -1,8 +1,8 @@
 """SQL statements on definitions, sessions and prepared texts that Spark SQL lacks or limits.
 
 Changes that a Parquet table cannot take in place (dropping, renaming or
-retyping a column, UPSERT) write the table anew beside the old one and swap
-them; its partitioning and properties are kept.  What no Spark table has
+retyping a column) write the table anew beside the old one and swap them; its
+partitioning and properties are kept.  UPSERT rewrites the files it touches.  What no Spark table has
 (NOT NULL on an existing column, owners, grants, branches) is an error that
 says so.
 """
@@ -10,6 +10,7 @@ says so.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.errors import FlowError
+from sluice.sources import touched
 from sluice.sources.sinks import KEY_PROPERTY, properties, replace_table, set_properties
 
 if TYPE_CHECKING:
@@ -156,13 +158,13 @@ def upsert(engine: Engine, table: str, columns: list[str] | None, query: str) ->
     new = source.toDF(*given).select(*[F.col(f"`{c}`").cast(old.schema[c].dataType).alias(c) for c in given])
     if new.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("sl_n")).where("sl_n > 1").limit(1).count():
         raise FlowError("upsert: the query has two rows of one key")
-    left = old.withColumn("sl_old", F.lit(True)).alias("o")
-    right = new.withColumn("sl_new", F.lit(True)).alias("n")
-    same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
-    both = left.join(right, same, "full")
-    taken = F.col("sl_new").isNotNull()
-    out = [F.when(taken, F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c) if c in given else F.col(f"o.`{c}`") for c in old.columns]
-    replace_table(spark, table, both.select(*out))
+    rows = touched.numbered(spark, table).alias("o")
+    known = rows.join(new.alias("n"), reduce(Column.__and__, [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]))
+    values = [F.col(f"n.`{c}`" if c in given else f"o.`{c}`").alias(f"_new_{c}") for c in old.columns]
+    acted = known.select(touched.FILE, touched.ROW, F.lit(False).alias("_gone"), *values)
+    rest = new.alias("n").join(rows, reduce(Column.__and__, [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]), "left_anti")
+    added = rest.select(*[F.col(c) if c in given else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+    touched.apply(spark, table, acted, added)
     return _said(engine, "upserted")
 
 
