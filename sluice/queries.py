@@ -897,6 +897,52 @@ def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "value")
 
 
+def _arriving(spark: SparkSession, sf_dir: str, each: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """All events in four instalments into one folder; ``each`` runs on the folder's stream after every one, and once more without new input."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{_scratch(spark)}/arriving"
+    out = None
+    for i in range(5):
+        if i < 4:
+            events.where(F.col("event_id") % 4 == i).write.mode("append").parquet(folder)
+        out = each(spark.readStream.schema(events.schema).parquet(folder), i)
+    return out
+
+
+def stream_incremental_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.streaming import subscribe as s
+
+    target = f"{_scratch(spark)}/totals"
+    value = [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last")]
+    return _arriving(spark, sf_dir, lambda events, i: s.run_updates(events.groupBy("user_id", "event_type").agg(*value), ["user_id", "event_type"], target))
+
+
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.streaming import subscribe as s
+
+    scratch = _scratch(spark)
+
+    def each(events: DataFrame, i: int) -> DataFrame:
+        bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+        seen = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+        pairs = s.interval_join(bought, seen, ["user_id"], "ts", "view_ts", "6h", "30m", delay="60d")
+        return s.run_available(pairs, f"{scratch}/checkpoint", f"{scratch}/pairs")
+
+    return _arriving(spark, sf_dir, each).select("user_id", "event_id", "view_id")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.streaming import subscribe as s
+
+    target = f"{_scratch(spark)}/split"
+
+    def each(events: DataFrame, i: int) -> DataFrame:
+        good, late = s.split_late(events, "ts", "20d", target)
+        return good.select("event_id", F.lit(False).alias("late")).union(late.select("event_id", F.lit(True)))
+
+    return _arriving(spark, sf_dir, each)
+
+
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "save_then_read": (save_then_read, "select * from nation where n_regionkey < 3"),
     "append_then_read": (append_then_read, "select * from nation where n_regionkey < 2"),
@@ -940,6 +986,17 @@ from orders where not (o_orderpriority = '2-HIGH' and o_orderkey % 4 = 0) group
         stream_session,
         """select user_id, min(ts) as started, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as s from
 (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 12 hour then 0 else 1 end as fresh from events)) group by user_id, s""",
+    ),
+    "stream_incremental_agg": (stream_incremental_agg, "select user_id, event_type, count(*) as n, round(sum(value), 4) as total, max(event_id) as last from events group by user_id, event_type"),
+    "stream_interval_join": (
+        stream_interval_join,
+        """select p.user_id, p.event_id, v.event_id as view_id from events p join events v on p.user_id = v.user_id and v.ts between p.ts - interval 6 hours and p.ts + interval 30 minutes
+where p.event_type = 'purchase' and v.event_type = 'view'""",
+    ),
+    "stream_late_rows": (
+        stream_late_rows,
+        """with upto as (select event_id % 4 as batch, max(ts) as upto from events group by 1)
+select event_id, coalesce(ts < (select max(upto) from upto where upto.batch < event_id % 4) - interval 20 days, false) as late from events""",
     ),
     "stream_subscribe": (stream_subscribe, "select event_id, ts, user_id, value from events where event_type = 'purchase'"),
 }
