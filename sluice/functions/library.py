@@ -69,6 +69,7 @@ AGGREGATES: dict[str, Callable[[list[Column], T.DataType | None], Column]] = {
     "approx_quantile": lambda a, k: F.approx_percentile(a[0], a[1]),
     "approx_percentile": lambda a, k: F.approx_percentile(a[0], a[1]),
     "quantile": lambda a, k: F.percentile(a[0], a[1]),
+    "quantile_cont": lambda a, k: F.percentile(a[0], a[1]),
     "array_agg": lambda a, k: S.array_agg(a[0]),
     "to_array": lambda a, k: S.array_agg(a[0]),
     "list": lambda a, k: S.array_agg(a[0]),

@@ -2,27 +2,27 @@
 
 Rows of both sides are tagged and united; per key, in time order, the last
 right row seen is carried to the left rows.  Work is linear in both sides, no
-pair of rows is made.  A key with very many rows is no single task's work: time
-is cut into ``buckets`` ranges by quantiles, rows are carried inside a (key,
-range), and what a range needs from the earlier ones is one row per key and
-range, which is carried over the ranges in a second, small window.
+pair of rows is made.  A key with very many rows is no single task's work:
+ranges of about equal rows are cut over (key, time) by sampled splitters, so that
+a hot key spans ranges and small keys share one.  Rows are carried inside a
+(key, range), and what a range needs from the earlier ones is one row per key
+and range, which is carried over the ranges in a second, small window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Time ranges; 1 keeps a key's rows in one window.
-BUCKETS = 16
+from sluice.operators import global_window as W
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], left_time: Column, right_time: Column, op: str, keep_left: bool, buckets: int = BUCKETS) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], left_time: Column, right_time: Column, op: str, keep_left: bool, buckets: int | None = None) -> DataFrame:
     """All columns of ``left`` then of ``right``.
 
-    ``op`` relates left to right time: ``>=`` and ``>`` take the latest right
+    ``buckets`` is the number of ranges (1: none are cut), else as many as the
+    session has shuffle partitions.  ``op`` relates left to right time: ``>=`` and ``>`` take the latest right
     row at or before (strictly before), ``<=`` and ``<`` the next one.  Rows
     with a null key or time match nothing; of right rows with equal key and
     time one is taken.
@@ -44,18 +44,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column
         r.select(*names, "_t", F.lit(right_side).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType), "_r")
     )
     order = [F.col("_t").asc() if back else F.col("_t").desc(), F.col("_side").asc()]
-    edges: list[Column] = []
-    kind = matchable.schema["_t"].dataType
-    if buckets > 1 and _ordered(kind):
-        # quantiles in the time's own type, as texts, so that no zone or rounding moves them
-        shares = ",".join(str(i / buckets) for i in range(1, buckets))
-        cuts = matchable.agg(F.expr(f"transform(approx_percentile(_t, array({shares}), 1000), x -> cast(x as string))")).first()[0] or []
-        edges = [F.lit(c).cast(kind) for c in sorted(set(cuts))]
-    if edges:
-        bucket = F.lit(0)
-        for e in edges:
-            bucket = bucket + (F.col("_t") > e).cast("int")
-        both = both.withColumn("_b", bucket if back else -bucket)
+    # ranges ascend in the order in which rows are carried
+    ranked = [*(W.Key(F.col(n), False, True) for n in names), W.Key(F.col("_t"), not back, True)]
+    buckets = buckets or W.ranges_of(left)
+    if buckets > 1 and W.supported(both, ranked):
+        both = both.withColumn("_b", W.range_of(ranked, W.splitters(both, ranked, buckets)))
         rights = both.where("_r is not null")
         latest = F.max_by("_r", F.col("_t")) if back else F.min_by("_r", F.col("_t"))
         ends = rights.groupBy(*names, "_b").agg(latest.alias("_end"))
@@ -74,6 +67,3 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column
         seen = seen.where("_m is not null")
     return seen.select(*[F.col(f"_l.`{c}`").alias(c) for c in own], *[F.col(f"_m.`{c}`").alias(c) for c in other])
 
-
-def _ordered(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))

@@ -90,6 +90,11 @@ class Near:
     behind: int
 
 
+def merged(merge: Callable[[Column, Column], Column]) -> Callable[[Column | str], Column]:
+    """The aggregate that puts many values of a part together."""
+    return {added: F.sum, F.least: F.min, F.greatest: F.max}[merge]
+
+
 def added(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
@@ -129,6 +134,11 @@ def supported(df: DataFrame, keys: list[Key]) -> bool:
     return all(isinstance(t, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) for t in kinds)
 
 
+def ranges_of(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, within bounds."""
+    return max(8, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def splitters(df: DataFrame, keys: list[Key], ranges: int) -> list[list[Column | None]]:
     """Ascending quantiles of a random sample of the keys."""
     kinds = [df.select(k.column).schema[0].dataType for k in keys]
@@ -161,7 +171,7 @@ def range_of(keys: list[Key], cuts: list[list[Column | None]]) -> Column:
 def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running | Near], ranges: int | None = None) -> DataFrame:
     """``df`` with a column for each function over the order of ``keys``."""
     own = df.columns
-    ranges = ranges or max(8, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or ranges_of(df)
     sortable = [f"`{c.name}`" for c in df.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
     names = [f"_key{i}" for i in range(len(keys))]
     dealt = df.select("*", *[k.column.alias(n) for k, n in zip(keys, names, strict=True)], range_of(keys, splitters(df, keys, ranges)).alias("_range"), F.xxhash64(*sortable).alias("_tie"))
@@ -185,8 +195,7 @@ def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running
     kind = {f.name: f.dataType for f in per_range.schema}
     for n, f in runs.items():
         for i, merge in enumerate(f.merge):
-            over = {added: F.sum, F.least: F.min, F.greatest: F.max}[merge]
-            carry.append(over(f"_part_{n}_{i}").over(earlier).cast(kind[f"_part_{n}_{i}"]).alias(f"_carry_{n}_{i}"))
+            carry.append(merged(merge)(f"_part_{n}_{i}").over(earlier).cast(kind[f"_part_{n}_{i}"]).alias(f"_carry_{n}_{i}"))
     carried = per_range.select(*carry)
 
     rows = dealt.withColumn("_copy", F.lit(False))
@@ -263,16 +272,15 @@ def running_by(rows: DataFrame, by: list[str], order: list[Key], parts: list[Col
     ranges and small keys share one; a key that spans ranges carries its
     aggregates over them in a table of one row per key and range.
     """
-    ranges = ranges or max(8, min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or ranges_of(rows)
     keys = [*(Key(F.col(k), False, True) for k in by), *order]
     dealt = rows.withColumn("_range", range_of(keys, splitters(rows, keys, ranges)) if supported(rows, keys) else F.lit(0))
     held = [f"_sum_{n}" for n in names]
     sums = dealt.groupBy(*by, "_range").agg(*[p.alias(h) for p, h in zip(parts, held, strict=True)], F.max(F.lit(0)).alias("_all"))
     earlier = Window.partitionBy(*by, "_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    over = {added: F.sum, F.least: F.min, F.greatest: F.max}
     kind = {f.name: f.dataType for f in sums.schema}
     renamed = [F.col(k).alias(f"_of_{k}") for k in by]
-    carried = sums.select(*renamed, F.col("_range").alias("_of_range"), *[over[m](h).over(earlier).cast(kind[h]).alias(f"_carry_{n}") for m, h, n in zip(merges, held, names, strict=True)])
+    carried = sums.select(*renamed, F.col("_range").alias("_of_range"), *[merged(m)(h).over(earlier).cast(kind[h]).alias(f"_carry_{n}") for m, h, n in zip(merges, held, names, strict=True)])
     upto = Window.partitionBy(*by, "_range").orderBy(*[k.sorted() for k in order]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = dealt.select("*", *[p.over(upto).alias(f"_local_{n}") for p, n in zip(parts, names, strict=True)])
     on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by], F.col("_range") == F.col("_of_range"))

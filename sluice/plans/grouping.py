@@ -10,16 +10,19 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, is_dataclass, replace
 from typing import TYPE_CHECKING, Any
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.errors import FlowError
 from sluice.functions import library as L
+from sluice.operators import global_window, quantile
 from sluice.plans import ast as A
 from sluice.plans.scope import Group, Named, Scope, fresh_name
 from sluice.plans.show import show_expr
 
 if TYPE_CHECKING:
     from sluice.plans.lower import Lowering
+    from sluice.plans.lower_expr import Expressions
 
 
 def is_aggregate(e: A.Expr, scope: Scope, plan: Lowering) -> bool:
@@ -118,9 +121,14 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
         bound = {name: lower(e) for e, name in take.hidden.items()}
         value = plan.expressions(Scope(plain.df, ()), outer, bound)
         return replace(plain.project([(item.name or show_expr(item.expr), value(e), frozenset()) for item, e in wanted]), exact=True)
-    aggregates = [lower(e).alias(name) for e, name in take.hidden.items()]
     key_columns = [c.column for c in keys]
     df = plain.df
+    apart = {} if outer or group.sets or df.isStreaming or global_window.small(df) else {name: found for e, name in take.hidden.items() if (found := lower.by_values(e)) is not None}
+    finer = plan_lattice(lower, take.hidden, keys, df) if group.sets and keys and not outer and not df.isStreaming else None
+    if finer is not None:
+        df, aggregates = finer
+    else:
+        aggregates = [lower(e).alias(name) for e, name in take.hidden.items() if name not in apart]
     dealt = None
     if not keys:
         pass
@@ -132,12 +140,15 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
         dealt = df.groupingSets([[key_columns[i] for i in s] for s in group.sets], *key_columns)
     else:
         dealt = df.groupBy(*key_columns)
-    if dealt is None:  # a select of aggregates stays lazy, also inside a correlated subquery
+    if dealt is None and apart:
+        out = df.agg(*(aggregates or [F.count(F.lit(1)).alias("_one")]))
+    elif dealt is None:  # a select of aggregates stays lazy, also inside a correlated subquery
         out = df.select(*aggregates) if aggregates else df.limit(1).select(F.lit(1).alias("_one"))
     elif aggregates:
         out = dealt.agg(*aggregates)
     else:
         out = dealt.agg(F.first(F.lit(1)).alias("_one")) if group.sets else df.select(*key_columns).distinct()
+    out = with_values(out, df, [c.internal for c in keys], apart)
     columns = tuple(Named(c.internal, c.internal) for c in keys) + tuple(Named(n, n) for n in take.hidden.values())
     after = Scope(out, columns)
     for f in filters:
@@ -152,6 +163,49 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
     return after.project(shown)
 
 
+def with_values(out: DataFrame, df: DataFrame, keys: list[str], apart: dict[str, tuple[str, A.Expr, Column, float]]) -> DataFrame:
+    """The groups with those aggregates that look at a group's values by ranges or counts."""
+    quantiles: dict[A.Expr, tuple[Column, dict[str, float]]] = {}
+    for name, (kind, e, x, share) in apart.items():
+        if kind == "quantile":
+            quantiles.setdefault(e, (x, {}))[1][name] = share
+        else:
+            out = quantile.with_group_values(out, keys, quantile.histogram(df, keys, x, name))
+            out = out.withColumn(name, F.coalesce(name, F.create_map().cast(out.schema[name].dataType)))
+    for x, wanted in quantiles.values():
+        out = quantile.with_group_values(out, keys, quantile.exact(df, keys, x, wanted))
+    return out
+
+
+def plan_lattice(lower: Expressions, hidden: dict[A.Expr, str], keys: list[Named], df: DataFrame) -> tuple[DataFrame, list[Column]] | None:
+    """For several grouping sets: the aggregates of the finest set, and those that put its rows together for the others.
+
+    Every input row is aggregated once; only the finest groups are copied for
+    each set.  None where an aggregate's parts cannot be put together.
+    """
+    made: dict[str, global_window.Running] = {}
+    kept: dict[str, Column] = {}
+    for e, name in hidden.items():
+        if isinstance(e, A.Call) and e.name.lower() == "grouping":
+            kept[name] = lower(e)
+            continue
+        found = lower.mergeable(e)
+        if found is None:
+            return None
+        made[name] = found[0](found[1])
+    parts = {f"_part_{n}_{i}": p for n, f in made.items() for i, p in enumerate(f.parts)}
+    base = df.groupBy(*[c.column for c in keys]).agg(*([p.alias(n) for n, p in parts.items()] or [F.count(F.lit(1)).alias("_one")]))
+    kind = {f.name: f.dataType for f in base.schema}
+    columns = []
+    for _, name in hidden.items():
+        if name in kept:
+            columns.append(kept[name].alias(name))
+        else:
+            f = made[name]
+            columns.append(f.value(*[global_window.merged(m)(f"_part_{name}_{i}").cast(kind[f"_part_{name}_{i}"]) for i, m in enumerate(f.merge)]).alias(name))
+    return base, columns
+
+
 def key_column(plan: Lowering, scope: Scope, item: A.Item, outer: tuple[Scope, ...]) -> tuple[Scope, tuple[str, A.Expr, Named]]:
     """A grouping key as a column of the scope, added if it is an expression."""
     e = item.expr

@@ -257,6 +257,30 @@ join (select p_partkey as other, p_retailprice - p_size / 20.0 as from_price, p_
 on c.c_acctbal < s.s_acctbal + 8 and s.s_acctbal < c.c_acctbal + 8 and c_custkey % 3 != s_suppkey % 3 select c_custkey, s_suppkey""",
         """select c_custkey, s_suppkey from customer full join supplier on c_acctbal < s_acctbal + 8 and s_acctbal < c_acctbal + 8 and c_custkey % 3 <> s_suppkey % 3""",
     ),
+    "agg_median_global": (
+        "from lineitem add gap = if l_linenumber = 4 then null else l_extendedprice select _.count as n, l_extendedprice.median.round(4) as m, gap.median.round(4) as g, l_quantity.median as q, quantile_cont(gap, 0.9).round(4) as nine",
+        """select count(*) as n, round(median(l_extendedprice), 4) as m, round(median(gap), 4) as g, median(l_quantity) as q, round(quantile_cont(gap, 0.9), 4) as nine
+from (select *, if(l_linenumber = 4, null, l_extendedprice) as gap from lineitem)""",
+    ),
+    "agg_quantiles_exact": (
+        """from lineitem add part = if l_linenumber < 3 then null else l_partkey % 5
+group by part agg quantile_cont(l_extendedprice, 0.25).round(4) as lower, l_extendedprice.median.round(4) as middle, quantile_cont(l_extendedprice, 0.99).round(4) as upper, l_discount.median as d, _.count as n where n > 10""",
+        """select part, round(quantile_cont(l_extendedprice, 0.25), 4) as lower, round(median(l_extendedprice), 4) as middle, round(quantile_cont(l_extendedprice, 0.99), 4) as upper, median(l_discount) as d, count(*) as n
+from (select *, if(l_linenumber < 3, null, l_partkey % 5) as part from lineitem) group by part having count(*) > 10""",
+    ),
+    "histogram_wide": (
+        """from lineitem group by l_returnflag agg histogram(l_extendedprice) as h, _.count as n
+select l_returnflag, n, cardinality(map_keys(h)) as many, list_sum(map_values(h)) as total, map_keys(h)[1] as least, map_values(h)[1] as times""",
+        """select l_returnflag, count(*) as n, count(distinct l_extendedprice)::int as many, count(*) as total, min(l_extendedprice) as least,
+count(*) filter (where l_extendedprice = low) as times from lineitem join (select l_returnflag as f, min(l_extendedprice) as low from lineitem group by 1) on f = l_returnflag group by l_returnflag""",
+    ),
+    "asof_hot_key": (
+        """from { from lineitem where l_shipdate is not null select l_orderkey, l_linenumber, l_partkey, l_shipdate, k = if l_partkey % 3 = 0 then 0 else l_suppkey } as l
+asof left join { from orders group by o_orderdate, o_custkey % 100 as c agg o_totalprice.max as top, o_orderkey.min as first select o_orderdate, ok = if c < 34 then 0 else c, top, first
+group by o_orderdate, ok agg top.max as top, first.min as first } as o on l.k = o.ok and o.o_orderdate < l.l_shipdate select l_orderkey, l_linenumber, l_partkey, o_orderdate, top, first""",
+        """select l_orderkey, l_linenumber, l_partkey, o.o_orderdate, top, first from (select *, if(l_partkey % 3 = 0, 0, l_suppkey) as k from lineitem) l
+asof left join (select o_orderdate, if(o_custkey % 100 < 34, 0, o_custkey % 100) as ok, max(o_totalprice) as top, min(o_orderkey) as first from orders group by 1, 2) o on l.k = o.ok and o.o_orderdate < l.l_shipdate""",
+    ),
     "histogram": (
         "from orders group by o_orderpriority agg histogram(o_orderstatus) as h select o_orderpriority, h['F'] as f, h['O'] as o",
         "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o from orders group by o_orderpriority",
@@ -943,6 +967,15 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arriving(spark, sf_dir, each)
 
 
+def cube_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 32 grouping sets of five keys, from the finest one."""
+    from sluice.api import flow as start
+
+    items = start(Engine(spark, sf_dir), "lineitem").add("y = l_shipdate.extract('year')", "b = l_quantity > 25")
+    cube = items.cube("l_returnflag", "l_linestatus", "l_linenumber", "y", "b")
+    return cube.agg("_.count as n", "l_quantity.sum as q", "l_extendedprice.max as top", "l_partkey.avg.round(4) as a").df()
+
+
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "save_then_read": (save_then_read, "select * from nation where n_regionkey < 3"),
     "append_then_read": (append_then_read, "select * from nation where n_regionkey < 2"),
@@ -997,6 +1030,11 @@ where p.event_type = 'purchase' and v.event_type = 'view'""",
         stream_late_rows,
         """with upto as (select event_id % 4 as batch, max(ts) as upto from events group by 1)
 select event_id, coalesce(ts < (select max(upto) from upto where upto.batch < event_id % 4) - interval 20 days, false) as late from events""",
+    ),
+    "cube_lattice": (
+        cube_lattice,
+        """select l_returnflag, l_linestatus, l_linenumber, y, b, count(*) as n, sum(l_quantity) as q, max(l_extendedprice) as top, round(avg(l_partkey), 4) as a
+from (select *, year(l_shipdate) as y, l_quantity > 25 as b from lineitem) group by cube (l_returnflag, l_linestatus, l_linenumber, y, b)""",
     ),
     "stream_subscribe": (stream_subscribe, "select event_id, ts, user_id, value from events where event_type = 'purchase'"),
 }
