@@ -728,6 +728,24 @@ SQLS: dict[str, tuple[str, str]] = {
     "sql_cube": ("select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube(o_orderstatus, o_orderpriority)",) * 2,
     "sql_filter_clause": ("select o_orderstatus, count(*) filter (where o_totalprice > 100000) as n from orders group by o_orderstatus",) * 2,
     "sql_recursive_cte": ("with recursive t(n) as (select 1 union all select n + 1 from t where n < 20) select n from t",) * 2,
+    "recursive_reach": (
+        """with recursive edges as (select o_custkey as a, o_orderkey % 1000 + 1 as b from orders where o_totalprice > 150000),
+reach(node) as (select c_custkey from customer where c_mktsegment = 'BUILDING' and c_nationkey = 7 union select b from reach join edges on a = node)
+select node, c_nationkey from reach left join customer on c_custkey = node""",
+    )
+    * 2,
+    "recursive_chain": (
+        """with recursive walk(k, hops, path) as (select min(c_custkey), 0, 'start, union all' from customer
+union all select c_custkey, hops + 1, c_mktsegment from walk join customer on c_custkey = k + 1 where hops < 130)
+select k, hops, path from walk""",
+    )
+    * 2,
+    "sql_array_agg_mixed": (
+        """select o_custkey, array_join(array_agg(o_orderkey order by o_orderstatus desc, o_orderpriority asc, o_orderkey desc), ',') as keys,
+array_join(array_agg(o_orderkey order by nullif(o_orderstatus, 'F') nulls first, o_totalprice desc, o_orderkey), ',') as first from orders group by o_custkey""",
+        """select o_custkey, array_to_string(array_agg(o_orderkey order by o_orderstatus desc, o_orderpriority asc, o_orderkey desc), ',') as keys,
+array_to_string(array_agg(o_orderkey order by nullif(o_orderstatus, 'F') nulls first, o_totalprice desc, o_orderkey), ',') as first from orders group by o_custkey""",
+    ),
     "sql_window_ignore_nulls": (
         "select i, lag(v) ignore nulls over (order by i) as p from values (1, 10), (2, null), (3, 30) as t(i, v)",
         "select i, lag(v ignore nulls) over (order by i) as p from (values (1, 10), (2, null), (3, 30)) t(i, v)",
