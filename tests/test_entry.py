@@ -22,7 +22,7 @@ def test_without_llm(tmp_path):
     if os.path.isdir(f"{ROOT}/sluice/llm"):
         every = names(ROOT)
         assert set(plain) < set(every) and "pipeline" in every
-        assert {n.split("_")[0] for n in every if n.startswith("op") and n[2:3].isdigit()} == {f"op{i}" for i in range(1, 11)}
+        assert {n.split("_")[0] for n in every if n.startswith("op") and n[2:3].isdigit()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_nothing_else_imports_llm():
