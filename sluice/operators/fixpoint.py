@@ -16,6 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.errors import FlowError
 from sluice.sources import scratch
@@ -26,7 +27,8 @@ FEW, GATHER, MOST_ROUNDS = 10_000, 16, 100_000
 
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool) -> DataFrame:
     """All rows of ``base`` and of ``step`` applied again and again."""
-    spark, schema = base.sparkSession, base.schema
+    spark = base.sparkSession
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema])  # a step may add nulls
     folder = scratch.folder(spark)
 
     def typed(df: DataFrame) -> DataFrame:
@@ -35,12 +37,14 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
         return df.toDF(*schema.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
     held = base.limit(0).toArrow()
+    kind = pa.schema([f.with_nullable(True) for f in held.schema])
+    held = held.cast(kind)
     known: set[str] = set()
     parts: list[DataFrame] = []
     new = base.distinct() if distinct else base
     for no in range(MOST_ROUNDS):
         if not parts:  # so far everything fits on the driver
-            rows = new.limit(FEW - held.num_rows + 1).toArrow()
+            rows = new.limit(FEW - held.num_rows + 1).toArrow().cast(kind)
             if held.num_rows + rows.num_rows <= FEW:
                 if distinct:
                     fresh = {k: i for i, r in enumerate(rows.to_pylist()) if (k := repr(r)) not in known}
