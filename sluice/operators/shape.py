@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.errors import FlowError
 
@@ -33,9 +34,13 @@ def pivot(df: DataFrame, on: list[tuple[str, list | None]], group: list[str], ag
         key, wanted = F.col(f"`{on[0][0]}`"), values[0]
         labels = [_label(v) for v in wanted]
     else:
-        key = F.concat_ws("_", *[F.col(f"`{n}`").cast("string") for n, _ in on])
-        wanted = ["_".join(_label(v) for v in combination) for combination in itertools.product(*values)]
-        labels = wanted
+        # a combination is known by its number, so values that hold the separator, or nulls, never meet
+        key = F.lit(0)
+        for (n, _), own in zip(on, values, strict=True):
+            place = F.array_position(F.array(*[F.lit(v) for v in own]).cast(T.ArrayType(df.schema[n].dataType)), F.col(f"`{n}`"))
+            key = key * len(own) + F.when(place > 0, place - 1)
+        labels = ["_".join(_label(v) for v in combination) for combination in itertools.product(*values)]
+        wanted = list(range(len(labels)))
     dealt = df.withColumn("_pivot", key).groupBy(*[F.col(f"`{g}`") for g in group]).pivot("_pivot", wanted)
     out = dealt.agg(*[c.alias(n) for n, c, _ in aggregates])
     several = len(aggregates) > 1

@@ -745,6 +745,18 @@ select k, hops, path from walk""",
 array_join(array_agg(o_orderkey order by nullif(o_orderstatus, 'F') nulls first, o_totalprice desc, o_orderkey), ',') as first from orders group by o_custkey""",
         """select o_custkey, array_to_string(array_agg(o_orderkey order by o_orderstatus desc, o_orderpriority asc, o_orderkey desc), ',') as keys,
 array_to_string(array_agg(o_orderkey order by nullif(o_orderstatus, 'F') nulls first, o_totalprice desc, o_orderkey), ',') as first from orders group by o_custkey""",
+    ),
+    "sql_at_time_zone": (
+        """select event_type, cast(min(ts at time zone 'America/New_York') as timestamp_ntz) as first, cast(max((ts + interval '1' hour) at time zone 'Asia/Tokyo') as timestamp_ntz) as last,
+cast(timestamp '2024-07-01 00:00:00' at time zone 'Europe/Berlin' as timestamp_ntz) as fixed from events group by event_type""",
+        """select event_type, min(ts at time zone 'America/New_York') at time zone 'UTC' as first, max((ts + interval 1 hour) at time zone 'Asia/Tokyo') at time zone 'UTC' as last,
+(timestamp '2024-07-01 00:00:00' at time zone 'Europe/Berlin') at time zone 'UTC' as fixed from events group by event_type""",
+    ),
+    "sql_json_nested": (
+        """select n_nationkey, json_object('sum' : (n_nationkey + (n_regionkey * 2)), key 'name' value concat(n_name, ': (', 'x'), 'in' : json_object('k' : upper(n_name), 'none' : nullif(1, 1)) null on null) as j,
+json_object(key 'a' value nullif(n_regionkey, 1), key 'b' value ARRAY[n_regionkey, 7] absent on null) as g from nation""",
+        """select n_nationkey, json_object('sum', n_nationkey + n_regionkey * 2, 'name', n_name || ': (x', 'in', json_object('k', upper(n_name), 'none', null))::varchar as j,
+case when n_regionkey = 1 then '{"b":[1,7]}' else json_object('a', n_regionkey, 'b', [n_regionkey, 7])::varchar end as g from nation""",
     ),
     "sql_window_ignore_nulls": (
         "select i, lag(v) ignore nulls over (order by i) as p from values (1, 10), (2, null), (3, 30) as t(i, v)",
