@@ -23,6 +23,7 @@ from sluice.plans.parser import parse
 from sluice.plans.scope import Scope
 from sluice.plans.show import show_expr, show_plan
 from sluice.sources import files, sinks, touched
+from sluice.sources.catalog import sql_views
 
 #: Rows that a test or a printed result shows at most.
 ROW_LIMIT = 40
@@ -93,14 +94,17 @@ class Engine:
         database, _, table = name.partition(".")
         if table and database in self._attached:
             return self.spark.read.format("jdbc").options(**self._attached[database], dbtable=table).load()
-        if self.spark.catalog.tableExists(name):
+        if self.spark.catalog.tableExists(name) and not (name in sql_views and self.folder is not None and self._in_folder(name)):
             return self.spark.table(name)
         if self.folder is not None and name.isidentifier():
             path = f"{self.folder.rstrip('/')}/{name}.parquet"
-            if sinks.exists(self.spark, path):
+            if self._in_folder(name):
                 return self._tables.setdefault(name, self.opened(self.spark.read.parquet(path)))
         return None
 
+    def _in_folder(self, name: str) -> bool:
+        return sinks.exists(self.spark, f"{self.folder.rstrip('/')}/{name}.parquet")
+
     def opened(self, df: DataFrame) -> DataFrame:
         """A file's DataFrame, as a stream where this engine works on streams."""
         if not self.streaming:

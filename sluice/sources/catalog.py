@@ -18,6 +18,9 @@ SCHEMAS = {
     "columns": "table_name string, column_name string, column_type string",
 }
 
+#: Names of temporary views by which SQL text sees an engine's tables; another engine's folder goes before them.
+sql_views: set[str] = set()
+
 
 def show(spark: SparkSession, what: str, where: str | None, models: Iterable[tuple[str, str, str]], tables: Iterable[str]) -> DataFrame:
     """``show what [in where]``; ``tables`` are those known to the session besides the catalog's."""

@@ -13,3 +13,13 @@ def test_zones_and_objects(spark):
     engine = Engine(spark)
     row = engine.sql("select min(t at time zone 'America/New_York') as a, (t0 + interval '1' day) at time zone 'UTC' as b, json_object('a' : (1 + 2), 'b' : json_object('c' : 'x : )')) as j from values (timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:00:00') as v(t, t0) group by t0").first()
     assert str(row.a.astimezone()) and row.j == '{"a":3,"b":{"c":"x : )"}}'
+
+
+def test_views_of_another_engine(spark, tmp_path):
+    """Tables that SQL text saw under an engine do not stand in the way of another engine's folder."""
+    for n in (1, 2):
+        spark.range(n).write.parquet(f"{tmp_path}/{n}/shape_rows.parquet")
+    one, two = Engine(spark, f"{tmp_path}/1"), Engine(spark, f"{tmp_path}/2")
+    assert one.sql("select * from shape_rows").count() == 1
+    assert two.query("from shape_rows").count() == 2 and two.sql("select * from shape_rows").count() == 2
+    assert one.query("from shape_rows").count() == 1 and Engine(spark, f"{tmp_path}/2", streaming=True).query("from shape_rows").isStreaming
