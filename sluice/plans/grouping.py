@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sluice.errors import FlowError
 from sluice.functions import library as L
 from sluice.operators import global_window, quantile
+from sluice.operators.overlap_totals import totals
 from sluice.plans import ast as A
 from sluice.plans.scope import Group, Named, Scope, fresh_name
 from sluice.plans.show import show_expr
@@ -129,8 +130,9 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
         df, aggregates = finer
     else:
         aggregates = [lower(e).alias(name) for e, name in take.hidden.items() if name not in apart]
+    made = overlap_totals(lower, plain, take.hidden, keys) if keys and not group.sets and not outer else None
     dealt = None
-    if not keys:
+    if not keys or made is not None:
         pass
     elif group.sets == "rollup":
         dealt = df.rollup(*key_columns)
@@ -140,7 +142,9 @@ def grouped(plan: Lowering, scope: Scope, items: list[A.Item], keys_first: bool,
         dealt = df.groupingSets([[key_columns[i] for i in s] for s in group.sets], *key_columns)
     else:
         dealt = df.groupBy(*key_columns)
-    if dealt is None and apart:
+    if made is not None:
+        out = made
+    elif dealt is None and apart:
         out = df.agg(*(aggregates or [F.count(F.lit(1)).alias("_one")]))
     elif dealt is None:  # a select of aggregates stays lazy, also inside a correlated subquery
         out = df.select(*aggregates) if aggregates else df.limit(1).select(F.lit(1).alias("_one"))
@@ -177,6 +181,41 @@ def with_values(out: DataFrame, df: DataFrame, keys: list[str], apart: dict[str,
     return out
 
 
+def overlap_totals(lower: Expressions, scope: Scope, hidden: dict[A.Expr, str], keys: list[Named]) -> DataFrame | None:
+    """The groups of a join of overlapping intervals without its pairs: keys of the left side, counts and extremes of the right."""
+    o = scope.overlap
+    if o is None or o.pairs is not scope.df or not hidden or any(k.internal not in o.left.columns for k in keys):
+        return None
+    counts: dict[str, Column | None] = {}
+    extremes: dict[str, tuple[str, Column]] = {}
+    for e, name in hidden.items():
+        found = lower.mergeable(e)
+        kind = e.name.lower() if found is not None else ""
+        if kind not in ("count", "count_star", "min", "max") or len(found[1]) > 1 or (kind in ("min", "max") and not found[1]):
+            return None
+        if found[1] and not all(scope_column_in(x, scope, o.right) for x in A.walk(e) if x is not e):
+            return None
+        if kind in ("min", "max"):
+            extremes[name] = kind, found[1][0]
+        else:
+            counts[name] = found[1][0] if found[1] else None
+    out = totals(o, [k.internal for k in keys], counts, extremes)
+    return out.select(*[k.column for k in keys], *hidden.values())
+
+
+def scope_column_in(e: A.Expr, scope: Scope, df: DataFrame) -> bool:
+    """Whether an expression, if it is a column of the scope, is one of ``df``; subqueries are not."""
+    if isinstance(e, (A.Sub, A.Exists, A.Over)):
+        return False
+    if isinstance(e, A.Dot) and isinstance(e.base, A.Col) and scope.has_qualifier(e.base.name):
+        found = scope.find(e.name, e.base.name)
+    elif isinstance(e, A.Col) and not scope.has_qualifier(e.name):
+        found = scope.find(e.name)
+    else:
+        return True
+    return found is not None and found.internal in df.columns
+
+
 def plan_lattice(lower: Expressions, hidden: dict[A.Expr, str], keys: list[Named], df: DataFrame) -> tuple[DataFrame, list[Column]] | None:
     """For several grouping sets: the aggregates of the finest set, and those that put its rows together for the others.
 

@@ -10,6 +10,7 @@ over one order).
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
@@ -21,6 +22,7 @@ from sluice.errors import FlowError, FlowNameError
 from sluice.functions import semantics as S
 from sluice.operators import band, global_window, shape
 from sluice.operators.asof import asof_join
+from sluice.operators.overlap_totals import Overlap
 from sluice.plans import ast as A
 from sluice.plans import grouping as G
 from sluice.plans.env import Env, bind
@@ -430,10 +432,15 @@ class Lowering:
             return Scope(left.df.crossJoin(right.df), both)
         condition = self.expressions(Scope(left.df.crossJoin(right.df), both), outer)(r.on)
         overlapping = self.overlapping(r, condition, left, right, outer)
-        return Scope(left.df.join(right.df, condition, r.kind) if overlapping is None else overlapping, both)
+        if overlapping is None:
+            return Scope(left.df.join(right.df, condition, r.kind), both)
+        return Scope(overlapping[0], both, overlap=overlapping[1])
 
-    def overlapping(self, r: A.Join, condition: Column, left: Scope, right: Scope, outer: Outer) -> DataFrame | None:
-        """The join by buckets, if the sides share no equality but two inequalities in opposite directions."""
+    def overlapping(self, r: A.Join, condition: Column, left: Scope, right: Scope, outer: Outer) -> tuple[DataFrame, Overlap | None] | None:
+        """The join by buckets, if the sides share no equality but two inequalities in opposite directions.
+
+        With it what :func:`totals` needs, if there is at most an ``x != y`` besides.
+        """
         if r.kind not in ("inner", "left", "right", "full") or left.df.isStreaming or right.df.isStreaming:
             return None
 
@@ -448,26 +455,48 @@ class Lowering:
                     found.add(bool(left.find(x.name)))
             return None if len(found) != 1 else left if found.pop() else right
 
-        least: list[tuple[A.Expr, A.Expr]] = []  # (lower, upper)
+        least: list[tuple[A.Expr, A.Expr, bool]] = []  # (lower, upper, whether strictly)
+        apart: list[A.Expr] = []
         for part in split_and(r.on):
             if isinstance(part, A.Between) and not part.negated:
-                least += [(part.low, part.expr), (part.expr, part.high)]
+                least += [(part.low, part.expr, False), (part.expr, part.high, False)]
             elif isinstance(part, A.Bin) and part.op in ("<", "<=", ">", ">="):
-                least.append((part.left, part.right) if part.op[0] == "<" else (part.right, part.left))
+                least.append((*((part.left, part.right) if part.op[0] == "<" else (part.right, part.left)), len(part.op) == 1))
             elif isinstance(part, A.Bin) and part.op in ("=", "<=>") and {side(part.left), side(part.right)} == {left, right}:
                 return None
-        upward = [(a, b) for a, b in least if side(a) is left and side(b) is right]
-        downward = [(a, b) for a, b in least if side(a) is right and side(b) is left]
+            else:
+                apart.append(part)
+        upward = [(a, b, strict) for a, b, strict in least if side(a) is left and side(b) is right]
+        downward = [(a, b, strict) for a, b, strict in least if side(a) is right and side(b) is left]
         own, other = self.expressions(left, outer), self.expressions(right, outer)
-        for (a1, b1), (b2, a2) in ((u, d) for u in upward for d in downward):
+        for (a1, b1, up), (b2, a2, down) in ((u, d) for u in upward for d in downward):
             ends = [(own, a1), (own, a2), (other, b2), (other, b1)]
             kinds = [at.type_of(at(e)) for at, e in ends]
             bounds = [band.measured(at(e), kind) for (at, e), kind in zip(ends, kinds, strict=True)]
             alike = len({type(k) for k in kinds if not isinstance(k, T.NumericType)}) <= 1
             if all(x is not None for x in bounds) and alike and (r.kind == "inner" or (band.comparable(left.df) and band.comparable(right.df))):
-                return band.overlap_join(left.df, right.df, (bounds[0], bounds[1]), (bounds[2], bounds[3]), condition, r.kind)
+                def join(a: DataFrame, b: DataFrame, kind: str = "inner", bounds: list[Column] = bounds) -> DataFrame:
+                    return band.overlap_join(a, b, (bounds[0], bounds[1]), (bounds[2], bounds[3]), condition, kind)
+
+                pairs = join(left.df, right.df, r.kind)
+                unequal = self.unequal(apart, side, left, right, outer) if r.kind == "inner" and len(least) == 2 and len(set(kinds)) == 1 else None
+                if unequal is None:
+                    return pairs, None
+                ends = [at(e) for at, e in ends]
+                return pairs, Overlap(pairs, join, left.df, right.df, (ends[0], ends[1]), (ends[2], ends[3]), (up, down), unequal or None)
         return None
 
+    def unequal(self, parts: list[A.Expr], side: Callable[[A.Expr], Scope | None], left: Scope, right: Scope, outer: Outer) -> tuple[Column, ...] | None:
+        """The sides of a single ``x != y``, nothing for no condition, None for others."""
+        if not parts:
+            return ()
+        part = parts[0]
+        if len(parts) > 1 or not isinstance(part, A.Bin) or part.op not in ("!=", "<>") or {side(part.left), side(part.right)} != {left, right}:
+            return None
+        x, y = (part.left, part.right) if side(part.left) is left else (part.right, part.left)
+        own, other = self.expressions(left, outer), self.expressions(right, outer)
+        return (own(x), other(y)) if own.type_of(own(x)) == other.type_of(other(y)) else None
+
     def asof(self, r: A.Join, left: Scope, right: Scope, outer: Outer) -> Scope:
         """Equal keys and one inequality between the sides, either side written first."""
         if r.on is None or r.kind not in ("inner", "left"):

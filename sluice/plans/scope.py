@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.errors import FlowNameError
+from sluice.operators.overlap_totals import Overlap
 from sluice.plans import ast as A
 
 
@@ -43,12 +44,16 @@ class Named:
 
 @dataclass(frozen=True)
 class Scope:
-    """A DataFrame and its named columns; ``group`` holds a pending group by, ``exact`` says that there are no others."""
+    """A DataFrame and its named columns; ``group`` holds a pending group by, ``exact`` says that there are no others.
+
+    ``overlap`` says of what join the DataFrame ``overlap.pairs`` is the result.
+    """
 
     df: DataFrame
     columns: tuple[Named, ...]
     group: Group | None = None
     exact: bool = False
+    overlap: Overlap | None = None
 
     @staticmethod
     def of(df: DataFrame, qualifier: str | None = None) -> Scope:
