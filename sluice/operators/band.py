@@ -53,6 +53,7 @@ def overlap_join(left: DataFrame, right: DataFrame, own: tuple[Column, Column],
     """
     peak = max([0.0, *(p for side, bounds in ((left, own), (right, other)) for p in side.agg(*[F.max(F.when(F.abs(c) < float("inf"), F.abs(c))) for c in bounds]).first() if p is not None)])
     edge = F.lit(2 * peak + 1)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs make many pairs, so bytes say little
 
     def bounded(c: Column) -> Column:  # NaN is the greatest value
         return F.when(F.isnan(c), edge).otherwise(F.least(F.greatest(c, -edge), edge))
@@ -71,29 +72,33 @@ def overlap_join(left: DataFrame, right: DataFrame, own: tuple[Column, Column],
         width = F.pow(F.lit(2.0), F.col(f"_{side}s"))
         out = df.withColumn(f"_{side}s", F.explode(at))
         out = out.withColumn(f"_{side}first", F.floor(F.col(f"_{side}lo") / width))
-        return out.withColumn(f"_{side}at", F.explode(F.sequence(F.col(f"_{side}first"), F.floor(F.col(f"_{side}hi") / width))))
+        out = out.withColumn(f"_{side}at", F.explode(F.sequence(F.col(f"_{side}first"), F.floor(F.col(f"_{side}hi") / width))))
+        return out.repartition(tasks, f"_{side}s", f"_{side}at")
 
     def of(known: list[int]) -> Column:
         return F.array(*[F.lit(s) for s in known]).cast("array<int>")
 
     meeting = (F.col("_as") == F.col("_bs")) & (F.col("_aat") == F.col("_bat")) & (F.col("_aat") == F.greatest("_afirst", "_bfirst")) & condition
-    long_left = placed(a, "a", F.array("_aown")).join(placed(b, "b", F.filter(of(scales[0]), lambda s: s >= F.col("_bown"))), meeting)
-    long_right = placed(a, "a", F.filter(of(scales[1]), lambda s: s > F.col("_aown"))).join(placed(b, "b", F.array("_bown")), meeting)
+    long_left = placed(a, "a", F.array("_aown")), placed(b, "b", F.filter(of(scales[0]), lambda s: s >= F.col("_bown")))
+    long_right = placed(a, "a", F.filter(of(scales[1]), lambda s: s > F.col("_aown"))), placed(b, "b", F.array("_bown"))
     columns = [*left.columns, *right.columns]
-    pairs = long_left.select(*map(_column, columns)).unionByName(long_right.select(*map(_column, columns)))
-    alone = [_alone(side, pairs, columns) for side, kinds in ((left, ("left", "full")), (right, ("right", "full"))) if kind in kinds]
-    return reduce(DataFrame.unionByName, [pairs, *alone])
+    out = [x.join(y, meeting).select(*map(_column, columns)) for x, y in (long_left, long_right)]
+    kinds = {f.name: f.dataType for x in out[:1] for f in x.schema}
+    for side, first, outer in ((left, 0, ("left", "full")), (right, 1, ("right", "full"))):
+        if kind in outer:  # each place of a row looks for one partner, not for all
+            met = [(x, y)[first].join((x, y)[1 - first], meeting, "left_semi").select(*map(_column, side.columns)) for x, y in (long_left, long_right)]
+            out.append(_alone(side, met[0].union(met[1]), kinds))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _alone(side: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a side that stand in no pair, with nulls for the other side; equal rows are in pairs together or not at all."""
+def _alone(side: DataFrame, met: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    """Rows of a side that are not ``met``, with nulls for the other side; equal rows are met together or not at all."""
     names = {c: f"_in_{i}" for i, c in enumerate(side.columns)}
-    met = pairs.select(*[_column(c).alias(n) for c, n in names.items()]).distinct()
+    met = met.select(*[_column(c).alias(n) for c, n in names.items()]).distinct()
     on = reduce(Column.__and__, [_column(c).eqNullSafe(F.col(n)) for c, n in names.items()])
-    kind = {f.name: f.dataType for f in pairs.schema}
     left = side.join(met, on, "left_anti")
-    return left.select(*[_column(c) if c in names else F.lit(None).cast(kind[c]).alias(c) for c in columns])
+    return left.select(*[_column(c) if c in names else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])

@@ -53,6 +53,19 @@ def test_overlaps(spark, kind):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_outer_joins_look_for_one_partner_and_buckets_are_tasks(spark):
+    """Rows that are alone are not found by way of all pairs, and few bytes of rows with many partners are many tasks."""
+    a = spark.range(4000).select(F.col("id").alias("i"), (F.col("id") % 50).cast("double").alias("x"))
+    b = spark.range(3000).select(F.col("id").alias("j"), (F.col("id") % 60 - 5).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    got = band.overlap_join(a, b, (x - 1, x), (y, y), (x - 1 <= y) & (y <= x), "full")
+    assert got.where("i is null").count() == sum(v % 60 - 5 not in range(-1, 50) for v in range(3000))
+    assert got.where("i is not null and j is not null").count() == 4000 * 50 * 2
+    assert got.rdd.getNumPartitions() >= 16
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 4 and plan.count("Join Inner") == 2
+
+
 def test_one_interval_over_everything(spark):
     """The longest interval costs as many rows as any other, and points are not copied for each of its buckets."""
     points = spark.range(3000).select(F.col("id").alias("x"))
