@@ -18,6 +18,7 @@ Ranks keep Spark's type, int: beyond 2**31 - 1 rows they are an error.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 
 #: Ranges at most, sampled keys of a range, rows of a halo on either side, and bytes of a relation that one task may hold.
 MOST_RANGES, SAMPLED, MOST_HALO, SMALL = 1024, 20, 128, 1 << 16
+#: What tells rows of equal keys apart lies from -TIES to TIES - 1.
+TIES = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -47,16 +50,11 @@ class Key:
             return self.column.desc_nulls_first() if self.nulls_first else self.column.desc_nulls_last()
         return self.column.asc_nulls_first() if self.nulls_first else self.column.asc_nulls_last()
 
-    def after(self, value: Column | None) -> Column:
-        """Whether the key sorts strictly after ``value`` (None: after nulls)."""
+    def after(self, value: Column) -> Column:
+        """Whether the key sorts strictly after a value that may be null."""
         x = self.column
-        if value is None:
-            return x.isNotNull() if self.nulls_first else F.lit(False)
         beyond = F.coalesce(x < value if self.desc else x > value, F.lit(False))
-        return beyond if self.nulls_first else beyond | x.isNull()
-
-    def same(self, value: Column | None) -> Column:
-        return self.column.isNull() if value is None else F.coalesce(self.column == value, F.lit(False))
+        return beyond | (x.isNotNull() & value.isNull() if self.nulls_first else x.isNull() & value.isNotNull())
 
 
 @dataclass(frozen=True)
@@ -139,45 +137,90 @@ def ranges_of(df: DataFrame) -> int:
     return max(8, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def splitters(df: DataFrame, keys: list[Key], ranges: int) -> list[list[Column | None]]:
-    """Ascending quantiles of a random sample of the keys."""
+def drawn_keys(df: DataFrame, keys: list[Key], rows: int) -> tuple[list[tuple], list[int], list[T.DataType]]:
+    """A random sample of the keys in order, as strings, and the number of each among the different ones."""
     kinds = [df.select(k.column).schema[0].dataType for k in keys]
     names = [f"_s{i}" for i in range(len(keys))]
-    drawn = df.select(*[k.column.alias(n) for k, n in zip(keys, names, strict=True)]).orderBy(F.rand(7)).limit(SAMPLED * ranges)
+    drawn = df.select(*[k.column.alias(n) for k, n in zip(keys, names, strict=True)]).orderBy(F.rand(7)).limit(rows)
     order = [Key(F.col(n), k.desc, k.nulls_first).sorted() for k, n in zip(keys, names, strict=True)]
-    rows = [tuple(r) for r in drawn.orderBy(*order).select(*[F.col(n).cast("string") for n in names]).collect()]
+    found = drawn.withColumn("_no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(*order))).orderBy("_no").select(*[F.col(n).cast("string") for n in names], "_no").collect()
+    return [tuple(r)[:-1] for r in found], [r["_no"] for r in found], kinds
+
+
+def as_columns(row: tuple, kinds: list[T.DataType]) -> list[Column | None]:
+    return [None if v is None else F.lit(v).cast(kind) for v, kind in zip(row, kinds, strict=True)]
+
+
+def splitters(df: DataFrame, keys: list[Key], ranges: int) -> list[list[Column | None]]:
+    """Ascending quantiles of a random sample of the keys."""
+    rows, _, kinds = drawn_keys(df, keys, SAMPLED * ranges)
     cuts = list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges))) if rows else []
-    return [[None if v is None else F.lit(v).cast(kind) for v, kind in zip(row, kinds, strict=True)] for row in cuts]
+    return [as_columns(row, kinds) for row in cuts]
+
+
+def splitters_of_ties(df: DataFrame, keys: list[Key], ranges: int) -> tuple[list[list[Column | None]], list[int]]:
+    """Splitters over the keys and ``TIE``, and for each range the first one of its ties' ranges.
+
+    Only keys of more than a range's rows are cut, at even steps of ``TIE``; all
+    ranges between such a key's first and last splitter hold nothing else.
+    """
+    rows, numbers, kinds = drawn_keys(df, keys, SAMPLED * ranges)
+    at = dict.fromkeys(len(rows) * i // ranges for i in range(1, ranges)) if rows else {}
+    key = {numbers[i]: rows[i] for i in at}
+    times = Counter(numbers[i] for i in at)
+    if all(n == 1 for n in times.values()):  # as few keys as tell the splitters apart
+        some = next((p for p in range(1, len(keys)) if len({row[:p] for row in key.values()}) == len(key)), len(keys))
+        return [as_columns(row[:some], kinds[:some]) for row in key.values()], list(range(len(key) + 1))
+    cuts: list[list[Column | None]] = []
+    first = [0]
+    for no in key:
+        hot = times[no] if times[no] > 1 else 0
+        spots = [-TIES, *(-TIES + 2 * TIES * i // hot for i in range(1, hot)), TIES] if hot else [-TIES]
+        start = len(cuts) + 1
+        for i, spot in enumerate(spots):
+            cuts.append([*as_columns(key[no], kinds), F.lit(spot).cast("long")])
+            first.append(start if i < len(spots) - 1 else len(cuts))
+    return cuts, first
 
 
 def range_of(keys: list[Key], cuts: list[list[Column | None]]) -> Column:
-    """Number of splitters at or before a row's keys, by halving."""
+    """Number of splitters at or before a row's keys, by halving over arrays: as short for many splitters as for few."""
+    if not cuts:
+        return F.lit(0)
+    lists = [F.array(*[F.lit(None) if row[i] is None else row[i] for row in cuts]) for i in range(len(keys))]
 
-    def at_or_after(values: list[Column | None]) -> Column:
-        out = F.lit(True)
-        for key, value in reversed(list(zip(keys, values, strict=True))):
-            out = key.after(value) | (key.same(value) & out)
-        return out
+    def halved(found: Column, step: Column) -> Column:
+        at = found + step - 1
+        beyond = F.lit(True)
+        for key, values in reversed(list(zip(keys, lists, strict=True))):
+            value = F.get(values, at)
+            beyond = key.after(value) | (key.column.eqNullSafe(value) & beyond)
+        return F.when((at < len(cuts)) & beyond, found + step).otherwise(found)
 
-    def among(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(at_or_after(cuts[mid]), among(mid + 1, high)).otherwise(among(low, mid))
+    return F.reduce(F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]), F.lit(0), halved)
 
-    return among(0, len(cuts))
 
+def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running | Near], ranges: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """``df`` with a column for each function over the order of ``keys``.
 
-def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running | Near], ranges: int | None = None) -> DataFrame:
-    """``df`` with a column for each function over the order of ``keys``."""
+    ``base`` is ``df`` without columns that neither keys nor functions use, such
+    as windows over other orders: what is known of ranges beforehand comes from it.
+    """
     own = df.columns
+    base = df if base is None else base
     ranges = ranges or ranges_of(df)
-    sortable = [f"`{c.name}`" for c in df.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    sortable = [f"`{c.name}`" for c in base.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
     names = [f"_key{i}" for i in range(len(keys))]
-    dealt = df.select("*", *[k.column.alias(n) for k, n in zip(keys, names, strict=True)], range_of(keys, splitters(df, keys, ranges)).alias("_range"), F.xxhash64(*sortable).alias("_tie"))
     keyed = [Key(F.col(n), k.desc, k.nulls_first) for k, n in zip(keys, names, strict=True)]
     in_order = [*keyed, Key(F.col("_tie"), False, False)]
     order = [k.sorted() for k in in_order]
+    cuts, first = splitters_of_ties(base, keys, ranges)
+    hot = any(i != g for i, g in enumerate(first))
+
+    def deal(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", *[k.column.alias(n) for k, n in zip(keys, names, strict=True)], F.shiftright(F.xxhash64(*sortable), 1).alias("_tie"))
+        return rows.withColumn("_range", range_of(in_order if hot else keyed[: len(cuts[0])] if cuts else [], cuts))
+
     near = [f for f in functions.values() if isinstance(f, Near)]
     ranks = {f.name for f in functions.values() if isinstance(f, Ranked)}
 
@@ -187,20 +230,37 @@ def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running
     sums += [p.alias(f"_part_{n}_{i}") for n, f in runs.items() for i, p in enumerate(f.parts)]
     if "dense_rank" in ranks:
         sums.append(F.count_distinct(F.struct(*names)).alias("_keys"))
-    per_range = dealt.groupBy("_range").agg(*sums)
+    dealt_base = deal(base)
+    per_range = dealt_base.groupBy("_range").agg(*sums)
+    kind = {f.name: f.dataType for f in per_range.schema}
+    # ranges of one key's rows are a group; other groups are one range each
+    groups = per_range.withColumn("_group", F.get(F.array(*map(F.lit, first)), F.col("_range")) if hot else F.col("_range"))
+    alike = Window.partitionBy("_group")
+    before = Window.partitionBy("_all").orderBy("_group").rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ["_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy("_all")).alias("_total")]
+
+    def carried_over(part: Column | str, add: Callable[[Column | str], Column]) -> tuple[Column, Column, Column]:
+        """Of earlier ranges, of earlier groups, of the own group."""
+        return add(part).over(earlier), add(part).over(before), add(part).over(alike)
+
+    carry = ["_range", (F.count(F.lit(1)).over(alike) > 1).alias("_hot"), F.sum("_rows").over(Window.partitionBy("_all")).alias("_total")]
+    none = F.lit(0).cast("long")
+    for c, n in zip(carried_over("_rows", F.sum), ("_before", "_before_group", "_rows_group"), strict=True):
+        carry.append(F.coalesce(c, none).alias(n))
     if "dense_rank" in ranks:
-        carry.append(F.coalesce(F.sum("_keys").over(earlier), F.lit(0)).alias("_before_keys"))
-    kind = {f.name: f.dataType for f in per_range.schema}
+        groups = groups.withColumn("_keys", F.when(F.row_number().over(alike.orderBy("_range")) == 1, F.col("_keys")).otherwise(0))
+        carry.append(F.coalesce(F.sum("_keys").over(before), none).alias("_before_keys"))
     for n, f in runs.items():
         for i, merge in enumerate(f.merge):
-            carry.append(merged(merge)(f"_part_{n}_{i}").over(earlier).cast(kind[f"_part_{n}_{i}"]).alias(f"_carry_{n}_{i}"))
-    carried = per_range.select(*carry)
+            at_range, at_group, in_group = (c.cast(kind[f"_part_{n}_{i}"]) for c in carried_over(f"_part_{n}_{i}", merged(merge)))
+            carry.append((at_group if f.peers else at_range).alias(f"_carry_{n}_{i}"))
+            carry.append(in_group.alias(f"_group_{n}_{i}"))
+    carried = groups.select(*carry)
+    dealt = dealt_base if df is base else deal(df)
 
     rows = dealt.withColumn("_copy", F.lit(False))
     if near:
-        rows = _with_edges(rows, per_range, in_order, max(f.before for f in near), max(f.behind for f in near))
+        rows = _with_edges(rows, dealt_base.withColumn("_copy", F.lit(False)), per_range, in_order, max(f.before for f in near), max(f.behind for f in near))
     real = Window.partitionBy("_range", "_copy").orderBy(*order)
     peers = Window.partitionBy("_range", "_copy").orderBy(*[k.sorted() for k in keyed])
     local: list[Column] = []
@@ -223,20 +283,22 @@ def spread(df: DataFrame, keys: list[Key], functions: dict[str, Ranked | Running
         elif isinstance(f, Near):
             out.append(F.col(f"_local_{n}").alias(n))
         else:
-            both = [merge(F.col(f"_carry_{n}_{i}"), F.col(f"_local_{n}_{i}")).cast(kind[f"_part_{n}_{i}"]) for i, merge in enumerate(f.merge)]
+            inside = [F.when(F.col("_hot"), F.col(f"_group_{n}_{i}")).otherwise(F.col(f"_local_{n}_{i}")) if f.peers else F.col(f"_local_{n}_{i}") for i in range(len(f.parts))]
+            both = [merge(F.col(f"_carry_{n}_{i}"), x).cast(kind[f"_part_{n}_{i}"]) for i, (merge, x) in enumerate(zip(f.merge, inside, strict=True))]
             out.append(f.value(*both).alias(n))
     return seen.select(*out)
 
 
 def _rank(f: Ranked, local: Column, ranks: set[str]) -> Column:
-    at, total = local + F.col("_before"), F.col("_total")
+    peers = f.name in ("rank", "percent_rank", "cume_dist")
+    at, total = local + F.col("_before_group" if peers else "_before"), F.col("_total")
     match f.name:
         case "dense_rank":
             return (local + F.col("_before_keys")).cast("int")
         case "percent_rank":
             return F.when(total > 1, (at - 1) / (total - 1)).otherwise(F.lit(0.0))
         case "cume_dist":
-            return at / total
+            return F.when(F.col("_hot"), F.col("_before_group") + F.col("_rows_group")).otherwise(at) / total
         case "ntile":
             size = F.floor(total / f.tiles)
             long = F.pmod(total, F.lit(f.tiles))  # so many tiles have one row more
@@ -245,24 +307,24 @@ def _rank(f: Ranked, local: Column, ranks: set[str]) -> Column:
     return at.cast("int")
 
 
-def _with_edges(rows: DataFrame, per_range: DataFrame, order: list[Key], before: int, behind: int) -> DataFrame:
-    """``rows`` and copies of the last ``before`` rows ahead of each range and of the first ``behind`` rows after it."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+def _with_edges(rows: DataFrame, base: DataFrame, per_range: DataFrame, order: list[Key], before: int, behind: int) -> DataFrame:
+    """``rows`` and copies of the last ``before`` rows of ``base`` ahead of each range and of the first ``behind`` rows after it."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in base.columns])
     local = Window.partitionBy("_range")
 
     def edge(n: int, last: bool) -> DataFrame:
         if n == 0:
-            return rows.limit(0)
+            return base.limit(0)
         sort = [(k.reversed() if last else k).sorted() for k in order]
-        ends = rows.withColumn("_no", F.row_number().over(local.orderBy(*sort))).where(F.col("_no") <= n)
+        ends = base.withColumn("_no", F.row_number().over(local.orderBy(*sort))).where(F.col("_no") <= n)
         lists = ends.groupBy("_range").agg(F.sort_array(F.collect_list(F.struct("_no", whole.alias("row")))).alias("edge"))
         # nearest first; every range with rows has one at least, so n ranges give n rows if there are so many
         some = Window.partitionBy("_all").orderBy("_range" if not last else F.desc("_range")).rowsBetween(1, n)
         reach = per_range.select("_range", "_all").join(lists, "_range").select(F.col("_range").alias("_to"), F.slice(F.flatten(F.collect_list("edge").over(some)), 1, n).alias("near"))
         moved = {"_range": F.col("_to"), "_copy": F.lit(True)}
-        return reach.select("_to", F.explode("near.row").alias("row")).select(*[moved.get(c, F.col(f"row.`{c}`")).alias(c) for c in rows.columns])
+        return reach.select("_to", F.explode("near.row").alias("row")).select(*[moved.get(c, F.col(f"row.`{c}`")).alias(c) for c in base.columns])
 
-    return reduce(DataFrame.unionByName, [rows, edge(before, True), edge(behind, False)])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, edge(before, True), edge(behind, False)])
 
 
 def running_by(rows: DataFrame, by: list[str], order: list[Key], parts: list[Column], merges: list[Callable[[Column, Column], Column]], names: list[str], ranges: int | None = None) -> DataFrame:

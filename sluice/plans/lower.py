@@ -228,7 +228,7 @@ class Lowering:
         for order, functions in orders.items():
             keys = [global_window.Key(lower(s.expr), s.desc, s.nulls_first) for s in order]
             if global_window.supported(df, keys):
-                df = global_window.spread(df, keys, functions)
+                df = global_window.spread(df, keys, functions, base=scope.df)
             else:
                 names = {x: n for x, n in names.items() if n not in functions}
         if totals:

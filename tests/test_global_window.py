@@ -53,6 +53,26 @@ def test_no_single_task(spark, monkeypatch):
         assert "SinglePartition" not in plan and "rangepartitioning" not in plan, name
 
 
+def test_a_hot_key_is_many_ranges(spark, monkeypatch):
+    """Rows of one very frequent key, nulls too, are many ranges, with the same results; code stays short for many splitters."""
+    monkeypatch.setattr(W, "SMALL", 1 << 62)
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 100)).alias("v"), (F.col("id") * 7 % 501).alias("m"))
+    df.createOrReplaceTempView("hot")
+    text = """from hot select id, rank() over (order by v) as r, dense_rank() over (order by v) as d, row_number() over (order by v, id) as i, cume_dist() over (order by v) as c,
+sum(m) over (order by v) as s, min(m) over (order by v) as lo, avg(m) over (order by v desc) as a, lag(m, 2) over (order by v, id) as b"""
+    plain = result(Engine(spark).query(text))
+    monkeypatch.setattr(W, "SMALL", -1)
+    monkeypatch.setattr(W, "ranges_of", lambda df: 24)
+    assert result(Engine(spark).query(text)) == plain
+    keys = [W.Key(F.col("v"), False, False)]
+    cuts, first = W.splitters_of_ties(df, keys, 24)
+    tie = W.Key(F.shiftright(F.xxhash64("id"), 1), False, False)
+    counts = df.groupBy(W.range_of([*keys, tie], cuts).alias("g")).count().collect()
+    assert max(r["count"] for r in counts) < 2.5 * 6000 / 24 and len(first) == len(cuts) + 1
+    many = [[F.lit(i)] for i in range(1000)]
+    assert df.agg(F.max(W.range_of(keys, many)), F.min(W.range_of(keys, many))).first()[:] == (1000, 2)
+
+
 def test_rows_of_a_range(spark):
     """No range holds much more than its share, and ties are never cut."""
     df = spark.range(20_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 50).alias("j"))
