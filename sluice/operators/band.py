@@ -5,20 +5,23 @@ intervals [a1, a2] and [b2, b1] overlap; a value between two bounds is the case
 of an interval without length.  A join on inequalities alone would compare every
 pair of rows, so rows meet by bucket instead:
 
-* an interval belongs to the scale of its own length (a power of two) and
-  touches at most two buckets there, however long it is;
-* a pair meets at the longer one's scale, where the shorter one touches at most
-  two buckets as well.  So the left rows at their own scale meet right rows of
-  the same or smaller ones, and the right rows at theirs meet smaller left rows;
+* an interval belongs to the scale of its own length (a power of two, up to the
+  rounding of the bounds) and touches two buckets there, seldom three, however
+  long it is;
+* a pair meets at the longer one's scale, where the shorter one touches no more
+  buckets.  So the left rows at their own scale meet right rows of the same or
+  smaller ones, and the right rows at theirs meet smaller left rows;
 * a pair counts in the first bucket that both touch, so none comes twice, and
   the whole condition is then tested.
 
 Scales are few (at most ``SCALES``), so a row is copied a few times, whatever
-the lengths of others.  Outer joins add the rows whose content stands in no pair.
+the lengths of others.  Outer joins add the rows whose content stands in no pair:
+a row looks for one partner, in whichever bucket, and stops at the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,8 @@ from pyspark.sql import types as T
 
 #: Lengths below the greatest value by 2 to this power share a scale.
 SCALES = 40
+#: Lengths of ``x`` to ``x + 8`` lie around 8 by the rounding of ``x + 8``; so far beyond a power of two they keep its scale.
+ROUNDING = 2.0**-16
 
 
 def measured(x: Column, kind: T.DataType | None) -> Column | None:
@@ -40,6 +45,11 @@ def measured(x: Column, kind: T.DataType | None) -> Column | None:
     return None
 
 
+def scale(length: Column) -> Column:
+    """The power of two that a length does not pass, but for rounding."""
+    return F.ceil(F.log2(length) - ROUNDING).cast("int")
+
+
 def comparable(df: DataFrame) -> bool:
     """Whether whole rows can be looked up by their content."""
     return not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema)
@@ -63,30 +73,36 @@ def overlap_join(left: DataFrame, right: DataFrame, own: tuple[Column, Column],
         whole = bounds[0].isNotNull() & bounds[1].isNotNull()
         out = df.where(whole).withColumn(f"_{side}lo", F.least(low, high)).withColumn(f"_{side}hi", F.greatest(low, high))
         length = F.greatest(F.col(f"_{side}hi") - F.col(f"_{side}lo"), edge * 2.0**-SCALES)
-        return out.withColumn(f"_{side}own", F.ceil(F.log2(length)).cast("int"))
+        return out.withColumn(f"_{side}own", scale(length))
 
     a, b = scaled(left, own, "a"), scaled(right, other, "b")
     scales = [sorted(r[0] for r in x.select(f"_{side}own").distinct().collect()) for x, side in ((a, "a"), (b, "b"))]  # SCALES + 2 each at most
 
     def placed(df: DataFrame, side: str, at: Column) -> DataFrame:
         width = F.pow(F.lit(2.0), F.col(f"_{side}s"))
-        out = df.withColumn(f"_{side}s", F.explode(at))
-        out = out.withColumn(f"_{side}first", F.floor(F.col(f"_{side}lo") / width))
-        out = out.withColumn(f"_{side}at", F.explode(F.sequence(F.col(f"_{side}first"), F.floor(F.col(f"_{side}hi") / width))))
-        return out.repartition(tasks, f"_{side}s", f"_{side}at")
+        bucket = [F.floor(F.col(f"_{side}{end}") / width) * 64 + F.pmod(F.col(f"_{side}s"), F.lit(64)) for end in ("lo", "hi")]  # one number with the scale
+        out = df.withColumn(f"_{side}s", F.explode(at)).withColumn(f"_{side}first", bucket[0])
+        return out.withColumn(f"_{side}at", F.explode(F.sequence(F.col(f"_{side}first"), bucket[1], F.lit(64))))
+
+    def of(known: list[int], holds: Callable[[Column], Column]) -> Column:
+        return F.filter(F.array(*[F.lit(s) for s in known]).cast("array<int>"), holds)
 
-    def of(known: list[int]) -> Column:
-        return F.array(*[F.lit(s) for s in known]).cast("array<int>")
+    def above(known: list[int], side: str, reached: Callable[[Column, int], Column]) -> Column:  # rows that no other can meet are not placed
+        return F.filter(F.array(f"_{side}own"), lambda s: reached(s, min(known)) if known else F.lit(False))
 
-    meeting = (F.col("_as") == F.col("_bs")) & (F.col("_aat") == F.col("_bat")) & (F.col("_aat") == F.greatest("_afirst", "_bfirst")) & condition
-    long_left = placed(a, "a", F.array("_aown")), placed(b, "b", F.filter(of(scales[0]), lambda s: s >= F.col("_bown")))
-    long_right = placed(a, "a", F.filter(of(scales[1]), lambda s: s > F.col("_aown"))), placed(b, "b", F.array("_bown"))
+    near = (F.col("_aat") == F.col("_bat")) & condition
+    once = F.col("_aat") == F.greatest("_afirst", "_bfirst")
+    long_left = placed(a, "a", above(scales[1], "a", Column.__ge__)), placed(b, "b", of(scales[0], lambda s: s >= F.col("_bown")))
+    long_right = placed(a, "a", of(scales[1], lambda s: s > F.col("_aown"))), placed(b, "b", above(scales[0], "b", Column.__gt__))
     columns = [*left.columns, *right.columns]
-    out = [x.join(y, meeting).select(*map(_column, columns)) for x, y in (long_left, long_right)]
+    out = [x.repartition(tasks, "_aat").join(y.repartition(tasks, "_bat"), near & once).select(*map(_column, columns)) for x, y in (long_left, long_right)]
     kinds = {f.name: f.dataType for x in out[:1] for f in x.schema}
     for side, first, outer in ((left, 0, ("left", "full")), (right, 1, ("right", "full"))):
-        if kind in outer:  # each place of a row looks for one partner, not for all
-            met = [(x, y)[first].join((x, y)[1 - first], meeting, "left_semi").select(*map(_column, side.columns)) for x, y in (long_left, long_right)]
+        if kind in outer:  # a merge join: a broadcast would do it in as few tasks as the side has files
+            met = []
+            for ends in (long_left, long_right):
+                partners = ends[1 - first].repartition(tasks, f"_{'ba'[first]}at").hint("merge")
+                met.append(ends[first].join(partners, near, "left_semi").select(*map(_column, side.columns)))
             out.append(_alone(side, met[0].union(met[1]), kinds))
     return reduce(DataFrame.unionByName, out)
 

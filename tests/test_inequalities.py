@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,43 @@ def test_outer_joins_look_for_one_partner_and_buckets_are_tasks(spark):
     assert plan.count("LeftSemi") == 4 and plan.count("Join Inner") == 2
 
 
+def test_partners_are_looked_for_in_the_tasks_of_the_shuffle(spark):
+    """A broadcast would look for them in as few tasks as a side has files, and for the one bucket where a pair counts."""
+    a = spark.range(0, 4000, 1, 1).select(F.col("id").alias("i"), (F.col("id") % 50).cast("double").alias("x"))
+    b = spark.range(0, 3000, 1, 1).select(F.col("id").alias("j"), (F.col("id") % 60 - 5).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    plan = band.overlap_join(a, b, (x - 1, x), (y, y), (x - 1 <= y) & (y <= x), "full")._jdf.queryExecution().executedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert len(semi) == 4
+    assert all("SortMergeJoin" in line and "greatest" not in line for line in semi)
+
+
+def test_lengths_changed_by_rounding_share_a_scale(spark):
+    """x to x + 8 is 8 long or a trifle more: still one scale, and the same pairs."""
+    rng = random.Random(8)
+    a, b = ([(i, round(rng.uniform(-1000, 10000), 2)) for i in range(n)] for n in (500, 400))
+    assert len({x + 8 - x > 8 for _, x in a}) == 2
+    sides = spark.createDataFrame(a, "i int, x double"), spark.createDataFrame(b, "j int, y double")
+    x, y = F.col("x"), F.col("y")
+    got = band.overlap_join(*sides, (x, x + 8), (y, y + 8), (x < y + 8) & (y < x + 8))
+    assert sorted((r.i, r.j) for r in got.collect()) == [(i, j) for i, v in a for j, w in b if v < w + 8 and w < v + 8]
+    assert set(re.findall(r"filter\((\[[-\d,]+\])", got._jdf.queryExecution().optimizedPlan().toString())) == {"[3]"}
+
+
+@pytest.mark.parametrize("length", [8.0, 8.0 + 2.0**-15, 8.0 + 2.0**-13, 3.0])
+def test_intervals_at_the_edges_of_buckets(spark, length):
+    """Lengths at and beside a power of two, begun at and beside the edges of its buckets, also below zero."""
+    starts = [k * 8.0 + d for k in range(-3, 4) for d in (0.0, -(2.0**-15), 2.0**-15, 7.9999999)]
+    a = [(i, v, v + length) for i, v in enumerate(starts)]
+    b = [(j, v, v + n) for j, (v, n) in enumerate((v, n) for v in starts for n in (0.0, 8.0, 16.0))]
+    sides = spark.createDataFrame(a, "i int, lo double, hi double"), spark.createDataFrame(b, "j int, p double, q double")
+    condition = (F.col("lo") <= F.col("q")) & (F.col("p") <= F.col("hi")) & (F.col("i") % 3 != 0)
+    got = band.overlap_join(*sides, (F.col("lo"), F.col("hi")), (F.col("p"), F.col("q")), condition, "full")
+    pairs = [(i, j) for i, lo, hi in a for j, p, q in b if lo <= q and p <= hi and i % 3]
+    want = pairs + [(i, None) for i, *_ in a if i not in {x for x, _ in pairs}] + [(None, j) for j, *_ in b if j not in {y for _, y in pairs}]
+    assert sorted(map(str, want)) == sorted(str((r.i, r.j)) for r in got.collect())
+
+
 def test_one_interval_over_everything(spark):
     """The longest interval costs as many rows as any other, and points are not copied for each of its buckets."""
     points = spark.range(3000).select(F.col("id").alias("x"))
